@@ -38,8 +38,11 @@ def agg_balance(events: DataFrame) -> DataFrame:
 
 
 def agg_count_sum(rides: DataFrame, key: str = "city", amount: str = "fare") -> DataFrame:
+    """Rides and total fare per city. Fares add up as decimals, so that the total
+    does not depend on the order of the rows."""
+    fare = F.col(amount).cast("decimal(18,2)")
     return rides.groupBy(key).agg(
-        F.count("*").alias("rides"), F.sum(amount).alias("total_fare")
+        F.count("*").alias("rides"), F.sum(fare).alias("total_fare")
     )
 
 
@@ -56,11 +59,11 @@ def running_sum(
 ) -> DataFrame:
     """Add the sum of ``value`` over the key's rows up to and including each row.
 
-    ``order`` must be an integer column that is unique within the key. ``initial``
-    holds, per key, an ``out`` value to start from.
+    ``order`` must be an integer column that is unique within the key, and the key
+    must not be null. ``initial`` holds, per key, an ``out`` value to start from.
     """
     cut = df.withColumns({
-        "_value": value, "_chunk": F.floor(F.col(order) / F.lit(chunk)),
+        "_value": value, "_chunk": F.col(order) - F.pmod(F.col(order), F.lit(chunk)),
     })
     upto = (
         Window.partitionBy(key, "_chunk").orderBy(order)

@@ -44,8 +44,15 @@ STATE_MACHINE = RelayPolicy("state_machine", 100, "2 seconds", select_by_state=T
 
 
 def outbox_scan(outbox: DataFrame, policy: RelayPolicy = POLL) -> DataFrame:
-    """The oldest pending rows, at most ``policy.limit``."""
-    return outbox.filter(policy.pending()).orderBy("sequence").limit(policy.limit)
+    """The oldest pending rows, at most ``policy.limit``, in one partition.
+
+    Sort and limit plan as a top-n per task and a merge. The ``coalesce`` keeps
+    it so: without it, columns added later are computed below the limit, which
+    turns the top-n into a sort of the whole table.
+    """
+    return (
+        outbox.filter(policy.pending()).orderBy("sequence").limit(policy.limit).coalesce(1)
+    )
 
 
 def prefix_until_failure(df: DataFrame, order: str, failed: Column,

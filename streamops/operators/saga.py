@@ -67,9 +67,9 @@ def saga_choreography(orders: DataFrame, order_id: str, item: Column) -> DataFra
     chain = orders.select(created.alias("m1"))
     for n, service in ((2, payment_service), (3, inventory_service), (4, payment_service)):
         chain = chain.withColumn(f"m{n}", service(F.col(f"m{n - 1}")))
-    log = F.filter(F.array("m1", "m2", "m3", "m4"), lambda m: m.isNotNull())
     return (
-        chain.select(F.posexplode(log).alias("seq", "m"))
+        chain.select(F.posexplode(F.array("m1", "m2", "m3", "m4")).alias("seq", "m"))
+        .filter("m IS NOT NULL")
         .select((F.col("seq") + 1).alias("seq"), "m.*")
     )
 

@@ -119,15 +119,14 @@ def rides_table(spark, sf_dir):
 
 
 RIDES_PUSH_SQL = """
-SELECT event_type AS city, event_id AS ride_id,
-       CAST(CAST(value AS DECIMAL(18,2)) AS DOUBLE) AS fare
-FROM events WHERE CAST(value AS DECIMAL(18,2)) > 10
+SELECT event_type AS city, event_id AS ride_id, value AS fare
+FROM events WHERE value > 10
 """
 
 
 @query(RIDES_PUSH_SQL)
 def rides_push(spark, sf_dir):
-    return enrich.filter_threshold(t.rides(spark, sf_dir)).withColumns(as_double("fare"))
+    return enrich.filter_threshold(t.rides(spark, sf_dir))
 
 
 READ_MODEL_SQL = """

@@ -363,7 +363,7 @@ def relay_published(spark, sf_dir):
 _RIDE_JSON = T.StructType([
     T.StructField("city", T.StringType()),
     T.StructField("ride_id", T.LongType()),
-    T.StructField("fare", T.DecimalType(18, 2)),
+    T.StructField("fare", T.DoubleType()),
 ])
 
 
@@ -387,16 +387,15 @@ def rides_push_sql(spark, sf_dir):
         if rest is not None:
             stream_sql.insert_into_stream(rest, f"{root}/log")
             rest = None
-    return log.read_committed(spark, f"{root}/out").select(
-        F.col("city"), F.col("ride_id"), F.col("fare").cast("double").alias("fare")
-    )
+    return log.read_committed(spark, f"{root}/out").toDF("city", "ride_id", "fare")
 
 
 @query(RIDES_TABLE_SQL)
 def rides_table_sql(spark, sf_dir):
     root = new_folder(spark, "ctas")
     rest = _ride_stream(spark, sf_dir, root)
-    sql = "SELECT city, count(*) AS rides, sum(fare) AS total_fare FROM ride_requests GROUP BY city"
+    sql = "SELECT city, count(*) AS rides, sum(CAST(fare AS DECIMAL(18,2))) AS total_fare " \
+          "FROM ride_requests GROUP BY city"
     for _ in range(2):
         table, writer = stream_sql.create_table_as_select(
             spark, sql, "city", f"{root}/table", f"{root}/checkpoint"

@@ -86,7 +86,7 @@ def user_events(spark, sf_dir, stream=False, **options) -> DataFrame:
 def rides(spark, sf_dir, stream=False, **options) -> DataFrame:
     return source(spark, sf_dir, "events", stream, **options).select(
         F.col("event_type").alias("city"), F.col("event_id").alias("ride_id"),
-        money("value").alias("fare"),
+        F.col("value").alias("fare"),
     )
 
 
