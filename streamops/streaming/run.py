@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from streamops.constants import EMIT_INTERVAL, MICRO_BATCH_INTERVAL, MICRO_BATCH_RECORDS
@@ -12,9 +12,24 @@ from streamops.constants import EMIT_INTERVAL, MICRO_BATCH_INTERVAL, MICRO_BATCH
 BatchHandler = Callable[[DataFrame, int], None]
 
 
-def drain(writer: DataStreamWriter, timeout: int | None = None) -> StreamingQuery:
-    """Read until caught up, then stop. Failures of the query are raised here."""
-    query = writer.trigger(availableNow=True).start()
+NO_DATA_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
+def drain(writer: DataStreamWriter, timeout: int | None = None,
+          no_data_batches: bool = True) -> StreamingQuery:
+    """Read until caught up, then stop. Failures of the query are raised here.
+
+    Batches without data close windows the last data has passed. State with a
+    retention in processing time asks for such batches for ever, so a drain over
+    ``anti_cache`` must switch them off.
+    """
+    spark = SparkSession.active()
+    before = spark.conf.get(NO_DATA_BATCHES)
+    spark.conf.set(NO_DATA_BATCHES, str(no_data_batches).lower())
+    try:
+        query = writer.trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(NO_DATA_BATCHES, before)
     return await_caught_up(query, timeout)
 
 

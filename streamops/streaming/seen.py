@@ -28,9 +28,9 @@ def anti_cache(df: DataFrame, key: str, order: str,
     ``success``; rows that failed leave no mark. The ledger stays the guarantee,
     so this filter may be left out without changing results. Copies of one id
     collapse inside the Arrow batches of the scan, before the shuffle to the
-    state store.
+    state store. Drain it with ``no_data_batches=False``.
     """
-    ttl_ms = int(hours * 3_600_000)
+    ttl_ms = max(round(hours * 3_600_000), 1)
 
     def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:

@@ -157,7 +157,8 @@ class MaterializedTable:
     def pull(self, spark: SparkSession) -> DataFrame:
         """Point-in-time read of the whole table."""
         parts = spark.read.parquet(self.path)
-        values = [c for c in parts.columns if c not in (*self.key, "batch_id")]
+        keys = {c.lower() for c in self.key}
+        values = [c for c in parts.columns if c.lower() not in keys | {"batch_id"}]
         newest = F.max_by(F.struct(*values), F.col("batch_id")).alias("_row")
         return parts.groupBy(*self.key).agg(newest).select(*self.key, "_row.*")
 
