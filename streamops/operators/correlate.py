@@ -60,19 +60,29 @@ def anti_unknown_reply(requests: DataFrame, replies: DataFrame,
 
 def join_correlation_stream(requests: DataFrame, replies: DataFrame, delay: str = "0 seconds",
                             timeout_seconds: int = REPLY_TIMEOUT_SECONDS) -> DataFrame:
-    """Interval join of two streams; ``first_reply`` applies to what it emits.
+    """Interval join of two streams; ``settle_pairs`` applies to what it emits.
 
     A request that found no reply comes out once the watermark has passed its
-    timeout.
+    timeout. Streams have no adaptive splitting, so the join key holds a time
+    slot as long as the timeout next to the id: the replies to a hot id spread
+    over their slots, and a request waits in the two slots its replies can be in.
     """
-    left = requests.withWatermark("req_ts", delay).alias("q")
+    def slot(ts: str, later: int = 0):
+        micros = F.unix_micros(ts)
+        return F.floor(micros / F.lit(timeout_seconds * 1_000_000)) + later
+
+    left = (
+        requests.withWatermark("req_ts", delay)
+        .withColumn("slot", F.explode(F.array(slot("req_ts"), slot("req_ts", 1)))).alias("q")
+    )
     right = (
         replies.select("correlation_id", "reply_ts", "reply_offset", "total")
-        .withWatermark("reply_ts", delay).alias("r")
+        .withWatermark("reply_ts", delay).withColumn("slot", slot("reply_ts")).alias("r")
     )
-    on = (F.col("q.correlation_id") == F.col("r.correlation_id")) & _within(timeout_seconds)
-    return left.join(right, on, "left_outer").select(
-        "q.*", "r.reply_ts", "r.reply_offset", "r.total"
+    same = (F.col("q.correlation_id") == F.col("r.correlation_id")) & (
+        F.col("q.slot") == F.col("r.slot"))
+    return left.join(right, same & _within(timeout_seconds), "left_outer").select(
+        *[f"q.{c}" for c in requests.columns], "r.reply_ts", "r.reply_offset", "r.total"
     )
 
 

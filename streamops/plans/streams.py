@@ -182,10 +182,10 @@ FROM orders UNION ALL
 SELECT 'events', count(*), CAST(sum(event_id) AS BIGINT) FROM events
 """)
 def log_scan_multi(spark, sf_dir):
-    orders = t.source(spark, sf_dir, "orders", True).select(
+    orders = t.source(spark, sf_dir, "orders", True, **micro_batch()).select(
         F.lit("orders").alias("topic"), F.col("o_orderkey").alias("key")
     )
-    events = t.source(spark, sf_dir, "events", True).select(
+    events = t.source(spark, sf_dir, "events", True, **micro_batch()).select(
         F.lit("events").alias("topic"), F.col("event_id").alias("key")
     )
     rows = _drained(log.union_topics(orders, events), new_folder(spark, "log-multi"))
@@ -204,7 +204,7 @@ SELECT s AS subscriber, count(*) AS records, CAST(sum(o_orderkey) AS BIGINT) AS
 FROM orders, (VALUES ('analytics'), ('notifications')) v(s) GROUP BY s
 """)
 def fan_out(spark, sf_dir):
-    orders = t.source(spark, sf_dir, "orders", True).select("o_orderkey")
+    orders = t.source(spark, sf_dir, "orders", True, **micro_batch()).select("o_orderkey")
     paths = run_fan_out(orders, new_folder(spark, "fan-out"), ["analytics", "notifications"],
                         DRAIN_TIMEOUT)
     got = [
@@ -220,7 +220,7 @@ def fan_out(spark, sf_dir):
 SELECT o_orderkey, CAST(1 AS BIGINT) AS handled, CAST(1 AS BIGINT) AS workers FROM orders
 """)
 def split_work(spark, sf_dir):
-    jobs = t.source(spark, sf_dir, "orders", True).select(
+    jobs = t.source(spark, sf_dir, "orders", True, **micro_batch()).select(
         "o_orderkey", P.partition_by_key(F.col("o_orderkey"), 3).alias("worker")
     )
     done = _drained(jobs, new_folder(spark, "split-work"), partition_by=["worker"])
@@ -247,7 +247,8 @@ FROM {_STREAM_PAYMENTS_SQL} p
 def exactly_once(spark, sf_dir):
     root = new_folder(spark, "exactly-once")
     for _ in range(2):
-        done = enrich.enrich_payments(t.payment_stream(spark, sf_dir), enrich.usd_rates(spark))
+        raw = t.payment_stream(spark, sf_dir, **micro_batch())
+        done = enrich.enrich_payments(raw, enrich.usd_rates(spark))
         published = outcome.route_outcome(done)["success"].select(
             "payment_id", F.col("amount_usd").cast("double").alias("amount_usd"), "risk_level"
         )
@@ -280,7 +281,7 @@ def correlation_stream(spark, sf_dir):
 def _delivery_sink(spark, sf_dir):
     root = new_folder(spark, "deliveries")
     sink = DeliverySink(f"{root}/out", "event_id", F.col("props"))
-    _handled(webhooks(spark, sf_dir, True), sink.deliver, root)
+    _handled(webhooks(spark, sf_dir, True, **micro_batch()), sink.deliver, root)
     return sink
 
 
@@ -307,7 +308,9 @@ FROM (SELECT *, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events)
 """)
 def rewind_retry(spark, sf_dir):
     root = new_folder(spark, "retries")
-    rows = t.source(spark, sf_dir, "events", True).select("event_id", "event_type", "props")
+    rows = t.source(spark, sf_dir, "events", True, **micro_batch()).select(
+        "event_id", "event_type", "props"
+    )
 
     def strategy(attempt):
         return (

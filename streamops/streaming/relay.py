@@ -11,12 +11,10 @@ from pyspark.sql import types as T
 from streamops.operators.outbox import PUBLISHED, RelayPolicy, UNTOUCHED, apply_pass, relay_pass
 from streamops.schemas import OUTBOX
 from streamops.streaming.run import paced
-from streamops.streaming.sinks import batch_path, read_batches
+from streamops.streaming.sinks import read_before, write_batch
 
-_CHANGES = T.StructType([
-    f for f in OUTBOX.fields
-    if f.name in ("id", "processed_on", "state", "retry_count", "error")
-] + [T.StructField("action", T.StringType()), T.StructField("pass_no", T.LongType())])
+_SETTLED = T.StructType(OUTBOX.fields + [T.StructField("action", T.StringType())])
+_CHANGED = ("processed_on", "state", "retry_count", "error", "action")
 
 
 class Relay:
@@ -33,10 +31,8 @@ class Relay:
         self.decoded, self.publish_error = decoded, publish_error
 
     def _changes(self, spark: SparkSession, until: int) -> DataFrame:
-        schema = T.StructType(OUTBOX.fields + _CHANGES.fields[-2:])
-        rows = read_batches(spark, self.root, schema, 0, until)
-        newest = F.max_by(F.struct(*[f.name for f in _CHANGES if f.name != "id"]),
-                          F.col("pass_no")).alias("_row")
+        newest = F.max_by(F.struct(*_CHANGED), F.col("batch_id")).alias("_row")
+        rows = read_before(spark, self.root, _SETTLED, until)
         return rows.groupBy("id").agg(newest).select("id", "_row.*")
 
     def current(self, spark: SparkSession, passes: int) -> DataFrame:
@@ -54,17 +50,16 @@ class Relay:
             pending = apply_pass(pending, self._changes(spark, number))
         rows = relay_pass(pending, self.policy, F.current_timestamp(),
                           self.publish_error, self.decoded)
-        rows.filter(F.col("action") != UNTOUCHED).withColumn(
-            "pass_no", F.lit(number).cast("long")
-        ).write.mode("overwrite").parquet(batch_path(self.root, number))
+        settled = rows.filter(F.col("action") != UNTOUCHED)
+        write_batch(settled.select(*_SETTLED.fieldNames()), self.root, number)
 
     def published(self, spark: SparkSession, passes: int) -> DataFrame:
         """Records sent so far, each to the topic its row names, keyed by entity."""
-        schema = T.StructType(OUTBOX.fields + _CHANGES.fields[-2:])
-        return read_batches(spark, self.root, schema, 0, passes).filter(
-            F.col("action") == PUBLISHED
-        ).select("topic", F.col("entity_id").alias("key"), F.col("content").alias("value"),
-                 "sequence", "pass_no")
+        rows = read_before(spark, self.root, _SETTLED, passes)
+        return rows.filter(F.col("action") == PUBLISHED).select(
+            "topic", F.col("entity_id").alias("key"), F.col("content").alias("value"),
+            "sequence", F.col("batch_id").alias("pass_no"),
+        )
 
     def start(self, spark: SparkSession, checkpoint: str):
         """A pass every ``policy.interval``, as a writer to be started."""

@@ -9,6 +9,8 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from streamops.constants import EMIT_INTERVAL, MICRO_BATCH_INTERVAL, MICRO_BATCH_RECORDS
 
+MICRO_BATCH_BYTES = 256 * 1024**3
+
 BatchHandler = Callable[[DataFrame, int], None]
 
 
@@ -79,10 +81,20 @@ def fan_out(df: DataFrame, root: str, subscribers: list[str],
     return paths
 
 
-def micro_batch(kafka: bool = False, records: int = MICRO_BATCH_RECORDS,
-                files: int = 1) -> Mapping[str, str]:
-    """Reader options that bound a micro-batch, by records or by files."""
-    return {"maxOffsetsPerTrigger": str(records)} if kafka else {"maxFilesPerTrigger": str(files)}
+def micro_batch(size: int = MICRO_BATCH_BYTES, files: int | None = None) -> Mapping[str, str]:
+    """Reader options that bound a micro-batch of a log kept in files.
+
+    Bytes suit large logs, whose batches should fill the cluster; a number of
+    files suits logs whose files are the unit of arrival.
+    """
+    if files is not None:
+        return {"maxFilesPerTrigger": str(files)}
+    return {"maxBytesPerTrigger": str(size)}
+
+
+def micro_batch_records(records: int = MICRO_BATCH_RECORDS) -> Mapping[str, str]:
+    """The same bound in records, for the Kafka source."""
+    return {"maxOffsetsPerTrigger": str(records)}
 
 
 def paced(writer: DataStreamWriter, interval: str = MICRO_BATCH_INTERVAL) -> DataStreamWriter:

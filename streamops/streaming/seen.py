@@ -12,29 +12,29 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from streamops.constants import DEDUP_RETENTION_HOURS, SUCCESS
 
 
-def _upto_first_success(rows: pd.DataFrame, key: str, order: str) -> pd.DataFrame:
-    """Rows not behind a successful row of their id."""
-    ok = rows.loc[rows["outcome"] == SUCCESS]
-    first = ok.groupby(key)[order].min()
-    limit = rows[key].map(first)
-    return rows[limit.isna() | (rows[order] <= limit)]
+def _one_success_per_id(rows: pd.DataFrame, key: str, order: str) -> pd.DataFrame:
+    """All failed rows, and per id the first of the successful ones."""
+    ok = rows["outcome"] == SUCCESS
+    first = rows[ok].sort_values(order).drop_duplicates(key)
+    return pd.concat([rows[~ok], first], ignore_index=True)
 
 
 def anti_cache(df: DataFrame, key: str, order: str,
                hours: float = DEDUP_RETENTION_HOURS) -> DataFrame:
-    """Drop rows whose id succeeded before, or earlier in the batch.
+    """Drop rows whose id has succeeded in an earlier batch, and repeated successes.
 
     An id is remembered for ``hours`` once a row of it has the outcome
     ``success``; rows that failed leave no mark. The ledger stays the guarantee,
     so this filter may be left out without changing results. Copies of one id
     collapse inside the Arrow batches of the scan, before the shuffle to the
-    state store. Drain it with ``no_data_batches=False``.
+    state store, and there at most one row per id is held. Drain it with
+    ``no_data_batches=False``.
     """
     ttl_ms = max(round(hours * 3_600_000), 1)
 
     def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            yield _upto_first_success(rows, key, order)
+            yield _one_success_per_id(rows, key, order)
 
     class Seen(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
@@ -43,13 +43,17 @@ def anti_cache(df: DataFrame, key: str, order: str,
         def handleInputRows(self, keys, rows, timer_values) -> Iterator[pd.DataFrame]:
             if self.seen.exists():
                 return
-            kept = pd.DataFrame()
+            success = None
             for chunk in rows:
-                kept = _upto_first_success(pd.concat([kept, chunk], ignore_index=True),
-                                           key, order)
-            if (kept["outcome"] == SUCCESS).any():
+                if success is not None:
+                    chunk = pd.concat([chunk, success], ignore_index=True)
+                kept = _one_success_per_id(chunk, key, order)
+                ok = kept["outcome"] == SUCCESS
+                success = kept[ok] if ok.any() else None
+                yield kept[~ok]
+            if success is not None:
                 self.seen.update((True,))
-            yield kept
+                yield success
 
         def close(self) -> None:
             pass

@@ -50,6 +50,15 @@ def read_batches(spark: SparkSession, path: str, schema: T.StructType,
     return spark.read.schema(schema).parquet(*paths)
 
 
+def read_before(spark: SparkSession, path: str, schema: T.StructType,
+                batch_id: int) -> DataFrame:
+    """Every batch before ``batch_id``, with its number; later folders are pruned."""
+    numbered = T.StructType(schema.fields + [T.StructField("batch_id", T.IntegerType())])
+    if batch_id <= 0:
+        return empty(spark, numbered)
+    return spark.read.schema(numbered).parquet(path).filter(F.col("batch_id") < batch_id)
+
+
 class KeyedTable:
     """A table of one folded row per key, kept as one part per micro-batch.
 
@@ -59,7 +68,7 @@ class KeyedTable:
     further back than the last such part.
     """
 
-    def __init__(self, path: str, schema: T.StructType,
+    def __init__(self, path: str, schema: T.StructType | None,
                  merge: Callable[[DataFrame], DataFrame], compact_every: int = COMPACT_EVERY):
         self.path, self.schema, self.merge = path, schema, merge
         self.compact_every = compact_every
@@ -72,6 +81,14 @@ class KeyedTable:
         first = self._start(batch_id)
         return self.merge(read_batches(spark, self.path, self.schema, first, batch_id))
 
+    def now(self, spark: SparkSession) -> DataFrame:
+        """The table after its newest batch."""
+        newest = spark.read.parquet(self.path).agg(F.max("batch_id")).first()[0]
+        if self.schema is None:
+            self.schema = T.StructType(
+                spark.read.parquet(batch_path(self.path, newest)).schema.fields)
+        return self.before(spark, newest + 1)
+
     def put(self, part: DataFrame, batch_id: int) -> None:
         if batch_id > 0 and batch_id % self.compact_every == 0:
             spark = part.sparkSession
@@ -102,13 +119,9 @@ class ReadModel:
         self.table.put(typed, batch_id)
 
     def read(self, spark: SparkSession, batches: int | None = None) -> DataFrame:
-        """The model after the first ``batches`` micro-batches, or after all.
-
-        Folding a part twice changes nothing, so reading every part is right too.
-        """
-        if batches is not None:
-            return cdc_read_model(self.table.before(spark, batches))
-        return cdc_read_model(cdc_merge(spark.read.schema(CDC_PART).parquet(self.table.path)))
+        """The model after the first ``batches`` micro-batches, or after all."""
+        parts = self.table.now(spark) if batches is None else self.table.before(spark, batches)
+        return cdc_read_model(parts)
 
 
 # --- profiles, one row per event ------------------------------------------
@@ -148,19 +161,26 @@ class ProfileFold:
 class MaterializedTable:
     """The newest row per key of an aggregate that a stream keeps updating."""
 
-    def __init__(self, path: str, *key: str):
-        self.path, self.key = path, list(key)
+    def __init__(self, path: str, *key: str, compact_every: int = COMPACT_EVERY):
+        self.key = list(key)
+        self.table = KeyedTable(path, None, self._newest, compact_every)
+
+    def _newest(self, parts: DataFrame) -> DataFrame:
+        keys = {c.lower() for c in self.key}
+        values = [c for c in parts.columns if c.lower() not in keys]
+        row = F.max_by(F.struct(*values), F.col("version")).alias("_row")
+        return parts.groupBy(*self.key).agg(row).select(*self.key, "_row.*")
 
     def put(self, batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch, self.path, batch_id)
+        part = batch.withColumn("version", F.lit(batch_id).cast("long"))
+        part = part.select(*self.key, *[c for c in part.columns
+                                        if c.lower() not in {k.lower() for k in self.key}])
+        self.table.schema = part.schema
+        self.table.put(part, batch_id)
 
     def pull(self, spark: SparkSession) -> DataFrame:
         """Point-in-time read of the whole table."""
-        parts = spark.read.parquet(self.path)
-        keys = {c.lower() for c in self.key}
-        values = [c for c in parts.columns if c.lower() not in keys | {"batch_id"}]
-        newest = F.max_by(F.struct(*values), F.col("batch_id")).alias("_row")
-        return parts.groupBy(*self.key).agg(newest).select(*self.key, "_row.*")
+        return self.table.now(spark).drop("version")
 
 
 # --- ledger ---------------------------------------------------------------
@@ -179,13 +199,7 @@ class LedgerSink:
 
     def commit(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        ledger = empty(spark, LEDGER)
-        if batch_id > 0:
-            kept = T.StructType(LEDGER.fields + [T.StructField("batch_id", T.IntegerType())])
-            ledger = spark.read.schema(kept).parquet(self.path).filter(
-                F.col("batch_id") < batch_id
-            )
-        ledger = ledger.select("transaction_id")
+        ledger = read_before(spark, self.path, LEDGER, batch_id).select("transaction_id")
         if self.seed is not None:
             ledger = ledger.unionByName(self.seed.select("transaction_id"))
         fresh = idempotent_process(batch, ledger, self.key, self.order)

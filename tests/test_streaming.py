@@ -21,6 +21,7 @@ from streamops.streaming.run import (
     file_sink,
     handler,
     micro_batch,
+    micro_batch_records,
     paced,
 )
 from streamops.streaming.seen import anti_cache
@@ -70,7 +71,7 @@ def drain_windows(spark, folder, batches, delay="0 seconds"):
     src, out, checkpoint = folder("src"), folder("out"), folder("cp")
     for seconds in batches:
         append(spark, src, VIEWS, *[("/home", at(s)) for s in seconds])
-    views = stream(spark, src, VIEWS, **micro_batch())
+    views = stream(spark, src, VIEWS, **micro_batch(files=1))
     drain(file_sink(agg_tumbling_count(views, delay=delay), out, checkpoint), 120)
     return offsets(spark.read.parquet(out))
 
@@ -94,7 +95,7 @@ def test_updates_end_in_the_batch_result(spark, folder):
     table = MaterializedTable(folder("table"), "page", "window_start", "window_end")
     for seconds in ([0, 1], [3, 6], [7, 21]):
         append(spark, src, VIEWS, *[("/docs", at(s)) for s in seconds])
-    views = stream(spark, src, VIEWS, **micro_batch())
+    views = stream(spark, src, VIEWS, **micro_batch(files=1))
     counts = agg_tumbling_count(views, delay="1 hour")
     drain(handler(counts, table.put, checkpoint, mode="update"), 120)
     assert offsets(table.pull(spark)) == offsets(agg_tumbling_count(spark.read.parquet(src)))
@@ -120,7 +121,7 @@ def test_profiles_over_batches_and_restarts(spark, folder, rows, compact_every):
     for half in (events[:30], events[30:]):
         for i in range(0, 30, 6):
             append(spark, src, USER_EVENTS, *half[i:i + 6])
-        drain(handler(stream(spark, src, USER_EVENTS, **micro_batch()), fold.derive, checkpoint),
+        drain(handler(stream(spark, src, USER_EVENTS, **micro_batch(files=1)), fold.derive, checkpoint),
               120)
     expected = folds.running_profile(spark.createDataFrame(events, USER_EVENTS))
     derived = spark.read.parquet(fold.out)
@@ -158,7 +159,7 @@ def test_read_model_in_batches(spark, folder, rows):
         model.upsert(batch, batch_id)
         batches.append(batch_id)
 
-    changes = stream(spark, src, CHANGES, **micro_batch())
+    changes = stream(spark, src, CHANGES, **micro_batch(files=1))
     drain(handler(changes, upsert, folder("cp")), 120)
     expected = rows(folds.agg_cdc_fold(spark.createDataFrame(data, CHANGES)))
     assert batches == [0, 1, 2, 3, 4]
@@ -251,10 +252,13 @@ def test_micro_batches_are_bounded(spark, folder):
     src, sizes = folder("src"), []
     for n in range(3):
         append(spark, src, "n long", *[(i,) for i in range(n + 1)])
-    rows_of = stream(spark, src, "n long", **micro_batch())
+    rows_of = stream(spark, src, "n long", **micro_batch(files=1))
     drain(handler(rows_of, lambda batch, n: sizes.append(batch.count()), folder("cp")), 120)
     assert sizes == [1, 2, 3]
-    assert micro_batch(kafka=True) == {"maxOffsetsPerTrigger": "100"}
+    assert micro_batch_records() == {"maxOffsetsPerTrigger": "100"}
+    whole = stream(spark, src, "n long", **micro_batch(2**30))
+    drain(handler(whole, lambda batch, n: sizes.append(batch.count()), folder("cp")), 120)
+    assert sizes == [1, 2, 3, 6]
 
 
 def test_pacing_and_waiting(spark, folder):
@@ -353,7 +357,7 @@ def test_transient_rows_come_back_until_they_settle(spark, folder, rows):
             .otherwise(outcome.succeeded())
         )
 
-    events = stream(spark, src, schema, **micro_batch())
+    events = stream(spark, src, schema, **micro_batch(files=1))
     sink = RetrySink(folder("out"), events.schema, strategy)
 
     def twice(batch, batch_id):
@@ -383,12 +387,12 @@ def test_ledger(spark, folder, rows):
         sink.commit(batch, batch_id)
         sink.commit(batch, batch_id)
 
-    commands = stream(spark, src, COMMANDS, **micro_batch())
+    commands = stream(spark, src, COMMANDS, **micro_batch(files=1))
     drain(handler(commands, twice, checkpoint), 120)
     expected = [("a", "a0"), ("b", "b4")]
     assert rows(sink.read(spark), "transaction_id", "payload") == expected
     append(spark, src, COMMANDS, ("b", 5, "b5"), ("c", 6, "c6"))
-    drain(handler(stream(spark, src, COMMANDS, **micro_batch()), twice, checkpoint), 120)
+    drain(handler(stream(spark, src, COMMANDS, **micro_batch(files=1)), twice, checkpoint), 120)
     assert rows(sink.read(spark), "transaction_id", "payload") == expected + [("c", "c6")]
 
 
@@ -396,7 +400,7 @@ SEEN = "id string, offset long, outcome string"
 
 
 def drain_seen(spark, src, out, checkpoint, hours=24.0):
-    events = stream(spark, src, SEEN, **micro_batch())
+    events = stream(spark, src, SEEN, **micro_batch(files=1))
     seen = file_sink(anti_cache(events, "id", "offset", hours), out, checkpoint)
     drain(seen, 120, no_data_batches=False)
     return sorted((r.id, r.offset) for r in spark.read.parquet(out).collect())
@@ -405,13 +409,14 @@ def drain_seen(spark, src, out, checkpoint, hours=24.0):
 def test_seen_ids_are_skipped_and_failures_leave_no_mark(spark, folder):
     src, out, checkpoint = folder("src"), folder("out"), folder("cp")
     append(spark, src, SEEN, ("a", 2, "success"), ("a", 1, "transient"), ("a", 3, "success"),
-           ("b", 4, "transient"))
-    append(spark, src, SEEN, ("a", 5, "success"), ("b", 6, "success"), ("c", 0, "success"))
+           ("b", 4, "transient"), ("b", 9, "transient"))
+    append(spark, src, SEEN, ("a", 5, "success"), ("a", 10, "transient"),
+           ("b", 6, "success"), ("c", 0, "success"))
     assert drain_seen(spark, src, out, checkpoint) == [
-        ("a", 1), ("a", 2), ("b", 4), ("b", 6), ("c", 0)]
+        ("a", 1), ("a", 2), ("b", 4), ("b", 6), ("b", 9), ("c", 0)]
     append(spark, src, SEEN, ("b", 7, "success"), ("d", 8, "success"))
     assert drain_seen(spark, src, out, checkpoint) == [
-        ("a", 1), ("a", 2), ("b", 4), ("b", 6), ("c", 0), ("d", 8)]
+        ("a", 1), ("a", 2), ("b", 4), ("b", 6), ("b", 9), ("c", 0), ("d", 8)]
 
 
 def test_a_mark_ends_with_its_retention(spark, folder):
