@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from streamops.constants import DECODE_FAILED, POISON, SUCCESS
+from streamops.schemas import HEADERS
 
 _CORRUPT = "_corrupt"
 
@@ -84,17 +85,26 @@ def decode_polymorphic(
 
 def header_bytes(headers: Column, name: str) -> Column:
     """First header of that name as bytes; null when there is none."""
-    return F.try_element_at(F.filter(headers, lambda h: h["key"] == name), F.lit(1))["value"]
+    position = F.array_position(headers["key"], name)
+    return F.when(position > 0, headers["value"][position.cast("int") - 1])
 
 
 def header_get(headers: Column, name: str) -> Column:
-    """First header of that name as text; null when there is none."""
-    return F.decode(header_bytes(headers, name), "UTF-8")
+    """First header of that name as text; null when there is none.
+
+    A cast, unlike ``decode``, does not fail on bytes that are no UTF-8.
+    """
+    return header_bytes(headers, name).cast("string")
 
 
 def header_error(headers: Column, name: str) -> Column:
     """The failure of ``header_get``: a reason when the header is absent, else null."""
-    return F.when(header_bytes(headers, name).isNull(), F.lit(f"header '{name}' is missing"))
+    return missing_header(header_bytes(headers, name), name)
+
+
+def missing_header(value: Column, name: str) -> Column:
+    """The failure for a header already read."""
+    return F.when(value.isNull(), F.lit(f"header '{name}' is missing"))
 
 
 def make_headers(**values: Column) -> Column:
@@ -102,10 +112,9 @@ def make_headers(**values: Column) -> Column:
 
     Underscores in the argument names stand for the hyphens of header names.
     """
-    entries = [
-        F.when(value.isNotNull(),
-               F.struct(F.lit(name.replace("_", "-")).alias("key"),
-                        F.encode(value, "UTF-8").alias("value")))
-        for name, value in values.items()
-    ]
-    return F.filter(F.array(*entries), lambda h: h.isNotNull())
+    def entry(name: str, value: Column) -> Column:
+        header = F.struct(F.lit(name.replace("_", "-")).alias("key"),
+                          value.cast("binary").alias("value"))
+        return F.when(value.isNotNull(), F.array(header)).otherwise(F.array().cast(HEADERS))
+
+    return F.concat(*[entry(name, value) for name, value in values.items()])

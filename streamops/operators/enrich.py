@@ -28,7 +28,7 @@ from streamops.constants import (
     TRANSIENT,
     USD_RATES,
 )
-from streamops.functions.codec import header_error, header_get
+from streamops.functions.codec import header_get, missing_header
 
 
 def _inline_table(spark: SparkSession, values: Mapping[str, str], key: str, value: str,
@@ -101,12 +101,14 @@ def address_check(df: DataFrame, headers: str = "headers") -> DataFrame:
     The reply address is reported before the correlation id.
     """
     h = F.col(headers)
-    return df.withColumns({
+    read = df.withColumns({
         "reply_to": header_get(h, HEADER_REPLY_TO),
         "correlation_id": header_get(h, HEADER_CORRELATION_ID),
-        "error": F.coalesce(header_error(h, HEADER_REPLY_TO),
-                            header_error(h, HEADER_CORRELATION_ID)),
     })
+    return read.withColumn("error", F.coalesce(
+        missing_header(F.col("reply_to"), HEADER_REPLY_TO),
+        missing_header(F.col("correlation_id"), HEADER_CORRELATION_ID),
+    ))
 
 
 def addressable(df: DataFrame, headers: str = "headers") -> DataFrame:

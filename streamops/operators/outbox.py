@@ -98,7 +98,7 @@ def relay_pass(
     batch = batch.withColumns({
         "_decoded": F.coalesce(decoded, F.lit(False)), "_publish_error": publish_error,
     })
-    failing = F.col("_decoded") & F.col("_publish_error").isNotNull()
+    failing = F.col("_publish_error").isNotNull() & F.col("_decoded")
     batch = prefix_until_failure(batch, "sequence", failing, partition_by)
     stop, seq = F.col("first_failure"), F.col("sequence")
     action = (
