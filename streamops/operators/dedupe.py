@@ -19,9 +19,9 @@ def anti_ledger(df: DataFrame, ledger: DataFrame, key: str,
 
     The ledger outgrows any batch, so it is first cut to the ids at hand: as the
     right side of the semi-join a small batch is broadcast and the ledger only
-    scanned, never shuffled.
+    scanned, never shuffled. Copies of a hot id collapse before that.
     """
-    ids = df.select(F.col(key).alias(ledger_key))
+    ids = df.select(F.col(key).alias(ledger_key)).distinct()
     known = ledger.select(ledger_key).join(ids, ledger_key, "left_semi")
     return df.join(known.withColumnRenamed(ledger_key, key), key, "left_anti")
 

@@ -34,6 +34,7 @@ from streamops.session import new_folder
 from streamops.sources import log
 from streamops.streaming import sql as stream_sql
 from streamops.streaming.relay import Relay
+from streamops.streaming.resilient import ResilientConsumer
 from streamops.streaming.run import drain, fan_out as run_fan_out, file_sink, handler, micro_batch
 from streamops.streaming.sinks import (
     DeliverySink,
@@ -346,6 +347,47 @@ def dedup_ledger(spark, sf_dir):
     return sink.read(spark).select("transaction_id", "payload")
 
 
+@query("""
+SELECT CAST(event_id AS VARCHAR) AS id,
+       CASE WHEN event_type IN ('error', 'signup') THEN 'deadletter' ELSE 'committed' END AS branch,
+       CASE event_type WHEN 'error' THEN 1 ELSE CAST(1 + k % 3 AS INTEGER) END AS attempts,
+       CASE event_type WHEN 'error' THEN 'Failed to deserialize' WHEN 'signup' THEN 'refused' END
+           AS reason
+FROM (SELECT *, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events)
+""")
+def resilient_consumer(spark, sf_dir):
+    """Clicks come twice, errors are cut short, sign-ups are refused, and every
+    record fails ``k`` modulo three times before it is accepted or refused."""
+    root = new_folder(spark, "resilient")
+    kind = F.col("event_type")
+    copies = F.when(kind == "click", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    text = log.json_value("event_id", "event_type", "props")
+    whole = F.when(kind == "error", F.substring(text, F.lit(1), F.length(text) - 1))
+    records = t.source(spark, sf_dir, "events", True, **micro_batch()).withColumn(
+        "copy", F.explode(copies)
+    ).select(F.col("event_id").cast("string").alias("key"),
+             (F.col("event_id") * 2 + F.col("copy")).alias("offset"),
+             whole.when(kind != "error", text).alias("value"))
+    schema = T.StructType([T.StructField("event_id", T.LongType()),
+                           T.StructField("event_type", T.StringType()),
+                           T.StructField("props", T.StringType())])
+
+    def strategy(attempt):
+        return (
+            F.when(attempt <= t.k_of() % 3, outcome.failed("transient", "ledger unavailable"))
+            .when(F.col("event_type") == "signup", outcome.failed("poison", "refused"))
+            .otherwise(outcome.succeeded())
+        )
+
+    consumer = ResilientConsumer(f"{root}/out", schema, "event_id", strategy)
+    consumer.finish(spark, _handled(records, consumer.handle, root), rounds=2)
+    done = consumer.committed(spark).withColumn("branch", F.lit("committed"))
+    parked = consumer.dead_letters(spark).withColumn("branch", F.lit("deadletter"))
+    return done.unionByName(parked).select(
+        F.col("key").alias("id"), "branch", "attempts", "reason"
+    )
+
+
 @query("""
 SELECT 'cdc.' || event_type AS topic, CAST(user_id AS VARCHAR) AS key, props AS value,
        event_id AS sequence

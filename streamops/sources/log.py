@@ -83,9 +83,15 @@ def log_append(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.write.format(fmt).mode("append").save(path)
 
 
-def route_by_column(df: DataFrame, path: str, column: str = "topic", mode: str = "append") -> None:
-    """Append each row to the topic it names: one directory per topic."""
-    df.write.mode(mode).partitionBy(column).parquet(path)
+def route_by_column(df: DataFrame, path: str, column: str = "topic", mode: str = "append",
+                    rebalance: bool = False) -> None:
+    """Append each row to the topic it names: one directory per topic.
+
+    Every task writes a file per topic it meets. With many topics, ``rebalance``
+    gathers them first; Spark then splits the big ones and merges the small.
+    """
+    rows = df.hint("rebalance", column) if rebalance else df
+    rows.write.mode(mode).partitionBy(column).parquet(path)
 
 
 def read_topic(spark: SparkSession, path: str, topic: str, column: str = "topic") -> DataFrame:

@@ -25,13 +25,15 @@ def drain(writer: DataStreamWriter, timeout: int | None = None,
     retention in processing time asks for such batches for ever, so a drain over
     ``anti_cache`` must switch them off.
     """
-    spark = SparkSession.active()
-    before = spark.conf.get(NO_DATA_BATCHES)
-    spark.conf.set(NO_DATA_BATCHES, str(no_data_batches).lower())
+    if no_data_batches:
+        return await_caught_up(writer.trigger(availableNow=True).start(), timeout)
+    conf = SparkSession.active().conf
+    before = conf.get(NO_DATA_BATCHES)
+    conf.set(NO_DATA_BATCHES, "false")
     try:
         query = writer.trigger(availableNow=True).start()
     finally:
-        spark.conf.set(NO_DATA_BATCHES, before)
+        conf.set(NO_DATA_BATCHES, before)
     return await_caught_up(query, timeout)
 
 
@@ -45,6 +47,12 @@ def await_caught_up(query: StreamingQuery, timeout: int | None = None) -> Stream
     return query
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows the recent batches of a query dropped for coming behind the watermark."""
+    return sum(op["numRowsDroppedByWatermark"]
+               for batch in query.recentProgress for op in batch["stateOperators"])
+
+
 def file_sink(df: DataFrame, path: str, checkpoint: str, mode: str = "append",
               partition_by: list[str] | None = None) -> DataStreamWriter:
     """Exactly-once file output: files and source position commit together."""

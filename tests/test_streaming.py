@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from streamops import schemas
-from streamops.operators import correlate, enrich, folds, outcome
+from streamops.operators import correlate, enrich, folds, outcome, saga
 from streamops.operators.windows import agg_tumbling_count
 from streamops.sources import log
 from streamops.streaming import sql as stream_sql
@@ -20,10 +20,12 @@ from streamops.streaming.run import (
     fan_out,
     file_sink,
     handler,
+    late_rows,
     micro_batch,
     micro_batch_records,
     paced,
 )
+from streamops.streaming.resilient import ResilientConsumer
 from streamops.streaming.seen import anti_cache
 from streamops.streaming.sinks import (
     DeliverySink,
@@ -72,22 +74,22 @@ def drain_windows(spark, folder, batches, delay="0 seconds"):
     for seconds in batches:
         append(spark, src, VIEWS, *[("/home", at(s)) for s in seconds])
     views = stream(spark, src, VIEWS, **micro_batch(files=1))
-    drain(file_sink(agg_tumbling_count(views, delay=delay), out, checkpoint), 120)
-    return offsets(spark.read.parquet(out))
+    query = drain(file_sink(agg_tumbling_count(views, delay=delay), out, checkpoint), 120)
+    return offsets(spark.read.parquet(out)), late_rows(query)
 
 
 def test_a_window_is_emitted_once_when_the_watermark_passes_it(spark, folder):
-    assert drain_windows(spark, folder, [[0, 1], [4], [12]]) == [("/home", 0, 3)]
+    assert drain_windows(spark, folder, [[0, 1], [4], [12]]) == ([("/home", 0, 3)], 0)
 
 
 def test_a_row_two_batches_late_is_dropped(spark, folder):
-    assert drain_windows(spark, folder, [[0, 1], [12], [13], [2], [30]]) == [
-        ("/home", 0, 2), ("/home", 10, 2)]
+    got, late = drain_windows(spark, folder, [[0, 1], [12], [13], [2], [30]])
+    assert got == [("/home", 0, 2), ("/home", 10, 2)] and late == 1
 
 
 def test_the_delay_keeps_a_window_open(spark, folder):
-    got = drain_windows(spark, folder, [[0, 1], [12], [13], [2], [60]], "30 seconds")
-    assert got == [("/home", 0, 3), ("/home", 10, 2)]
+    got, late = drain_windows(spark, folder, [[0, 1], [12], [13], [2], [60]], "30 seconds")
+    assert late == 0 and got == [("/home", 0, 3), ("/home", 10, 2)]
 
 
 def test_updates_end_in_the_batch_result(spark, folder):
@@ -396,6 +398,73 @@ def test_ledger(spark, folder, rows):
     assert rows(sink.read(spark), "transaction_id", "payload") == expected + [("c", "c6")]
 
 
+def test_resilient_consumer(spark, folder, rows):
+    src = folder("src")
+    schema = "key string, offset long, value string"
+    append(spark, src, schema, ("a", 1, '{"id": "a", "needs": 1}'), ("a", 0, '{"id": "a", "needs": 1}'),
+           ("b", 2, '{"id": "b", "needs": 3}'), ("x", 3, "{bad"), ("y", 4, '{"needs": 1}'))
+    append(spark, src, schema, ("a", 5, '{"id": "a", "needs": 1}'),
+           ("b", 6, '{"id": "b", "needs": 1}'), ("p", 8, '{"id": "p", "needs": 0}'),
+           ("p", 7, '{"id": "p", "needs": 0}'))
+    payload = T._parse_datatype_string("id string, needs int")
+
+    def strategy(attempt):
+        return (
+            F.when(F.col("needs") == 0, outcome.failed("poison", "refused"))
+            .when(attempt < F.col("needs"), outcome.failed("transient", "unavailable"))
+            .otherwise(outcome.succeeded())
+        )
+
+    consumer = ResilientConsumer(folder("out"), payload, "id", strategy)
+
+    def twice(batch, batch_id):
+        consumer.handle(batch, batch_id)
+        consumer.handle(batch, batch_id)
+
+    records = stream(spark, src, schema, **micro_batch(files=1))
+    drain(handler(records, twice, folder("cp")), 120)
+    assert rows(consumer.committed(spark), "id", "offset", "attempts") == [("a", 0, 1)]
+    consumer.finish(spark, 2, 1)
+    assert rows(consumer.committed(spark), "id", "offset", "attempts") == [
+        ("a", 0, 1), ("b", 2, 3)]
+    assert rows(consumer.dead_letters(spark), "key", "attempts", "reason") == [
+        ("p", 1, "refused"), ("p", 1, "refused"), ("x", 1, "Failed to deserialize"),
+        ("y", 1, "record has no id")]
+
+
+def test_stateless_operators_give_the_same_on_a_stream(spark, folder, rows):
+    src, out = folder("src"), folder("out")
+    schema = "id string, item string"
+    append(spark, src, schema, ("ORD-1", "in-stock-item"), ("ORD-2", "rare-item"))
+    log_of = saga.saga_choreography(stream(spark, src, schema), "id", F.col("item"))
+    drain(file_sink(log_of, out, folder("cp")), 120)
+    batch = saga.saga_choreography(spark.read.parquet(src), "id", F.col("item"))
+    assert rows(spark.read.parquet(out)) == rows(batch)
+
+
+def test_a_log_can_be_json(spark, folder, rows):
+    path = folder("log")
+    data = spark.createDataFrame([("kyiv", "R-1", 8.5)], schemas.RIDE_REQUEST)
+    log.log_append(data, path, "json")
+    assert rows(log.log_replay(spark, path, schemas.RIDE_REQUEST, "json")) == [
+        ("kyiv", "R-1", 8.5)]
+    out = folder("out")
+    drain(file_sink(log.log_scan(spark, path, schemas.RIDE_REQUEST, "json"), out, folder("cp")),
+          120)
+    assert rows(spark.read.parquet(out)) == [("kyiv", "R-1", 8.5)]
+
+
+def test_routing_with_rebalance(spark, folder, rows):
+    path = folder("routed")
+    data = spark.range(0, 100, 1, 8).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("topic"),
+        F.col("id").alias("n"))
+    log.route_by_column(data, path, rebalance=True)
+    assert log.read_topic(spark, path, "hot").count() == 34
+    assert spark.read.parquet(path).count() == 100
+    assert len(spark.read.parquet(path).inputFiles()) == 67
+
+
 SEEN = "id string, offset long, outcome string"
 
 
