@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def first_per_id(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of every id; copies collapse before the shuffle."""
+def first_per_id(df: DataFrame, key: str, order: str, copies: str | None = None) -> DataFrame:
+    """The first row of every id; copies collapse before the shuffle.
+
+    ``copies`` names a column to hold how many rows the id has.
+    """
     rest = [c for c in df.columns if c not in (key, order)]
-    row = F.struct(order, *rest)
-    return df.groupBy(key).agg(F.min_by(row, F.col(order)).alias("_row")).select(key, "_row.*")
+    row = F.min_by(F.struct(order, *rest), F.col(order)).alias("_row")
+    if copies is None:
+        return df.groupBy(key).agg(row).select(key, "_row.*")
+    return df.groupBy(key).agg(row, F.count("*").alias(copies)).select(key, "_row.*", copies)
 
 
 def anti_ledger(df: DataFrame, ledger: DataFrame, key: str,

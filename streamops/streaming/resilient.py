@@ -33,7 +33,8 @@ class ResilientConsumer:
 
     A batch owns one folder with a directory per branch. The first records are
     written before their copies, which read the outcome from there, so that a
-    costly strategy runs once per id.
+    costly strategy runs once per id. The decoded batch is kept for the time of
+    its handling, on disk where memory is short; lost blocks are decoded again.
     """
 
     def __init__(self, path: str, schema: T.StructType, id_field: str,
@@ -44,6 +45,7 @@ class ResilientConsumer:
             T.StructField("id", T.StringType()),
             T.StructField("attempts", T.IntegerType()),
             T.StructField("reason", T.StringType()),
+            T.StructField("copies", T.LongType()),
             T.StructField("branch", T.StringType()),
         ])
 
@@ -60,32 +62,40 @@ class ResilientConsumer:
         )
         decoded = decode_or_poison(rows, self.schema).withColumn(
             "id", F.col(self.id_field).cast("string")
-        )
+        ).persist()
+        try:
+            self._route(spark, decoded, batch_id)
+        finally:
+            decoded.unpersist()
+
+    def _route(self, spark: SparkSession, decoded: DataFrame, batch_id: int) -> None:
         malformed = decoded.filter((F.col("outcome") == POISON) | F.col("id").isNull())
         ledger = read_before(spark, self.path, self.stored, batch_id).filter(
             F.col("branch") == COMMITTED
         ).select(F.col("id").alias("transaction_id"))
         good = decoded.filter((F.col("outcome") == SUCCESS) & F.col("id").isNotNull())
-        fresh = anti_ledger(good.drop("outcome", "error"), ledger, "id")
-        first = first_per_id(fresh, "id", "offset")
+        good = good.drop("outcome", "error")
+        first = anti_ledger(first_per_id(good, "id", "offset", "copies"), ledger, "id")
         tried = first.withColumn("_r", self.strategy(F.col("attempts")))
         branch = (
             F.when(F.col("_r.outcome") == SUCCESS, COMMITTED)
             .when(F.col("_r.outcome") == TRANSIENT, WAITING).otherwise(DEAD_LETTER_TOPIC)
         )
         kept = (*RECORD.fieldNames(), "id", "attempts")
-        out = tried.select(*kept, F.col("_r.error").alias("reason"), branch.alias("branch"))
+        out = tried.select(*kept, F.col("_r.error").alias("reason"), "copies",
+                           branch.alias("branch"))
         parked = malformed.select(*kept, F.coalesce("error", F.lit("record has no id"))
-                                  .alias("reason"), F.lit(DEAD_LETTER_TOPIC).alias("branch"))
+                                  .alias("reason"), F.lit(1).cast("long").alias("copies"),
+                                  F.lit(DEAD_LETTER_TOPIC).alias("branch"))
         written = self._write(out.unionByName(parked), batch_id, "first")
         unsettled = spark.read.schema(self.stored).parquet(written).filter(
-            F.col("id").isNotNull() & (F.col("branch") != COMMITTED)
-        ).select("id", "branch", "reason", F.col("offset").alias("_first"),
+            (F.col("copies") > 1) & (F.col("branch") != COMMITTED)
+        ).select("id", "branch", "reason", "copies", F.col("offset").alias("_first"),
                  F.col("attempts").alias("_tries"))
-        copies = fresh.join(unsettled, "id").filter(F.col("offset") > F.col("_first"))
+        more = good.join(unsettled, "id").filter(F.col("offset") > F.col("_first"))
         tries = F.when(F.col("branch") == WAITING, F.col("attempts") - 1).otherwise(
             F.col("_tries"))
-        self._write(copies.withColumn("attempts", tries).select(*self.stored.fieldNames()),
+        self._write(more.withColumn("attempts", tries).select(*self.stored.fieldNames()),
                     batch_id, "copies")
 
     def _write(self, rows: DataFrame, batch_id: int, part: str) -> str:
@@ -101,7 +111,7 @@ class ResilientConsumer:
 
     def _branch(self, spark: SparkSession, name: str) -> DataFrame:
         return spark.read.parquet(self.path).filter(F.col("branch") == name).drop(
-            "branch", "batch_id", "part"
+            "branch", "batch_id", "part", "copies"
         )
 
     def committed(self, spark: SparkSession) -> DataFrame:
