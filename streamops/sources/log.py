@@ -6,8 +6,6 @@ Everything else works on the DataFrames these functions return, so moving to
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T

@@ -43,7 +43,8 @@ def create_table_as_select(spark: SparkSession, sql: str, key: str, path: str,
     return table, handler(spark.sql(sql), table.put, checkpoint, mode="update")
 
 
-def pull_query(spark: SparkSession, table: MaterializedTable, where: str | None = None) -> DataFrame:
+def pull_query(spark: SparkSession, table: MaterializedTable,
+               where: str | None = None) -> DataFrame:
     """Point-in-time read of a maintained table."""
     rows = table.pull(spark)
     return rows if where is None else rows.filter(where)
