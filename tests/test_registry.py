@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry_module
+from streamops.plans.registry import ORACLES, QUERIES
 
 duckdb = pytest.importorskip("duckdb")
 
@@ -31,7 +32,7 @@ def in_order(rows):
     return sorted(rows, key=lambda row: tuple((v is None, str(v)) for v in row))
 
 
-@pytest.mark.parametrize("name", sorted(entry_module.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_sql(spark, sql, name):
     df = entry_module.queries()[name](spark, SF_DIR)
     result = sql.execute(entry_module.oracle_sql()[name])
@@ -48,7 +49,8 @@ def test_query_equals_its_sql(spark, sql, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry_module.queries()) - set(entry_module.oracle_sql()) == WITHOUT_SQL
+    assert set(QUERIES) - set(ORACLES) == WITHOUT_SQL
+    assert set(QUERIES) <= set(entry_module.queries())
 
 
 def test_partition_key_counts_every_event(spark):
