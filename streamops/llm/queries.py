@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from streamops.llm import byte_bpe, token_files
-from streamops.llm.common import prepare, table
+from streamops.llm import byte_bpe, rank_profiles, token_files
+from streamops.llm.common import fold, prepare, table
 from streamops.session import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,12 @@ def op6_token_files(spark, sf_dir):
     manifest = token_files.write(table(spark, sf_dir, "documents"), folder,
                                  public_tokenizers.path(token_files.TOKENIZER))
     return token_files.read(spark, folder, manifest)
+
+
+@query
+def op7_rank_profiles(spark, sf_dir):
+    """Language of every document by rank-order profiles."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = rank_profiles.identify(docs.select("doc_id", "text"), rank_profiles.learn_folds(docs))
+    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"),
+                        "lang_pred", "score")
