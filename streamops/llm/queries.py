@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from streamops.llm import byte_bpe, rank_profiles, token_files
+from streamops.llm import byte_bpe, dart_minhash, rank_profiles, token_files
 from streamops.llm.common import fold, prepare, table
 from streamops.session import new_folder
 
@@ -51,3 +52,11 @@ def op7_rank_profiles(spark, sf_dir):
     found = rank_profiles.identify(docs.select("doc_id", "text"), rank_profiles.learn_folds(docs))
     return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"),
                         "lang_pred", "score")
+
+
+@query
+def op4_dart_minhash(spark, sf_dir):
+    """Near-duplicate groups of all documents: class id, and whether one stays."""
+    found = dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "component_id",
+                        (F.col("doc_id") == F.col("component_id")).alias("kept"))

@@ -2,8 +2,8 @@
 
 Documents are dealt to shards by range of id and sorted in each, so the shards
 in order hold the ids of the whole corpus in order. A shard is one file: batches
-of ``ids`` (fixed-size list of uint32) and ``mask`` (fixed-size list of uint8,
-0 behind the shard's last id). Sequence and batch lengths are fixed, so any
+of ``ids`` (fixed-size list of uint16, uint32 for vocabularies past 65,536) and
+``mask`` (fixed-size list of bits, unset behind the shard's last id). Sequence and batch lengths are fixed, so any
 sequence is found by arithmetic and read from a memory map without a copy.
 Beside it lies the shard's index, one row per document.
 """
@@ -41,23 +41,22 @@ def _encoder(digest: str, spec: Broadcast) -> ChunkEncoder:
     return ChunkEncoder(tokenizer, bytes_of)
 
 
-def file_schema(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), length)),
-                      ("mask", pa.list_(pa.uint8(), length))])
+def file_schema(length: int, kind: pa.DataType) -> pa.Schema:
+    return pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 class SequenceWriter:
     """Cuts a stream of ids into sequences and writes full batches of them."""
 
-    def __init__(self, sink, length: int, per_batch: int):
-        self.length, self.per_batch = length, per_batch
-        self.schema = file_schema(length)
+    def __init__(self, sink, length: int, per_batch: int, kind: np.dtype):
+        self.length, self.per_batch, self.kind = length, per_batch, kind
+        self.schema = file_schema(length, pa.from_numpy_dtype(kind))
         self.writer = pa.ipc.new_stream(sink, self.schema)
         self.waiting: list[np.ndarray] = []
         self.n_waiting = self.total = 0
 
     def add(self, ids: np.ndarray) -> None:
-        self.waiting.append(ids)
+        self.waiting.append(ids.astype(self.kind, copy=False))
         self.n_waiting += len(ids)
         self.total += len(ids)
         full = self.length * self.per_batch
@@ -69,16 +68,16 @@ class SequenceWriter:
             self.waiting, self.n_waiting = [data[cut:]], len(data) - cut
 
     def _write(self, data: np.ndarray, real: int) -> None:
-        mask = np.zeros(len(data), np.uint8)
-        mask[:real] = 1
+        mask = np.zeros(len(data), bool)
+        mask[:real] = True
         self.writer.write_batch(pa.record_batch([
-            pa.FixedSizeListArray.from_arrays(pa.array(data.astype(np.uint32)), self.length),
+            pa.FixedSizeListArray.from_arrays(pa.array(data), self.length),
             pa.FixedSizeListArray.from_arrays(pa.array(mask), self.length)], schema=self.schema))
 
     def close(self) -> None:
         if self.n_waiting:
             data = np.concatenate(self.waiting)
-            padded = np.zeros(-(-len(data) // self.length) * self.length, np.uint32)
+            padded = np.zeros(-(-len(data) // self.length) * self.length, self.kind)
             padded[:len(data)] = data
             self._write(padded, len(data))
         self.writer.close()
@@ -111,14 +110,15 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, length: int = SEQUE
         files.create_dir(base, recursive=True)
         own = f"{base}/part-{shard:05d}-{uuid.uuid4().hex}"
         encoder = _encoder(digest, spec)
-        end = np.array([end_id], np.uint32)
+        kind = np.dtype(np.uint16 if len(encoder.lengths) <= 1 << 16 else np.uint32)
+        end = np.array([end_id], kind)
         sink = index_sink = None
         n_docs = 0
         for batch in batches:
             if sink is None:
                 sink = files.open_output_stream(f"{own}.ids.tmp")
                 index_sink = files.open_output_stream(f"{own}.index.tmp")
-                out = SequenceWriter(sink, length, per_batch)
+                out = SequenceWriter(sink, length, per_batch, kind)
                 index = pa.ipc.new_stream(index_sink, INDEX)
             starts = []
             for ids in encoder.encode_all([t or "" for t in batch.column("text").to_pylist()]):
@@ -161,21 +161,21 @@ class SequenceFile:
         self.batches = list(reader)  # views of the map, no copies
         self.per_batch = len(self.batches[0]) * self.length if self.batches else 1
 
-    def _flat(self, column: str, batch: int) -> np.ndarray:
-        return self.batches[batch].column(column).flatten().to_numpy(zero_copy_only=True)
+    def sequence(self, n: int) -> tuple[np.ndarray, pa.Array]:
+        """The n-th sequence and its mask, both views of the file."""
+        batch, at = divmod(n, self.per_batch // self.length)
+        span = slice(at * self.length, (at + 1) * self.length)
+        return self._ids(batch)[span], self.batches[batch].column("mask").flatten()[span]
 
-    def sequence(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """The n-th sequence and its mask, as views."""
-        batch, at = divmod(n * self.length, self.per_batch)
-        return (self._flat("ids", batch)[at:at + self.length],
-                self._flat("mask", batch)[at:at + self.length])
+    def _ids(self, batch: int) -> np.ndarray:
+        return self.batches[batch].column("ids").flatten().to_numpy(zero_copy_only=True)
 
     def ids(self, start: int, count: int) -> list[np.ndarray]:
         """Views of ``count`` ids from ``start``, one per batch they lie in."""
         found = []
         while count > 0:
             batch, at = divmod(start, self.per_batch)
-            piece = self._flat("ids", batch)[at:at + count]
+            piece = self._ids(batch)[at:at + count]
             found.append(piece)
             start, count = start + len(piece), count - len(piece)
         return found
@@ -205,7 +205,7 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
                         for start, n in zip(part["start"].to_pylist(), part["n_tokens"].to_pylist()):
                             crc = 0
                             for piece in data.ids(start, n):
-                                crc = zlib.crc32(piece.astype("<u4", copy=False), crc)
+                                crc = zlib.crc32(piece.astype("<u4"), crc)
                             crcs.append(crc)
                         starts = part["start"].to_numpy() + row["base"]
                         yield pa.RecordBatch.from_arrays(
