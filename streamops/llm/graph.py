@@ -23,7 +23,7 @@ def key_filter(keys: DataFrame, key: str) -> np.ndarray:
     """A bit for each hash value some key has: 2 MB whatever the number of keys,
     so it may be sent to every task. It only spares work: who passes it still
     meets the exact join."""
-    bit = filter_bit(key)
+    bit = filter_bit(key) + 1  # the bitmap functions count from 1
     rows = keys.select(F.bitmap_bucket_number(bit).alias("at"), F.bitmap_bit_position(bit).alias("bit")) \
         .groupBy("at").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
     out = np.zeros(FILTER_BITS // 8 + 4096, np.uint8)
@@ -35,7 +35,6 @@ def key_filter(keys: DataFrame, key: str) -> np.ndarray:
 
 
 def passes(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    # bitmap_bucket_number counts from 1 and starts each bucket at bit 1.
     at = np.asarray(at, np.int64)
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
