@@ -19,11 +19,11 @@ def filter_bit(key: str) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
 
 
-def key_filter(keys: DataFrame, key: str) -> np.ndarray:
+def key_filter(keys: DataFrame, key: str | Column) -> np.ndarray:
     """A bit for each hash value some key has: 2 MB whatever the number of keys,
     so it may be sent to every task. It only spares work: who passes it still
-    meets the exact join."""
-    bit = filter_bit(key) + 1  # the bitmap functions count from 1
+    meets the exact join. ``key`` is a column's name or a bit number itself."""
+    bit = (filter_bit(key) if isinstance(key, str) else key) + 1  # the bitmap functions count from 1
     rows = keys.select(F.bitmap_bucket_number(bit).alias("at"), F.bitmap_bit_position(bit).alias("bit")) \
         .groupBy("at").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
     out = np.zeros(FILTER_BITS // 8 + 4096, np.uint8)

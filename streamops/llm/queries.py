@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamops.llm import byte_bpe, dart_minhash, rank_profiles, token_files
+from streamops.llm import byte_bpe, dart_minhash, positional_index, rank_profiles, token_files
 from streamops.llm.common import fold, prepare, table
 from streamops.session import new_folder
 
@@ -60,3 +60,14 @@ def op4_dart_minhash(spark, sf_dir):
     found = dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "component_id",
                         (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+@query
+def op3_positional_index(spark, sf_dir):
+    """Benchmark words in every document, by exact ten-word windows."""
+    found = positional_index.contamination(table(spark, sf_dir, "documents"),
+                                           table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"))

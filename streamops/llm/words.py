@@ -41,9 +41,11 @@ class _Powers:
         if len(self.up) < n:
             size = max(n, 2 * len(self.up), BUFFER)
             with np.errstate(over="ignore"):
-                self.up, self.down = (
-                    np.cumprod(np.concatenate([[1], np.full(size - 1, m, np.uint64)]).astype(
-                        np.uint64)) for m in (MULTIPLIER, INVERSE))
+                self.up, self.down = np.full((2, size), MULTIPLIER, np.uint64)
+                self.down[:] = INVERSE
+                for powers in (self.up, self.down):
+                    powers[0] = 1
+                    np.cumprod(powers, out=powers)
         return self.up, self.down
 
 
