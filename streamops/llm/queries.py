@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamops.llm import byte_bpe, dart_minhash, positional_index, rank_profiles, token_files
+from streamops.llm import byte_bpe, char_crf, dart_minhash, positional_index, rank_profiles, token_files
 from streamops.llm.common import fold, prepare, table
 from streamops.session import new_folder
 
@@ -71,3 +71,21 @@ def op3_positional_index(spark, sf_dir):
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def _listed(spans: str):
+    return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(
+        ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+
+
+@query
+def op5_char_crf(spark, sf_dir):
+    """Personal data in every document: counts of base spans, and all spans."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = char_crf.find(docs, char_crf.train(docs)).drop("text")
+
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, char_crf.KINDS), F.sha2(_listed("base"), 256).alias("base_sha256"),
+                        _listed("spans").alias("spans"))
