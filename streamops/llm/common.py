@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -49,9 +50,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows written once to the shared folder and read back: cuts the lineage
-    and outlives any executor."""
+    and outlives any executor. What was shuffled to make them is then garbage;
+    Spark deletes those files when the driver's JVM collects, so it is asked to."""
     folder = new_folder(df.sparkSession, name)
     df.write.parquet(folder)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

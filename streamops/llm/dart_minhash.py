@@ -29,7 +29,7 @@ from streamops.llm.graph import (
 from streamops.llm.words import ALNUM, hash_words, mix, shingles
 
 WIDTH, THRESHOLD = 5, 0.8
-BANDS, ROWS = 25, 5
+BANDS, ROWS = 20, 5
 COORDINATES = BANDS * ROWS
 FIRST_SLAB = 1 / 64
 # Signatures that agree in fewer coordinates belong to no pair of the threshold:
@@ -192,7 +192,7 @@ def _close(batches):
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, component_key, component_id, kept_key): one row per document.
+    """(doc_id, key, component, component_id): one row per document.
 
     ``component_id`` is the smallest doc_id among the documents linked to this
     one through equal texts or texts of weighted similarity 0.8 or more. A null
@@ -237,7 +237,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ids = signed.select("doc_id", "key").join(final.withColumnRenamed("node", "key"), "key", "left") \
         .withColumn("component", F.coalesce("component", "key"))
     least = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    found = ids.join(least, "component").select("doc_id", "key", "component_id")
+    found = ids.join(least, "component").select("doc_id", "key", "component", "component_id")
     alone = docs.where("text is null").select(
-        "doc_id", F.lit(None).cast("binary").alias("key"), F.col("doc_id").alias("component_id"))
+        "doc_id", F.lit(None).cast("binary").alias("key"),
+        F.lit(None).cast("binary").alias("component"), F.col("doc_id").alias("component_id"))
     return found.union(alone)
