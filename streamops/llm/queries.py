@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamops.llm import byte_bpe, char_crf, dart_minhash, positional_index, rank_profiles, token_files
+from streamops.llm import (
+    backoff_lm,
+    byte_bpe,
+    char_crf,
+    dart_minhash,
+    positional_index,
+    rank_profiles,
+    subword_quality,
+    token_files,
+)
 from streamops.llm.common import fold, prepare, table
 from streamops.session import new_folder
 
@@ -89,3 +98,20 @@ def op5_char_crf(spark, sf_dir):
 
     return found.select("doc_id", *map(count, char_crf.KINDS), F.sha2(_listed("base"), 256).alias("base_sha256"),
                         _listed("spans").alias("spans"))
+
+
+@query
+def op9_subword_quality(spark, sf_dir):
+    """Quality of every document by supervised subword embeddings."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = subword_quality.training_labels(table(spark, sf_dir, "labels"))
+    found = subword_quality.score(docs, subword_quality.train(docs, labels))
+    return found.select(
+        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score",
+        (F.col("score") >= subword_quality.CUTOFF).cast("int").alias("predicted"))
+
+
+@query
+def op10_backoff_lm(spark, sf_dir):
+    """Log-probability of every document by the backoff automaton."""
+    return backoff_lm.score(table(spark, sf_dir, "documents"))
