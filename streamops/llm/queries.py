@@ -12,6 +12,7 @@ from streamops.llm import (
     byte_bpe,
     char_crf,
     dart_minhash,
+    itq,
     positional_index,
     rank_profiles,
     subword_quality,
@@ -115,3 +116,51 @@ def op9_subword_quality(spark, sf_dir):
 def op10_backoff_lm(spark, sf_dir):
     """Log-probability of every document by the backoff automaton."""
     return backoff_lm.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_itq(spark, sf_dir):
+    """Links and components of all embeddings by cosine 0.95."""
+    found = itq.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+ORACLES["op1_itq"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, x -> coalesce(isfinite(x), false)))
+    AND list_max(list_transform(embedding, x -> abs(x))) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+  ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(a, b) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links,
+  c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = e.vec_id
+"""
+
+_WORDS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+          r"'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+ORACLES["op3_positional_index"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS win
+  FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS k
+        FROM (SELECT item_id, w, least(10, len(w)) AS n FROM i WHERE len(w) > 0))),
+spots AS (
+  SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS win
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k
+        FROM d, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)),
+found AS (SELECT doc_id, item_id, n, k FROM spots JOIN windows USING (n, win)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+        FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM found) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+          FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM found) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+  coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""

@@ -1,7 +1,7 @@
 """Quality scores from supervised subword embeddings.
 
-Words and byte n-grams (three and four) are hashed to rows of an embedding
-table; a document is the mean of its features' vectors, a softmax layer turns it
+Words, pairs of neighbouring words and byte n-grams (three and four) are hashed
+to rows of an embedding table; a document is the mean of its features' vectors, a softmax layer turns it
 into class probabilities, and both are learned together by stochastic gradient
 descent in numpy. With a linear layer on top, each feature's contribution to the
 score is one number, so scoring is a gather and a mean.
@@ -31,10 +31,13 @@ def features(texts: list) -> tuple[np.ndarray, np.ndarray]:
     parts, ends, n = [], [], 0
     hashes, stops = hash_words(texts, AS_IS)
     words = (hashes % np.uint64(BUCKETS)).astype(np.int32)
+    # A pair's hash joins its words' by XOR: every word that repeats the one
+    # before it gives the same pair, whatever the word.
+    pairs = ((hashes[1:] ^ hashes[:-1]) % np.uint64(BUCKETS - 1)).astype(np.int32)
     at = 0
     for text, stop in zip(texts, stops.tolist()):
         data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
-        found = [words[at:stop]]
+        found = [words[at:stop], pairs[at:max(at, stop - 1)]]
         if len(data) >= 3:
             three = data[:-2] | data[1:-1] << 8 | data[2:] << 16
             found.append(_bucket(three, 0x9E3779B1))
