@@ -15,10 +15,11 @@ from streamops.llm import (
     itq,
     positional_index,
     rank_profiles,
+    resharding,
     subword_quality,
     token_files,
 )
-from streamops.llm.common import fold, prepare, table
+from streamops.llm.common import fold, prepare, stored, table
 from streamops.session import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,3 +165,17 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
   coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+
+@query
+def op8_resharding(spark, sf_dir):
+    """All documents from one shard per source to 24 shards of near-equal bytes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    old = F.pmod(F.xxhash64("source"), F.lit(resharding.SHARDS)).cast("int")
+    placed, _, _ = resharding.reshard(docs, old)
+    digest = stored(placed.select(
+        "doc_id", "size", F.coalesce(F.crc32(F.encode("text", "UTF-8")), F.lit(0)).alias("text_crc32"),
+        "shard", "block", "place"), "reshard-digest")
+    return resharding.with_slots(digest, order=("place", "doc_id", "text_crc32")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
+        F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
