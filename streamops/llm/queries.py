@@ -128,9 +128,9 @@ def op1_itq(spark, sf_dir):
 
 ORACLES["op1_itq"] = """
 WITH RECURSIVE v AS (
-  SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, x -> coalesce(isfinite(x), false)))
-    AND list_max(list_transform(embedding, x -> abs(x))) > 0),
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(embedding) > 0 AND list_bool_and([coalesce(isfinite(x), false) for x in embedding])
+    AND list_max([abs(x) for x in embedding]) > 0),
 links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
   ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
