@@ -36,6 +36,10 @@ FIRST_SLAB = 1 / 64
 # at 0.8 that is five standard deviations.
 LEAST_AGREEING = int(0.62 * COORDINATES)
 BLOCK = 256
+# For the pairs left at last: more coordinates, a byte of each; again over four
+# standard deviations.
+FINE = 512
+LEAST_FINE = int(0.72 * FINE)
 
 
 def _poisson_table(mean: float) -> np.ndarray:
@@ -45,15 +49,16 @@ def _poisson_table(mean: float) -> np.ndarray:
     return np.minimum(np.cumsum(np.exp(logs)), 1.0)
 
 
-def signatures(elements: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """An n x COORDINATES array of dart ids for n sets.
+def signatures(elements: np.ndarray, owner: np.ndarray, n: int,
+               size: int = COORDINATES) -> np.ndarray:
+    """An n x ``size`` array of dart ids for n sets.
 
     ``elements`` are hashes, repeated as often as the element's weight says,
     ``owner`` the set of each. A set without elements keeps the largest value in
     every coordinate.
     """
     empty = np.uint64(0xFFFFFFFFFFFFFFFF)
-    best = np.full(n * COORDINATES, empty, np.uint64)
+    best = np.full(n * size, empty, np.uint64)
     order = np.lexsort((elements, owner))
     elements, owner = elements[order], owner[order].astype(np.int64)
     # The w-th repetition is the cell of weight w.
@@ -83,10 +88,10 @@ def signatures(elements: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
             dart_id = mix(seed[dart] + (number + 1).astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB))
         # Earlier slab, then place within the slab: the order of the ranks.
         value = np.uint64(slab << 58) | dart_id >> np.uint64(6)
-        coordinate = (mix(dart_id) % np.uint64(COORDINATES)).astype(np.int64)
-        np.minimum.at(best, owner[dart] * COORDINATES + coordinate, value)
-        active &= (best.reshape(n, COORDINATES) == empty).any(axis=1)
-    return best.reshape(n, COORDINATES)
+        coordinate = (mix(dart_id) % np.uint64(size)).astype(np.int64)
+        np.minimum.at(best, owner[dart] * size + coordinate, value)
+        active &= (best.reshape(n, size) == empty).any(axis=1)
+    return best.reshape(n, size)
 
 
 def band_keys(signature: np.ndarray) -> np.ndarray:
@@ -138,57 +143,104 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (len(both) - shared)
 
 
+def _of_keys(docs: DataFrame, wanted: DataFrame, name: str, make) -> DataFrame:
+    """(key, ``name``): what ``make`` gives for the sets of the wanted texts alone."""
+    bits = docs.sparkSession.sparkContext.broadcast(key_filter(wanted, "key"))
+
+    def run(batches):
+        for batch in batches:
+            batch = batch.filter(pa.array(passes(bits.value, batch.column("bit").to_numpy())))
+            made = make(_sets(batch.column("text").to_pylist()))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(made, pa.binary())],
+                                             names=["key", name])
+
+    rows = keyed(docs.select("text").where("text is not null")) \
+        .withColumn("bit", filter_bit("key")).mapInArrow(run, f"key binary, {name} binary")
+    return stored(rows.groupBy("key").agg(F.first(name).alias(name)), f"dart-{name}")
+
+
+def _sorted(sets: list) -> list[bytes]:
+    return [np.sort(s).tobytes() for s in sets]
+
+
+def _finer(sets: list) -> list[bytes]:
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    found = signatures(np.concatenate(sets) if sets else np.zeros(0, np.uint64), owner, len(sets), FINE)
+    return [row.tobytes() for row in mix(found).astype(np.uint8)]
+
+
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b of keys) whose sets are as similar as the threshold asks.
 
     Only texts some pair names are hashed again; a pair then travels once with
     either set.
     """
-    spark = docs.sparkSession
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key"))
-    bits = spark.sparkContext.broadcast(key_filter(wanted, "key"))
-
-    def payload(batches):
-        for batch in batches:
-            ok = passes(bits.value, batch.column("bit").to_numpy())
-            batch = batch.filter(pa.array(ok))
-            sets = _sets(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.array([np.sort(s).tobytes() for s in sets], pa.binary())],
-                names=["key", "elements"])
-
     def compare(batches):
         for batch in batches:
             ok = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= THRESHOLD
                   for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    sets = keyed(docs.select("text").where("text is not null")) \
-        .withColumn("bit", filter_bit("key")).mapInArrow(payload, "key binary, elements binary")
-    sets = stored(sets.groupBy("key").agg(F.first("elements").alias("elements")), "dart-sets")
-    return pairs.join(sets.select(F.col("key").alias("a"), F.col("elements").alias("x")), "a") \
-        .join(sets.select(F.col("key").alias("b"), F.col("elements").alias("y")), "b") \
+    sets = _of_keys(docs, pairs.select(F.explode(F.array("a", "b")).alias("key")), "sets", _sorted)
+    return pairs.join(sets.select(F.col("key").alias("a"), F.col("sets").alias("x")), "a") \
+        .join(sets.select(F.col("key").alias("b"), F.col("sets").alias("y")), "b") \
         .select("a", "b", "x", "y").mapInArrow(compare, "a binary, b binary")
 
 
-def _close(batches):
-    """Pairs of a block in different components whose signatures agree enough."""
-    for rows, group in whole_groups(batches, ["bucket", "low", "high"]):
-        side = rows.column("side").to_numpy()
-        signature = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint32) \
-            .reshape(len(side), COORDINATES)
-        key = rows.column("key").to_pylist()
-        _, component = np.unique(np.array(rows.column("component").to_pylist(), "S16").astype("V16"),
-                                 return_inverse=True)
-        for left, right in group_pairs(group, side, 1 << 14):
-            apart = component[left] != component[right]
-            left, right = left[apart], right[apart]
-            near = (signature[left] == signature[right]).sum(axis=1) >= LEAST_AGREEING
-            pairs = [(key[i], key[j]) for i, j in zip(left[near].tolist(), right[near].tolist())]
-            if pairs:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([min(p) for p in pairs], pa.binary()),
-                     pa.array([max(p) for p in pairs], pa.binary())], names=["a", "b"])
+def _near(nearest: bool, kind: type, least: int):
+    """Pairs of a block in different components whose signatures agree enough; with
+    ``nearest`` only each member's most similar one, so a row at most per member."""
+    def run(batches):
+        for rows, group in whole_groups(batches, ["bucket", "low", "high"]):
+            side = rows.column("side").to_numpy()
+            signature = np.frombuffer(b"".join(rows.column("signature").to_pylist()), kind) \
+                .reshape(len(side), -1)
+            key = rows.column("key").to_pylist()
+            component = np.unique(np.array(rows.column("component").to_pylist(), "V16"),
+                                  return_inverse=True)[1]
+            best = np.full(len(side), least << 32, np.int64)
+            for left, right in group_pairs(group, side, 1 << 14):
+                apart = component[left] != component[right]
+                left, right = left[apart], right[apart]
+                alike = (signature[left] == signature[right]).sum(axis=1)
+                near = alike >= least
+                left, right, alike = left[near], right[near], alike[near]
+                if nearest:
+                    np.maximum.at(best, left, (alike << 32) + right + 1)
+                    np.maximum.at(best, right, (alike << 32) + left + 1)
+                else:
+                    yield from _pairs(key, left, right)
+            if nearest:
+                other = (best & 0xFFFFFFFF) - 1
+                has = np.flatnonzero(other >= 0)
+                yield from _pairs(key, has, other[has])
+    return run
+
+
+def _pairs(key: list, left: np.ndarray, right: np.ndarray):
+    pairs = [(key[i], key[j]) for i, j in zip(left.tolist(), right.tolist())]
+    if pairs:
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([min(p) for p in pairs], pa.binary()),
+             pa.array([max(p) for p in pairs], pa.binary())], names=["a", "b"])
+
+
+def _apart(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(bucket, key, component) of buckets that hold more than one component."""
+    labelled = members.select("bucket", "key").join(
+        found.withColumnRenamed("node", "key"), "key", "left") \
+        .withColumn("component", F.coalesce("component", "key"))
+    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")) \
+        .where("x <> y").select("bucket")
+    return labelled.join(mixed, "bucket")
+
+
+def _candidates(rows: DataFrame, near) -> DataFrame:
+    blocks = in_blocks(rows, "bucket", "key", BLOCK).select(
+        F.col("block.bucket").alias("bucket"), F.col("block.low").alias("low"),
+        F.col("block.high").alias("high"), "side", "key", "component", "signature")
+    return blocks.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high") \
+        .mapInArrow(near, "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -201,8 +253,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     throughout, so copies, however many, cost one row each.
 
     Candidates share a band. First every text is checked against the smallest of
-    each of its bands' buckets, which is linear in the bucket; then, in blocks of
-    bounded size, all pairs of a bucket that are still in different components.
+    each of its bands' buckets, then twice, in blocks of bounded size, against the
+    member of another component whose signature is the most similar: all linear in
+    the bucket. What is then still apart is checked pair by pair.
     """
     text = keyed(docs.select("doc_id", "text").where("text is not null"))
     signed = stored(text.select("doc_id", "key", "text").mapInArrow(
@@ -217,22 +270,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = stored(members.where("key <> head")
                    .select(F.col("head").alias("a"), F.col("key").alias("b")).distinct(), "dart-stars")
     links = stored(verified(docs, stars), "dart-links")
-    first = components(links)
-
-    labelled = members.select("bucket", "key").join(
-        first.withColumnRenamed("node", "key"), "key", "left") \
-        .withColumn("component", F.coalesce("component", "key"))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")) \
-        .where("x <> y").select("bucket")
-    rows = labelled.join(mixed, "bucket").join(nodes.select("key", "signature"), "key")
-    blocks = in_blocks(rows, "bucket", "key", BLOCK).select(
-        F.col("block.bucket").alias("bucket"), F.col("block.low").alias("low"),
-        F.col("block.high").alias("high"), "side", "key", "component", "signature")
-    more = blocks.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high") \
-        .mapInArrow(_close, "a binary, b binary").distinct()
-    more = stored(more, "dart-more")
-    links2 = stored(verified(docs, more), "dart-links")
-    final = components(links.union(links2))
+    tried = stars
+    for nearest in (True, True, False):
+        rows = _apart(members, components(links))
+        if nearest:
+            rows = rows.join(nodes.select("key", "signature"), "key")
+            near = _near(True, np.uint32, LEAST_AGREEING)
+        else:
+            rows = stored(rows, "dart-apart")
+            fine = _of_keys(docs, rows.select("key"), "signature", _finer)
+            rows, near = rows.join(fine, "key"), _near(False, np.uint8, LEAST_FINE)
+        more = stored(_candidates(rows, near).join(tried, ["a", "b"], "left_anti"), "dart-more")
+        links = stored(links.union(verified(docs, more)), "dart-links")
+        tried = stored(tried.union(more), "dart-tried")
+    final = components(links)
 
     ids = signed.select("doc_id", "key").join(final.withColumnRenamed("node", "key"), "key", "left") \
         .withColumn("component", F.coalesce("component", "key"))
