@@ -26,7 +26,7 @@ from streamops.llm.common import fold_of, stored
 from streamops.llm.words import NON_SPACE, hash_words
 
 ADDED = 0.1
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 1_500_000
 RANGE_TOKENS = 1_500_000  # tokens behind one hash range: what its task holds at a time
 END = np.uint64(0x5DEECE66D1234567)
 FOLLOWER = np.uint64((1 << 48) - 1)
@@ -48,8 +48,8 @@ def blocks(docs: DataFrame, parts: int) -> DataFrame:
         return pa.RecordBatch.from_pydict({
             "block": [uuid.uuid4().hex], "doc_ids": pa.array([ids], pa.list_(kind)),
             "held": [held], "ends": [np.cumsum(ends)],
-            "words": pa.array([words.tobytes()], pa.binary()),
-            "tokens": pa.array([tokens.astype(np.uint32).tobytes()], pa.binary()),
+            "words": pa.array([steps(words)], pa.binary()),
+            "tokens": pa.array([planes(tokens, 4)], pa.binary()),
             "n_tokens": [len(tokens)]})
 
     kind = pa.int32() if docs.schema["doc_id"].dataType.simpleString() == "int" else pa.int64()
@@ -78,8 +78,8 @@ class Block:
     """One block's words and bigrams with its own training counts."""
 
     def __init__(self, words: bytes, tokens: bytes, ends: list, held: list):
-        self.words = np.frombuffer(words, np.uint64)
-        self.tokens = np.frombuffer(tokens, np.uint32).astype(np.int64)
+        self.words = ascending(words)
+        self.tokens = from_planes(tokens, 4).astype(np.int64)
         self.ends = np.array(ends, np.int64)
         self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
         train = ~np.array(held, bool)
@@ -104,18 +104,29 @@ def range_of(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def planes(values: np.ndarray, width: int) -> bytes:
-    """Integers by byte planes, so that the shuffle's compression sees their zeros."""
-    return np.ascontiguousarray(
+    """Integers as byte planes, compressed: high bytes are mostly zero."""
+    data = np.ascontiguousarray(
         values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
 
 def from_planes(data: bytes, width: int) -> np.ndarray:
-    part = np.frombuffer(data, np.uint8).reshape(width, -1)
+    plain = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    part = np.frombuffer(plain, np.uint8).reshape(width, -1)
     out = np.zeros((part.shape[1], 8), np.uint8)
     out[:, :width] = part.T
     return out.reshape(-1).view("<u8").astype(np.uint64)
 
 
+def ascending(data: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(data, 8), dtype=np.uint64)
+
+
+def steps(values: np.ndarray) -> bytes:
+    """Ascending 64-bit integers by their differences."""
+    return planes(np.diff(values, prepend=np.uint64(0)), 8)
+
+
 def _send(n: int):
     def run(batches):
         for batch in batches:
@@ -131,8 +142,7 @@ def _send(n: int):
                         continue
                     yield pa.RecordBatch.from_pydict({
                         "part": pa.array([p], pa.int32()), "block": [row["block"]],
-                        "words": pa.array([planes(np.diff(block.words[a:b], prepend=np.uint64(0)), 8)],
-                                          pa.binary()),
+                        "words": pa.array([steps(block.words[a:b])], pa.binary()),
                         "counts": pa.array([planes(block.own[a:b], 4)], pa.binary()),
                         "followers": pa.array([planes(follow[a:b], 4)], pa.binary()),
                         "seconds": pa.array([planes(second[c:d], 6)], pa.binary()),
@@ -149,7 +159,7 @@ BACK = ("block string, part int, counts binary, kinds binary, pair_counts binary
 def _sum(group: pa.Table) -> pa.Table:
     """One hash range: training counts over all blocks, back to each block."""
     rows = group.to_pylist()
-    words = [np.cumsum(from_planes(r["words"], 8), dtype=np.uint64) for r in rows]
+    words = [ascending(r["words"]) for r in rows]
     counts = [from_planes(r["counts"], 4).astype(np.int64) for r in rows]
     known, at = np.unique(np.concatenate(words), return_inverse=True)
     total = np.bincount(at, np.concatenate(counts), len(known)).astype(np.int64)
