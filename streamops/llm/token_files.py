@@ -88,7 +88,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, length: int = SEQUE
     """Write the files below ``folder`` (one that all executors share) and return
     the stored manifest: shard, ids_file, index_file, n_docs, n_ids.
 
-    Documents are ordered by doc_id, nulls first, equal ids by text; a null text
+    Documents are ordered by doc_id, nulls first, equal ids by a hash of the text; a null text
     counts as empty, so every document has at least its end id. A task writes
     under a name of its own and renames at the end, so a lost executor or a
     second attempt leaves no half file behind. Memory per task: a batch of texts
@@ -143,8 +143,10 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, length: int = SEQUE
             "shard": pa.array([shard], pa.int32()), "ids_file": [f"{name}.ids.arrows"],
             "index_file": [f"{name}.index.arrows"], "n_docs": [n_docs], "n_ids": [out.total]})
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", "text") \
-        .sortWithinPartitions("doc_id", "text")
+    # The ranges' bounds are sampled to the driver: a hash stands in for the text.
+    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("hash")) \
+        .repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text") \
+        .select("doc_id", "text")
     manifest = ordered.mapInArrow(run, MANIFEST)
     manifest.write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
@@ -213,6 +215,7 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
                              pa.array(crcs, pa.int64())],
                             names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    width = max(1, spark.sparkContext.defaultParallelism)
-    return shards.repartition(F.col("shard") % (8 * width), F.col("shard")).mapInArrow(
+    # A task per shard as far as the cluster has room for: shards are few.
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return shards.repartition(tasks, "shard").mapInArrow(
         run, "doc_id long, start long, n_tokens long, ids_crc32 long")
