@@ -50,3 +50,4 @@ MICRO_BATCH_INTERVAL = "5 seconds"
 
 # Outcomes of handling one record.
 SUCCESS, POISON, TRANSIENT = "success", "poison", "transient"
+NO_ID = "record has no id"

@@ -13,33 +13,53 @@ def _within(timeout_seconds: int):
     return F.col("reply_ts").between(F.col("req_ts"), limit)
 
 
-def first_reply(pairs: DataFrame) -> DataFrame:
-    """The earliest reply per correlation id, ties broken by the reply's offset."""
-    reply = F.struct("reply_ts", "reply_offset", "total")
-    return (
-        pairs.groupBy("correlation_id").agg(F.min(reply).alias("r"))
-        .select("correlation_id", "r.*")
+def first_reply(pairs: DataFrame, *request: str) -> DataFrame:
+    """The earliest reply per request, ties broken by the reply's offset.
+
+    ``request`` names the columns that tell requests apart; several requests may
+    share a correlation id.
+    """
+    keys = request or ("correlation_id",)
+    reply = F.min(F.when(F.col("reply_ts").isNotNull(),
+                         F.struct("reply_ts", "reply_offset", "total"))).alias("r")
+    return pairs.groupBy(*keys).agg(reply).select(*keys, "r.*")
+
+
+def _slot(ts: str, timeout_seconds: int, later: int = 0):
+    return F.floor(F.unix_micros(ts) / F.lit(timeout_seconds * 1_000_000)) + later
+
+
+def slotted_join(requests: DataFrame, replies: DataFrame, timeout_seconds: int,
+                 how: str) -> DataFrame:
+    """Requests with each reply inside their timeout.
+
+    The key holds a time slot as long as the timeout next to the id, and a request
+    waits in the two slots its replies can be in: of a hot id only neighbouring
+    rows meet, and its rows spread over its slots.
+    """
+    slots = F.array(_slot("req_ts", timeout_seconds), _slot("req_ts", timeout_seconds, 1))
+    left = requests.withColumn("slot", F.explode(slots)).alias("q")
+    right = replies.withColumn("slot", _slot("reply_ts", timeout_seconds)).alias("r")
+    same = (F.col("q.correlation_id") == F.col("r.correlation_id")) & (
+        F.col("q.slot") == F.col("r.slot"))
+    return left.join(right, same & _within(timeout_seconds), how).select(
+        *[f"q.{c}" for c in requests.columns], "r.reply_ts", "r.reply_offset", "r.total"
     )
 
 
 def answered(requests: DataFrame, replies: DataFrame,
              timeout_seconds: int = REPLY_TIMEOUT_SECONDS) -> DataFrame:
-    """Winning reply per request: the first one inside the timeout.
-
-    An inner join, so adaptive execution can split a hot id on either side.
-    """
-    pairs = requests.select("correlation_id", "req_ts").join(
-        replies.select("correlation_id", "reply_ts", "reply_offset", "total"),
-        "correlation_id",
-    ).filter(_within(timeout_seconds))
-    return first_reply(pairs)
+    """Winning reply per request: the first one inside the timeout."""
+    pairs = slotted_join(requests, replies, timeout_seconds, "inner")
+    return first_reply(pairs, *requests.columns)
 
 
 def join_correlation(requests: DataFrame, replies: DataFrame,
                      timeout_seconds: int = REPLY_TIMEOUT_SECONDS) -> DataFrame:
-    """Every request with its reply, or the transient outcome of a timeout."""
-    winners = answered(requests, replies, timeout_seconds)
-    return with_timeout(requests.join(winners, "correlation_id", "left"), timeout_seconds)
+    """Every request with its reply, or the transient outcome of a timeout: one
+    join, one aggregate. Requests equal in every column are one request."""
+    pairs = slotted_join(requests, replies, timeout_seconds, "left_outer")
+    return settle_pairs(pairs, timeout_seconds)
 
 
 def with_timeout(joined: DataFrame, timeout_seconds: int = REPLY_TIMEOUT_SECONDS) -> DataFrame:
@@ -62,34 +82,16 @@ def join_correlation_stream(requests: DataFrame, replies: DataFrame, delay: str
                             timeout_seconds: int = REPLY_TIMEOUT_SECONDS) -> DataFrame:
     """Interval join of two streams; ``settle_pairs`` applies to what it emits.
 
-    A request that found no reply comes out once the watermark has passed its
-    timeout. Streams have no adaptive splitting, so the join key holds a time
-    slot as long as the timeout next to the id: the replies to a hot id spread
-    over their slots, and a request waits in the two slots its replies can be in.
+    What comes out are pairs: a request found no reply in a slot comes out of that
+    slot once the watermark has passed its timeout, so an answered request may
+    have such a row too. ``settle_pairs`` gives one row per request.
     """
-    def slot(ts: str, later: int = 0):
-        micros = F.unix_micros(ts)
-        return F.floor(micros / F.lit(timeout_seconds * 1_000_000)) + later
-
-    left = (
-        requests.withWatermark("req_ts", delay)
-        .withColumn("slot", F.explode(F.array(slot("req_ts"), slot("req_ts", 1)))).alias("q")
-    )
-    right = (
-        replies.select("correlation_id", "reply_ts", "reply_offset", "total")
-        .withWatermark("reply_ts", delay).withColumn("slot", slot("reply_ts")).alias("r")
-    )
-    same = (F.col("q.correlation_id") == F.col("r.correlation_id")) & (
-        F.col("q.slot") == F.col("r.slot"))
-    return left.join(right, same & _within(timeout_seconds), "left_outer").select(
-        *[f"q.{c}" for c in requests.columns], "r.reply_ts", "r.reply_offset", "r.total"
-    )
+    return slotted_join(requests.withWatermark("req_ts", delay),
+                        replies.select("correlation_id", "reply_ts", "reply_offset", "total")
+                        .withWatermark("reply_ts", delay), timeout_seconds, "left_outer")
 
 
 def settle_pairs(pairs: DataFrame, timeout_seconds: int = REPLY_TIMEOUT_SECONDS) -> DataFrame:
     """One row per request from what the streaming join has emitted."""
     request = [c for c in pairs.columns if c not in ("reply_ts", "reply_offset", "total")]
-    best = F.min(F.when(F.col("reply_ts").isNotNull(),
-                        F.struct("reply_ts", "reply_offset", "total")))
-    rows = pairs.groupBy(*request).agg(best.alias("r")).select(*request, "r.*")
-    return with_timeout(rows, timeout_seconds)
+    return with_timeout(first_reply(pairs, *request), timeout_seconds)

@@ -59,8 +59,9 @@ def running_sum(
 ) -> DataFrame:
     """Add the sum of ``value`` over the key's rows up to and including each row.
 
-    ``order`` must be an integer column that is unique within the key, and the key
-    must not be null. ``initial`` holds, per key, an ``out`` value to start from.
+    ``order`` must be an integer column that is unique within the key; rows with a
+    null key are one key like any other. ``initial`` holds, per key, an ``out``
+    value to start from.
     """
     cut = df.withColumns({
         "_value": value, "_chunk": F.col(order) - F.pmod(F.col(order), F.lit(chunk)),
@@ -76,14 +77,17 @@ def running_sum(
     totals = cut.groupBy(key, "_chunk").agg(F.sum("_value").alias("_total"))
     carry = totals.withColumn("_carry", F.sum("_total").over(before)).drop("_total")
     if initial is not None:
-        start = initial.select(key, F.col(out).alias("_start"))
+        start = initial.select(F.col(key).alias("_key"), F.col(out).alias("_start"))
         carried = F.coalesce(F.col("_carry") + F.col("_start"), "_carry", "_start")
-        carry = carry.join(start, key, "left").withColumn("_carry", carried).drop("_start")
-    carry = carry.filter(F.col("_carry").isNotNull())
+        carry = carry.join(start, F.col(key).eqNullSafe(F.col("_key")), "left").withColumn(
+            "_carry", carried).drop("_start", "_key")
+    carry = carry.filter(F.col("_carry").isNotNull()).select(
+        F.col(key).alias("_key"), F.col("_chunk").alias("_at"), "_carry")
     inside = cut.withColumn("_inside", F.sum("_value").over(upto))
     total = F.col("_inside") + F.coalesce(F.col("_carry"), F.lit(0))
     return (
-        inside.join(carry, [key, "_chunk"], "left")
+        inside.join(carry, F.col(key).eqNullSafe(F.col("_key"))
+                    & (F.col("_chunk") == F.col("_at")), "left")
         .withColumn(out, total)
         .select(*df.columns, out)
     )

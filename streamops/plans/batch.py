@@ -312,6 +312,36 @@ def correlation(spark, sf_dir):
     )
 
 
+_SHARED_SQL = f"""
+(SELECT CAST(CAST(q.correlation_id AS BIGINT) // 3 AS VARCHAR) AS correlation_id, sku, req_ts,
+        CAST(q.correlation_id AS BIGINT) AS request FROM {REQUESTS_SQL} q)
+"""
+_SHARED_REPLIES_SQL = f"""
+(SELECT CAST(CAST(r.correlation_id AS BIGINT) // 3 AS VARCHAR) AS correlation_id, reply_offset,
+        reply_ts, total FROM {REPLIES_SQL} r)
+"""
+
+
+@query(f"""
+SELECT request, correlation_id, CAST(total AS DOUBLE) AS total, reply_ts,
+       CASE WHEN reply_ts IS NULL THEN 'transient' ELSE 'success' END AS outcome
+FROM (SELECT q.request, q.correlation_id, total, reply_ts,
+             row_number() OVER (PARTITION BY q.request ORDER BY reply_ts, reply_offset) AS rn
+      FROM {_SHARED_SQL} q LEFT JOIN {_SHARED_REPLIES_SQL} r ON q.correlation_id = r.correlation_id
+           AND reply_ts BETWEEN req_ts AND req_ts + INTERVAL 5 SECONDS) WHERE rn = 1
+""")
+def correlation_shared_ids(spark, sf_dir):
+    """Three requests in a row share an id: each gets the first reply in its own time."""
+    def shared(df):
+        return df.withColumn("correlation_id", F.floor(F.col("correlation_id").cast("long") / 3)
+                             .cast("string"))
+
+    requests = t.requests(spark, sf_dir).withColumn("request", F.col("correlation_id").cast("long"))
+    found = correlate.join_correlation(shared(requests), shared(t.replies(spark, sf_dir)))
+    return found.select("request", "correlation_id", F.col("total").cast("double").alias("total"),
+                        F.col("reply_ts").cast("timestamp_ntz").alias("reply_ts"), "outcome")
+
+
 @query(f"""
 SELECT r.correlation_id, r.reply_offset FROM {REPLIES_SQL} r
 ANTI JOIN {WINNERS_SQL} w
@@ -527,36 +557,72 @@ def partition_spread(spark, sf_dir):
     return P.agg_partition_spread(placed, "partition", "region")
 
 
+def crc32_sql(text: str) -> str:
+    """CRC32 of an ASCII text, bit by bit over its characters."""
+    return f"""xor(4294967295, list_reduce(
+  list_prepend(4294967295::BIGINT, [ascii(c)::BIGINT for c in string_split({text}, '')]),
+  lambda acc, c: list_reduce(list_prepend(xor(acc, c), [0::BIGINT for i in range(8)]),
+    lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+
+
+_PARTITION_SQL = f"""
+(SELECT user_id, CAST({crc32_sql("CAST(user_id AS VARCHAR)")} % 8 AS INTEGER) AS partition, records
+ FROM (SELECT user_id, count(*) AS records FROM events GROUP BY user_id))
+"""
+
+
 def _keyed_events(spark, sf_dir):
     return t.table(spark, sf_dir, "events").select(
         "user_id", P.partition_by_key(F.col("user_id"), 8).alias("partition")
     )
 
 
-@query()
+@query(f"SELECT partition, user_id, records FROM {_PARTITION_SQL} p")
 def partition_key(spark, sf_dir):
     return P.agg_partition_spread(_keyed_events(spark, sf_dir), "partition", "user_id")
 
 
-@query("""
-SELECT user_id, CAST(1 AS BIGINT) AS partitions, count(*) AS records, TRUE AS single_partition
-FROM events GROUP BY user_id
+def _audit(df):
+    """Which partition every key is in, beside the audit that it is one only."""
+    numbers = df.groupBy("user_id").agg(F.min("partition").alias("partition"))
+    return P.partition_invariant(df, "partition", "user_id").join(numbers, "user_id")
+
+
+@query(f"""
+SELECT user_id, partition, CAST(1 AS BIGINT) AS partitions, records, TRUE AS single_partition
+FROM {_PARTITION_SQL} p
 """)
 def partition_audit(spark, sf_dir):
-    return P.partition_invariant(_keyed_events(spark, sf_dir), "partition", "user_id")
+    return _audit(_keyed_events(spark, sf_dir))
 
 
-@query("""
-SELECT user_id, CAST(1 AS BIGINT) AS partitions, 2 * count(*) AS records,
+@query(f"""
+SELECT user_id, partition, CAST(1 AS BIGINT) AS partitions, 2 * records AS records,
        TRUE AS single_partition
-FROM events GROUP BY user_id
+FROM {_PARTITION_SQL} p
 """)
 def derive_same_key(spark, sf_dir):
     child = folds.running_profile(t.user_events(spark, sf_dir)).select(
         "user_id", P.partition_by_key(F.col("user_id"), 8).alias("partition")
     )
-    both = _keyed_events(spark, sf_dir).unionByName(child)
-    return P.partition_invariant(both, "partition", "user_id")
+    return _audit(_keyed_events(spark, sf_dir).unionByName(child))
+
+
+# Null keys: every seventh event has lost its user.
+_LOST_SQL = "(SELECT *, CASE WHEN event_id % 7 <> 0 THEN user_id END AS u FROM events)"
+
+
+@query(f"""
+SELECT event_id AS "offset", u AS user_id,
+       count(*) OVER (PARTITION BY u ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS event_count,
+       event_type AS last_action
+FROM {_LOST_SQL} e
+""")
+def running_profile_null_keys(spark, sf_dir):
+    """Chunks far shorter than the keys' runs, so that every carry counts."""
+    kept = F.when(F.col("offset") % 7 != 0, F.col("user_id"))
+    events = t.user_events(spark, sf_dir).withColumn("user_id", kept)
+    return folds.running_profile(events, chunk=100)
 
 
 # --- outbox ----------------------------------------------------------------------------

@@ -45,13 +45,10 @@ from streamops.streaming.sinks import (
     RetrySink,
 )
 
-DRAIN_TIMEOUT = 24 * 3600
-
 
 def _drained(df, root, partition_by=None):
     """Drain a stream into files and read back what was committed."""
-    drain(file_sink(df, f"{root}/out", f"{root}/checkpoint", partition_by=partition_by),
-          DRAIN_TIMEOUT)
+    drain(file_sink(df, f"{root}/out", f"{root}/checkpoint", partition_by=partition_by))
     return log.read_committed(df.sparkSession, f"{root}/out", df.schema)
 
 
@@ -63,7 +60,7 @@ def _handled(df, fn, root, mode="append"):
         fn(batch, batch_id)
         ids.append(batch_id)
 
-    drain(handler(df, counted, f"{root}/checkpoint", mode), DRAIN_TIMEOUT)
+    drain(handler(df, counted, f"{root}/checkpoint", mode))
     return max(ids, default=-1) + 1
 
 
@@ -206,8 +203,7 @@ FROM orders, (VALUES ('analytics'), ('notifications')) v(s) GROUP BY s
 """)
 def fan_out(spark, sf_dir):
     orders = t.source(spark, sf_dir, "orders", True, **micro_batch()).select("o_orderkey")
-    paths = run_fan_out(orders, new_folder(spark, "fan-out"), ["analytics", "notifications"],
-                        DRAIN_TIMEOUT)
+    paths = run_fan_out(orders, new_folder(spark, "fan-out"), ["analytics", "notifications"])
     got = [
         log.read_committed(spark, path, orders.schema).agg(
             F.lit(name).alias("subscriber"), F.count("*").alias("records"),
@@ -321,10 +317,27 @@ def rewind_retry(spark, sf_dir):
         )
 
     sink = RetrySink(f"{root}/out", rows.schema, strategy)
-    sink.finish(spark, _handled(rows, sink.handle, root), rounds=2)
+    sink.finish(spark, _handled(rows, sink.handle, root))
     return sink.settled(spark).select("event_id", "attempt", "outcome")
 
 
+@query("""
+SELECT CAST(NULL AS VARCHAR) AS transaction_id, props AS payload FROM events WHERE event_id % 5 = 0
+UNION ALL
+SELECT CAST(event_id AS VARCHAR), props FROM events WHERE event_id % 5 <> 0
+""")
+def ledger_without_ids(spark, sf_dir):
+    """Every fifth record has lost its id: it is parked, one row each."""
+    root = new_folder(spark, "ledger-null")
+    kept = F.when(F.col("event_id") % 5 != 0, F.col("event_id").cast("string"))
+    records = t.source(spark, sf_dir, "events", True, **micro_batch()).select(
+        kept.alias("id"), "props", F.col("event_id").alias("offset"))
+    sink = LedgerSink(f"{root}/ledger", "id", "offset", "props")
+    _handled(records, sink.commit, root)
+    parked = sink.parked(spark).select(F.lit(None).cast("string").alias("transaction_id"), "payload")
+    return sink.read(spark).select("transaction_id", "payload").unionByName(parked)
+
+
 @query("""
 SELECT CAST(event_id AS VARCHAR) AS transaction_id, props AS payload
 FROM events WHERE event_type <> 'signup'
@@ -380,7 +393,7 @@ def resilient_consumer(spark, sf_dir):
         )
 
     consumer = ResilientConsumer(f"{root}/out", schema, "event_id", strategy)
-    consumer.finish(spark, _handled(records, consumer.handle, root), rounds=2)
+    consumer.finish(spark, _handled(records, consumer.handle, root))
     done = consumer.committed(spark).withColumn("branch", F.lit("committed"))
     parked = consumer.dead_letters(spark).withColumn("branch", F.lit("deadletter"))
     return done.unionByName(parked).select(
@@ -391,16 +404,14 @@ def resilient_consumer(spark, sf_dir):
 @query("""
 SELECT 'cdc.' || event_type AS topic, CAST(user_id AS VARCHAR) AS key, props AS value,
        event_id AS sequence
-FROM (SELECT * FROM events ORDER BY event_id LIMIT 150) WHERE event_type <> 'error'
+FROM events WHERE event_type <> 'error'
 """)
 def relay_published(spark, sf_dir):
-    """Three passes of the polling relay, fifty rows each."""
+    """The whole outbox, entity by entity, until nothing is pending."""
     never = F.lit(None).cast("string")
     relay = Relay(lambda s: t.outbox(s, sf_dir), new_folder(spark, "relay"), outbox.POLL,
-                  decoded(), never)
-    for number in range(3):
-        relay.run_pass(spark, number)
-    return relay.published(spark, 3).drop("pass_no")
+                  decoded(), never, partition_by="entity_id")
+    return relay.published(spark, relay.run(spark)).drop("pass_no")
 
 
 # --- SQL surface -----------------------------------------------------------------------
@@ -428,7 +439,7 @@ def rides_push_sql(spark, sf_dir):
     sql = "SELECT CITY, RIDE_ID, FARE FROM Ride_Requests WHERE fare > 10"
     for _ in range(2):
         writer = stream_sql.push_query(spark, sql, f"{root}/out", f"{root}/checkpoint")
-        stream_sql.refresh(writer, DRAIN_TIMEOUT)
+        stream_sql.refresh(writer)
         if rest is not None:
             stream_sql.insert_into_stream(rest, f"{root}/log")
             rest = None
@@ -445,7 +456,7 @@ def rides_table_sql(spark, sf_dir):
         table, writer = stream_sql.create_table_as_select(
             spark, sql, "city", f"{root}/table", f"{root}/checkpoint"
         )
-        stream_sql.refresh(writer, DRAIN_TIMEOUT)
+        stream_sql.refresh(writer)
         if rest is not None:
             stream_sql.insert_into_stream(rest, f"{root}/log")
             rest = None

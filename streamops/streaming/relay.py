@@ -26,9 +26,13 @@ class Relay:
     """
 
     def __init__(self, outbox: Callable[[SparkSession], DataFrame], root: str,
-                 policy: RelayPolicy, decoded: Column, publish_error: Column):
+                 policy: RelayPolicy, decoded: Column, publish_error: Column,
+                 partition_by: str | None = None):
+        """``partition_by`` relays all that is pending in each pass, and a failure
+        holds back its own entity only; else a pass takes ``policy.limit`` rows."""
         self.outbox, self.root, self.policy = outbox, root, policy
         self.decoded, self.publish_error = decoded, publish_error
+        self.partition_by = partition_by
 
     def _changes(self, spark: SparkSession, until: int) -> DataFrame:
         newest = F.max_by(F.struct(*_CHANGED), F.col("batch_id")).alias("_row")
@@ -49,10 +53,21 @@ class Relay:
         if number > 0:
             pending = apply_pass(pending, self._changes(spark, number))
         rows = relay_pass(pending, self.policy, F.current_timestamp(),
-                          self.publish_error, self.decoded)
+                          self.publish_error, self.decoded, self.partition_by)
         settled = rows.filter(F.col("action") != UNTOUCHED)
         write_batch(settled.select(*_SETTLED.fieldNames()), self.root, number)
 
+    def run(self, spark: SparkSession, first: int = 0) -> int:
+        """Passes until one stamps nothing; returns the number of the next pass."""
+        number = first
+        while True:
+            self.run_pass(spark, number)
+            rows = read_before(spark, self.root, _SETTLED, number + 1)
+            number += 1
+            if rows.filter((F.col("batch_id") == number - 1)
+                           & F.col("processed_on").isNotNull()).isEmpty():
+                return number
+
     def published(self, spark: SparkSession, passes: int) -> DataFrame:
         """Records sent so far, each to the topic its row names, keyed by entity."""
         rows = read_before(spark, self.root, _SETTLED, passes)

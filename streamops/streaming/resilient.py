@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from streamops.constants import DEAD_LETTER_TOPIC, POISON, SUCCESS, TRANSIENT
+from streamops.constants import DEAD_LETTER_TOPIC, NO_ID, POISON, SUCCESS, TRANSIENT
 from streamops.functions.codec import decode_or_poison
 from streamops.operators.dedupe import anti_ledger, first_per_id
-from streamops.streaming.sinks import batch_path, empty, read_batches, read_before
+from streamops.streaming.sinks import Rounds, batch_path, empty, read_batches, read_before
 
 COMMITTED, WAITING = "committed", "waiting"
 
@@ -49,30 +49,44 @@ class ResilientConsumer:
             T.StructField("branch", T.StringType()),
         ])
 
+        self.rounds = Rounds(path)
+
     def _waiting(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        rows = read_batches(spark, self.path, self.stored, max(batch_id - 1, 0), batch_id)
+        """What the batch before left waiting, unless rounds have settled it."""
+        if batch_id in self.rounds.done(spark):
+            return self._next(empty(spark, self.stored))
+        return self._next(read_batches(spark, self.path, self.stored, max(batch_id - 1, 0), batch_id))
+
+    @staticmethod
+    def _next(rows: DataFrame) -> DataFrame:
         return rows.filter(F.col("branch") == WAITING).select(
             *RECORD.fieldNames(), (F.col("attempts") + 1).alias("attempts")
         )
 
+    def _ledger(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """Ids committed before batch ``batch_id``, in rounds before it too."""
+        rows = read_before(spark, self.path, self.stored, batch_id).drop("batch_id", "part").unionByName(
+            self.rounds.read(spark, self.stored, batch_id))
+        return rows.filter(F.col("branch") == COMMITTED).select(F.col("id").alias("transaction_id"))
+
     def handle(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = batch.select(*RECORD.fieldNames(), F.lit(1).alias("attempts")).unionByName(
             self._waiting(spark, batch_id)
         )
+        self._handle(spark, rows, self._ledger(spark, batch_id), batch_path(self.path, batch_id))
+
+    def _handle(self, spark: SparkSession, rows: DataFrame, ledger: DataFrame, target: str) -> None:
         decoded = decode_or_poison(rows, self.schema).withColumn(
             "id", F.col(self.id_field).cast("string")
         ).persist()
         try:
-            self._route(spark, decoded, batch_id)
+            self._route(spark, decoded, ledger, target)
         finally:
             decoded.unpersist()
 
-    def _route(self, spark: SparkSession, decoded: DataFrame, batch_id: int) -> None:
+    def _route(self, spark: SparkSession, decoded: DataFrame, ledger: DataFrame, target: str) -> None:
         malformed = decoded.filter((F.col("outcome") == POISON) | F.col("id").isNull())
-        ledger = read_before(spark, self.path, self.stored, batch_id).filter(
-            F.col("branch") == COMMITTED
-        ).select(F.col("id").alias("transaction_id"))
         good = decoded.filter((F.col("outcome") == SUCCESS) & F.col("id").isNotNull())
         good = good.drop("outcome", "error")
         first = anti_ledger(first_per_id(good, "id", "offset", "copies"), ledger, "id")
@@ -84,10 +98,10 @@ class ResilientConsumer:
         kept = (*RECORD.fieldNames(), "id", "attempts")
         out = tried.select(*kept, F.col("_r.error").alias("reason"), "copies",
                            branch.alias("branch"))
-        parked = malformed.select(*kept, F.coalesce("error", F.lit("record has no id"))
+        parked = malformed.select(*kept, F.coalesce("error", F.lit(NO_ID))
                                   .alias("reason"), F.lit(1).cast("long").alias("copies"),
                                   F.lit(DEAD_LETTER_TOPIC).alias("branch"))
-        written = self._write(out.unionByName(parked), batch_id, "first")
+        written = self._write(out.unionByName(parked), target, "first")
         unsettled = spark.read.schema(self.stored).parquet(written).filter(
             (F.col("copies") > 1) & (F.col("branch") != COMMITTED)
         ).select("id", "branch", "reason", "copies", F.col("offset").alias("_first"),
@@ -96,23 +110,33 @@ class ResilientConsumer:
         tries = F.when(F.col("branch") == WAITING, F.col("attempts") - 1).otherwise(
             F.col("_tries"))
         self._write(more.withColumn("attempts", tries).select(*self.stored.fieldNames()),
-                    batch_id, "copies")
+                    target, "copies")
 
-    def _write(self, rows: DataFrame, batch_id: int, part: str) -> str:
-        path = f"{batch_path(self.path, batch_id)}/part={part}"
+    def _write(self, rows: DataFrame, target: str, part: str) -> str:
+        path = f"{target}/part={part}"
         rows.write.mode("overwrite").partitionBy("branch").parquet(path)
         return path
 
-    def finish(self, spark: SparkSession, next_batch: int, rounds: int) -> int:
-        """``rounds`` further batches without new input; returns the next batch id."""
-        for batch_id in range(next_batch, next_batch + rounds):
-            self.handle(empty(spark, RECORD), batch_id)
-        return next_batch + rounds
+    def finish(self, spark: SparkSession, next_batch: int, most: int | None = None) -> int:
+        """Retry what waits before ``next_batch`` until nothing does; see ``Rounds``."""
+        def round_of(number: int) -> DataFrame:
+            return spark.read.schema(self.stored).parquet(self.rounds.folder(next_batch, number))
+
+        def attempt(number: int) -> bool:
+            ledger = self._ledger(spark, next_batch)
+            for earlier in range(number):
+                ledger = ledger.unionByName(round_of(earlier).filter(F.col("branch") == COMMITTED)
+                                            .select(F.col("id").alias("transaction_id")))
+            rows = self._waiting(spark, next_batch) if number == 0 else self._next(round_of(number - 1))
+            self._handle(spark, rows, ledger, self.rounds.folder(next_batch, number))
+            return not round_of(number).filter(F.col("branch") == WAITING).isEmpty()
+
+        return self.rounds.run(spark, next_batch, attempt, most)
 
     def _branch(self, spark: SparkSession, name: str) -> DataFrame:
-        return spark.read.parquet(self.path).filter(F.col("branch") == name).drop(
-            "branch", "batch_id", "part", "copies"
-        )
+        rows = spark.read.schema(self.stored).parquet(self.path).drop("batch_id", "part").unionByName(
+            self.rounds.read(spark, self.stored))
+        return rows.filter(F.col("branch") == name).drop("branch", "copies")
 
     def committed(self, spark: SparkSession) -> DataFrame:
         return self._branch(spark, COMMITTED)

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from streamops.constants import DEAD_LETTER_TOPIC, SUCCESS, TRANSIENT
-from streamops.operators.dedupe import idempotent_process
+from streamops.constants import DEAD_LETTER_TOPIC, NO_ID, SUCCESS, TRANSIENT
+from streamops.operators.dedupe import idempotent_process, without_id
 from streamops.operators.folds import (
     CHUNK,
     cdc_changes_by_key,
@@ -35,6 +35,70 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(batch_path(path, batch_id))
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system of ``path`` and the path itself, as the driver's JVM has them."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def complete_batches(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the batches whose write has left its success marker."""
+    files, target = _files(spark, path)
+    if not files.exists(target):
+        return []
+    names = [f.getPath() for f in files.listStatus(target)]
+    marker = spark._jvm.org.apache.hadoop.fs.Path
+    return sorted(int(n.getName().split("=")[1]) for n in names
+                  if n.getName().startswith("batch_id=") and files.exists(marker(n, "_SUCCESS")))
+
+
+class Rounds:
+    """Retries after the input has ended, kept apart from the stream's batches.
+
+    What waits before batch N is tried in rounds below ``after=N`` until nothing
+    does; only then a marker makes them count. The checkpoint may later hand out
+    N for new input: that batch then has nothing waiting to take over. Rounds cut
+    short are repeated as a whole.
+    """
+
+    def __init__(self, path: str):
+        self.root, self.marks = f"{path}-rounds", f"{path}-rounds-done"
+
+    def folder(self, after: int, number: int) -> str:
+        return f"{self.root}/after={after}/round={number}"
+
+    def done(self, spark: SparkSession) -> list[int]:
+        return complete_batches(spark, self.marks)
+
+    def mark(self, spark: SparkSession, after: int) -> None:
+        spark.range(1).write.mode("overwrite").parquet(batch_path(self.marks, after))
+
+    def read(self, spark: SparkSession, schema: T.StructType, until: int | None = None) -> DataFrame:
+        """Rows of finished rounds, of those before batch ``until`` or all."""
+        finished = [n for n in self.done(spark) if until is None or n <= until]
+        if not finished:
+            return empty(spark, schema)
+        placed = T.StructType(schema.fields + [T.StructField("after", T.IntegerType()),
+                                               T.StructField("round", T.IntegerType())])
+        rows = spark.read.schema(placed).parquet(self.root)
+        return rows.filter(F.col("after").isin(finished)).drop("after", "round", "part")
+
+    def run(self, spark: SparkSession, after: int, attempt: Callable[[int], bool],
+            most: int | None = None) -> int:
+        """``attempt(number)`` writes a round and says whether rows still wait;
+        returns how many rounds it took. ``most`` guards against a strategy that
+        never settles: beyond it an error is raised and nothing is marked."""
+        if after in self.done(spark):
+            return 0
+        number = 0
+        while attempt(number):
+            number += 1
+            if most is not None and number >= most:
+                raise RuntimeError(f"rows still wait after {most} rounds")
+        self.mark(spark, after)
+        return number + 1
+
+
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
     """No rows of that schema, in a form the optimizer recognises as empty."""
     nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
@@ -82,8 +146,8 @@ class KeyedTable:
         return self.merge(read_batches(spark, self.path, self.schema, first, batch_id))
 
     def now(self, spark: SparkSession) -> DataFrame:
-        """The table after its newest batch."""
-        newest = spark.read.parquet(self.path).agg(F.max("batch_id")).first()[0]
+        """The table after its newest batch that is written whole."""
+        newest = max(complete_batches(spark, self.path))
         if self.schema is None:
             self.schema = T.StructType(
                 spark.read.parquet(batch_path(self.path, newest)).schema.fields)
@@ -186,10 +250,14 @@ class MaterializedTable:
 # --- ledger ---------------------------------------------------------------
 
 
+_LEDGER_ROWS = T.StructType(LEDGER.fields + [T.StructField("branch", T.StringType())])
+
+
 class LedgerSink:
     """Process every id once: earlier batches' ids are the ledger.
 
-    ``seed`` is a ledger that exists before the first batch.
+    A record without an id cannot be told from others: it is parked with a reason,
+    in the same write. ``seed`` is a ledger that exists before the first batch.
     """
 
     def __init__(self, path: str, key: str, order: str, payload: str,
@@ -199,19 +267,31 @@ class LedgerSink:
 
     def commit(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        ledger = read_before(spark, self.path, LEDGER, batch_id).select("transaction_id")
+        ledger = read_before(spark, self.path, _LEDGER_ROWS, batch_id).filter(
+            F.col("branch") == "committed").select("transaction_id")
         if self.seed is not None:
             ledger = ledger.unionByName(self.seed.select("transaction_id"))
         fresh = idempotent_process(batch, ledger, self.key, self.order)
-        write_batch(
-            fresh.select(F.col(self.key).alias("transaction_id"),
-                         F.current_timestamp().alias("processed_on"),
-                         F.col(self.payload).alias("payload")),
-            self.path, batch_id,
-        )
+        branches = [
+            rows.select(F.col(self.key).alias("transaction_id"),
+                        F.current_timestamp().alias("processed_on"),
+                        F.col(self.payload).alias("payload"), F.lit(branch).alias("branch"))
+            for rows, branch in ((fresh, "committed"),
+                                 (without_id(batch, self.key), DEAD_LETTER_TOPIC))
+        ]
+        branches[0].unionByName(branches[1]).write.mode("overwrite").partitionBy(
+            "branch").parquet(batch_path(self.path, batch_id))
+
+    def _branch(self, spark: SparkSession, name: str) -> DataFrame:
+        return spark.read.schema(_LEDGER_ROWS).parquet(self.path).filter(F.col("branch") == name)
 
     def read(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(self.path)
+        return self._branch(spark, "committed").drop("branch", "batch_id")
+
+    def parked(self, spark: SparkSession) -> DataFrame:
+        """Records without an id: payload and reason."""
+        return self._branch(spark, DEAD_LETTER_TOPIC).select(
+            "payload", F.lit(NO_ID).alias("reason"))
 
 
 # --- main output, dead letters and retries --------------------------------
@@ -267,33 +347,61 @@ class RetrySink:
             T.StructField("branch", T.StringType()),
         ])
 
+        self.rounds = Rounds(path)
+
     def handle(self, batch: DataFrame, batch_id: int) -> None:
-        earlier = read_batches(batch.sparkSession, self.path, self.waiting_schema,
-                               max(batch_id - 1, 0), batch_id)
-        again = earlier.filter(F.col("branch") == "waiting").drop("branch").withColumn(
-            "attempt", F.col("attempt") + 1
-        )
-        rows = batch.withColumn("attempt", F.lit(1)).unionByName(again)
+        rows = batch.withColumn("attempt", F.lit(1)).unionByName(
+            self._again(batch.sparkSession, batch_id))
+        self._try(rows, batch_path(self.path, batch_id))
+
+    def _again(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """What the batch before left waiting, unless rounds have settled it."""
+        if batch_id in self.rounds.done(spark):
+            return self._next(empty(spark, self.waiting_schema))
+        return self._next(read_batches(spark, self.path, self.waiting_schema,
+                                       max(batch_id - 1, 0), batch_id))
+
+    @staticmethod
+    def _next(rows: DataFrame) -> DataFrame:
+        return rows.filter(F.col("branch") == "waiting").drop("branch").withColumn(
+            "attempt", F.col("attempt") + 1)
+
+    def _try(self, rows: DataFrame, path: str) -> None:
         tried = rows.withColumn("_r", self.strategy(F.col("attempt"))).select(
             *rows.columns, F.col("_r.outcome"), F.col("_r.error")
         )
         branch = F.when(F.col("outcome") == TRANSIENT, "waiting").otherwise("settled")
         tried.withColumn("branch", branch).write.mode("overwrite").partitionBy(
             "branch"
-        ).parquet(batch_path(self.path, batch_id))
-
-    def finish(self, spark: SparkSession, next_batch: int, rounds: int) -> int:
-        """``rounds`` further batches without new input; returns the next batch id."""
-        for batch_id in range(next_batch, next_batch + rounds):
-            self.handle(empty(spark, self.schema), batch_id)
-        return next_batch + rounds
+        ).parquet(path)
+
+    def finish(self, spark: SparkSession, next_batch: int, most: int | None = None) -> int:
+        """Retry what waits before ``next_batch`` until nothing does; see ``Rounds``."""
+        def attempt(number: int) -> bool:
+            if number == 0:
+                rows = self._again(spark, next_batch)
+            else:
+                rows = self._next(spark.read.schema(self.waiting_schema).parquet(
+                    self.rounds.folder(next_batch, number - 1)))
+            target = self.rounds.folder(next_batch, number)
+            self._try(rows, target)
+            left = spark.read.schema(self.waiting_schema).parquet(target)
+            return not left.filter(F.col("branch") == "waiting").isEmpty()
+
+        return self.rounds.run(spark, next_batch, attempt, most)
 
     def settled(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(self.path).filter(F.col("branch") == "settled").drop(
-            "branch", "batch_id"
-        )
+        tried = T.StructType(self.waiting_schema.fields[:-1] + [
+            T.StructField("outcome", T.StringType()), T.StructField("error", T.StringType()),
+            self.waiting_schema.fields[-1]])
+        rows = spark.read.schema(tried).parquet(self.path).drop("batch_id").unionByName(
+            self.rounds.read(spark, tried))
+        return rows.filter(F.col("branch") == "settled").drop("branch")
 
     def waiting(self, spark: SparkSession, batches: int) -> DataFrame:
-        """Rows still transient after the first ``batches`` batches."""
+        """Rows still transient after the first ``batches`` batches and the rounds
+        that followed them."""
+        if batches in self.rounds.done(spark):
+            return empty(spark, self.waiting_schema).drop("branch")
         rows = read_batches(spark, self.path, self.waiting_schema, batches - 1, batches)
         return rows.filter(F.col("branch") == "waiting").drop("branch")

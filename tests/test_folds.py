@@ -157,3 +157,13 @@ def test_upsert_match(spark, rows):
     current = spark.createDataFrame([(1, "a"), (2, "b")], "id int, email string")
     incoming = spark.createDataFrame([(2, None), (3, "c")], "id int, email string")
     assert rows(folds.upsert_match(current, incoming, "id")) == [(1, "a"), (2, None), (3, "c")]
+
+
+def test_running_sum_treats_a_null_key_as_a_key(spark, rows):
+    df = spark.createDataFrame([(None, i) for i in range(6)] + [("a", 1)], "key string, offset long")
+    start = spark.createDataFrame([(None, 10)], "key string, n long")
+    got = folds.running_sum(df, "key", "offset", F.lit(1), "n", 2)
+    assert rows(got.filter("key is null"), "n") == [(n,) for n in range(1, 7)]
+    got = folds.running_sum(df, "key", "offset", F.lit(1), "n", 2, start)
+    assert rows(got.filter("key is null"), "offset", "n") == [(i, 11 + i) for i in range(6)]
+    assert rows(got.filter("key = 'a'"), "n") == [(1,)]

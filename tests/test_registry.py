@@ -14,8 +14,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "pages benchmark labels conversations").split()
 SQL_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
              "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
-# Hashes the SQL side cannot compute; their own tests check them by brute force.
-WITHOUT_SQL = {"partition_key"}
+WITHOUT_SQL = set()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 

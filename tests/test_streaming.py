@@ -369,10 +369,20 @@ def test_transient_rows_come_back_until_they_settle(spark, folder, rows):
     drain(handler(events, twice, folder("cp")), 120)
     assert rows(sink.settled(spark), "id") == [("a",), ("p",)]
     assert rows(sink.waiting(spark, 2), "id", "attempt") == [("b", 2), ("c", 1)]
-    assert sink.finish(spark, 2, 2) == 4
+    assert sink.finish(spark, 2) == 1
+    assert sink.finish(spark, 2) == 0
     assert rows(sink.settled(spark), "id", "attempt", "outcome") == [
         ("a", 1, "success"), ("b", 3, "success"), ("c", 2, "success"), ("p", 1, "poison")]
-    assert sink.waiting(spark, 4).count() == 0
+    assert sink.waiting(spark, 2).count() == 0
+    # The checkpoint gives the next input the batch id the rounds came before.
+    more = spark.createDataFrame([("d", 1), ("e", 5)], schema)
+    sink.handle(more, 2)
+    with pytest.raises(RuntimeError):
+        sink.finish(spark, 3, most=2)
+    assert rows(sink.settled(spark).filter("id = 'e'")) == []
+    assert sink.finish(spark, 3) == 4
+    assert rows(sink.settled(spark), "id", "attempt") == [
+        ("a", 1), ("b", 3), ("c", 2), ("d", 1), ("e", 5), ("p", 1)]
 
 
 COMMANDS = "id string, offset long, payload string"
@@ -396,6 +406,11 @@ def test_ledger(spark, folder, rows):
     append(spark, src, COMMANDS, ("b", 5, "b5"), ("c", 6, "c6"))
     drain(handler(stream(spark, src, COMMANDS, **micro_batch(files=1)), twice, checkpoint), 120)
     assert rows(sink.read(spark), "transaction_id", "payload") == expected + [("c", "c6")]
+    assert sink.parked(spark).count() == 0
+    append(spark, src, COMMANDS, (None, 7, "n7"), (None, 8, "n8"), ("d", 9, "d9"))
+    drain(handler(stream(spark, src, COMMANDS, **micro_batch(files=1)), twice, checkpoint), 120)
+    assert rows(sink.parked(spark)) == [("n7", "record has no id"), ("n8", "record has no id")]
+    assert ("d", "d9") in rows(sink.read(spark), "transaction_id", "payload")
 
 
 def test_resilient_consumer(spark, folder, rows):
@@ -424,9 +439,12 @@ def test_resilient_consumer(spark, folder, rows):
     records = stream(spark, src, schema, **micro_batch(files=1))
     drain(handler(records, twice, folder("cp")), 120)
     assert rows(consumer.committed(spark), "id", "offset", "attempts") == [("a", 0, 1)]
-    consumer.finish(spark, 2, 1)
+    consumer.finish(spark, 2)
+    consumer.handle(spark.createDataFrame([('b', 9, '{"id": "b", "needs": 1}'),
+                                           ('z', 10, '{"id": "z", "needs": 5}')], schema), 2)
+    consumer.finish(spark, 3)
     assert rows(consumer.committed(spark), "id", "offset", "attempts") == [
-        ("a", 0, 1), ("b", 2, 3)]
+        ("a", 0, 1), ("b", 2, 3), ("z", 10, 5)]
     assert rows(consumer.dead_letters(spark), "key", "attempts", "reason") == [
         ("p", 1, "refused"), ("p", 1, "refused"), ("x", 1, "Failed to deserialize"),
         ("y", 1, "record has no id")]
