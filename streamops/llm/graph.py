@@ -124,6 +124,34 @@ def forest(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return nodes[label[keep]], nodes[keep]
 
 
+# So many links fit one task's memory many times over; above, rounds of joins.
+SMALL_GRAPH = 200_000
+
+
+def _joined(batches):
+    """Components of few links by union and find; smaller nodes become roots."""
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field("u").type
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
+            a, b = find(u), find(v)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    if root:
+        nodes = list(root)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(nodes, kind), pa.array([find(n) for n in nodes], kind)],
+            names=["node", "component"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b); component is the
     smallest node reachable.
@@ -131,14 +159,19 @@ def components(links: DataFrame) -> DataFrame:
     Large-star and small-star rounds until nothing changes: each node's links are
     handed on to its smallest neighbour, so the rounds grow with the logarithm of
     the nodes and no node's neighbours are gathered in one place. Every round is
-    a table in the shared folder.
+    a table in the shared folder. At most SMALL_GRAPH links are joined in one task
+    instead, with the same result.
     """
     spark = links.sparkSession
     kind = links.schema["a"].dataType
     folder = new_folder(spark, "components")
     # u > v throughout.
-    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")) \
-        .distinct()
+    edges = stored(links.where("a <> b").select(
+        F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    if edges.count() <= SMALL_GRAPH:
+        name = kind.simpleString()
+        return stored(edges.coalesce(1).mapInArrow(_joined, f"node {name}, component {name}"),
+                      "components")
     state, step = None, 0
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

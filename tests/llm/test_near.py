@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from streamops.llm import dart_minhash, itq
+from streamops.llm import dart_minhash, graph, itq
 from streamops.llm.graph import components, forest, group_pairs
 
 
@@ -23,7 +23,9 @@ def smallest_reachable(nodes, links):
     return label
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("small", [0, 200_000])
+def test_components_of_chains_and_stars(spark, corpus, monkeypatch, small):
+    monkeypatch.setattr(graph, "SMALL_GRAPH", small)
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7)]
     random.Random(2).shuffle(links)
     got = {r.node: r.component for r in components(
