@@ -181,7 +181,8 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                   for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    sets = _of_keys(docs, pairs.select(F.explode(F.array("a", "b")).alias("key")), "sets", _sorted)
+    named = pairs.select(F.col("a").alias("key")).distinct().union(pairs.select("b").distinct())
+    sets = _of_keys(docs, named, "sets", _sorted)
     return pairs.join(sets.select(F.col("key").alias("a"), F.col("sets").alias("x")), "a") \
         .join(sets.select(F.col("key").alias("b"), F.col("sets").alias("y")), "b") \
         .select("a", "b", "x", "y").mapInArrow(compare, "a binary, b binary")
@@ -253,9 +254,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     throughout, so copies, however many, cost one row each.
 
     Candidates share a band. First every text is checked against the smallest of
-    each of its bands' buckets, then twice, in blocks of bounded size, against the
-    member of another component whose signature is the most similar: all linear in
-    the bucket. What is then still apart is checked pair by pair.
+    each of its bands' buckets, then, in blocks of bounded size, against the member
+    of another component whose signature is the most similar: both linear in the
+    bucket. What is then still apart is checked pair by pair.
     """
     text = keyed(docs.select("doc_id", "text").where("text is not null"))
     signed = stored(text.select("doc_id", "key", "text").mapInArrow(
@@ -271,7 +272,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                    .select(F.col("head").alias("a"), F.col("key").alias("b")).distinct(), "dart-stars")
     links = stored(verified(docs, stars), "dart-links")
     tried = stars
-    for nearest in (True, True, False):
+    for nearest in (True, False):
         rows = _apart(members, components(links))
         if nearest:
             rows = rows.join(nodes.select("key", "signature"), "key")
