@@ -17,7 +17,6 @@ EMIT_INTERVAL = "1 second"
 RIDE_FARE_ABOVE = 10
 
 ACCOUNT_CREDIT, ACCOUNT_DEBIT = "Deposited", "Withdrawn"
-PROFILE_START_ACTION = "-"
 
 IMAGE_SUFFIX = ".jpg"
 NO_DECODER = "no decoder for this file type"

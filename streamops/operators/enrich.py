@@ -28,7 +28,7 @@ from streamops.constants import (
     TRANSIENT,
     USD_RATES,
 )
-from streamops.functions.codec import header_get, missing_header
+from streamops.functions.codec import header_get, make_headers, missing_header
 
 
 def _inline_table(spark: SparkSession, values: Mapping[str, str], key: str, value: str,
@@ -116,6 +116,29 @@ def addressable(df: DataFrame, headers: str = "headers") -> DataFrame:
     return address_check(df, headers).filter(F.col("error").isNull()).drop("error")
 
 
+def price_replies(requests: DataFrame, prices: DataFrame, headers: str = "headers") -> DataFrame:
+    """The pricing service in one pass: every request with its outcome and, where
+    it succeeds, the reply: ``topic`` as named by the request, ``reply_headers``
+    with its correlation id, and ``total``.
+
+    Requests nobody could be answered for are poison, those for an article without
+    a price transient. One left join; prices hold an article at most once.
+    """
+    checked = address_check(requests, headers)
+    priced = price_total(checked.join(prices.select("sku", "unit_price"), "sku", "left"))
+    dropped, unknown = F.col("error").isNotNull(), F.col("unit_price").isNull()
+    answered = ~dropped & ~unknown
+    return priced.withColumns({
+        "outcome": F.when(dropped, POISON).when(unknown, TRANSIENT).otherwise(SUCCESS),
+        "error": F.when(dropped, F.col("error")).when(
+            unknown, F.concat(F.lit("no price for "), F.col("sku"))),
+        "topic": F.when(answered, F.col("reply_to")),
+        "reply_headers": F.when(answered, make_headers(
+            **{HEADER_CORRELATION_ID.replace("-", "_"): F.col("correlation_id")})),
+        "total": F.when(answered, F.col("total")),
+    })
+
+
 def cdc_action(op: Column) -> Column:
     """What the index does for a change of kind c, u or d."""
     return (

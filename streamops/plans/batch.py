@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from streamops.constants import MAX_PUBLISH_RETRIES
+from streamops.constants import HEADER_CORRELATION_ID, MAX_PUBLISH_RETRIES
 from streamops.functions import partitioning as P
 from streamops.functions.codec import (
     decode_json,
@@ -143,9 +143,14 @@ def cdc_read_model(spark, sf_dir):
     return folds.agg_cdc_fold(t.changes(spark, sf_dir))
 
 
-@query(READ_MODEL_SQL)
+# Versions run in another order than the offsets, each used once: both numbers are prime.
+_BY_VERSION = "(event_id * 1500450271) % 2147483647"
+
+
+@query(READ_MODEL_SQL.replace("event_id)", f"{_BY_VERSION})"))
 def cdc_read_model_by_version(spark, sf_dir):
-    return folds.agg_cdc_fold(t.changes(spark, sf_dir), order="version")
+    changes = t.changes(spark, sf_dir).withColumn("version", F.col("offset") * 1500450271 % 2147483647)
+    return folds.agg_cdc_fold(changes, order="version")
 
 
 @query("""
@@ -270,6 +275,34 @@ def address_check(spark, sf_dir):
     return enrich.address_check(t.addressed_requests(spark, sf_dir)).drop("headers")
 
 
+@query("""
+SELECT event_id, outcome, error, CASE WHEN outcome = 'success' THEN reply_to END AS topic,
+       CASE WHEN outcome = 'success' THEN correlation_id END AS reply_id,
+       CASE WHEN outcome = 'success' THEN CAST(price * quantity AS DOUBLE) END AS total
+FROM (SELECT *, CASE WHEN lost IS NOT NULL THEN 'poison' WHEN price IS NULL THEN 'transient'
+                     ELSE 'success' END AS outcome,
+             CASE WHEN lost IS NOT NULL THEN lost
+                  WHEN price IS NULL THEN 'no price for ' || CAST(k AS VARCHAR) END AS error
+      FROM (SELECT event_id, k, 1 + event_id % 5 AS quantity,
+                   CASE WHEN event_type <> 'view' THEN 'replies.' || event_type END AS reply_to,
+                   CASE WHEN k >= 20 THEN CAST(event_id AS VARCHAR) END AS correlation_id,
+                   CASE WHEN event_type = 'view' THEN 'header ''reply-to'' is missing'
+                        WHEN k < 20 THEN 'header ''correlation-id'' is missing' END AS lost
+            FROM (SELECT *, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events)) e
+      LEFT JOIN (SELECT p_partkey, CAST(p_retailprice AS DECIMAL(18,2)) AS price
+                 FROM part WHERE p_size > 10) p ON k = p_partkey)
+""")
+def pricing_replies(spark, sf_dir):
+    asked = t.table(spark, sf_dir, "events").select(
+        "event_id", t.k_of().cast("long").alias("sku"),
+        (1 + F.col("event_id") % 5).cast("int").alias("quantity"))
+    requests = t.addressed_requests(spark, sf_dir).join(asked, "event_id")
+    done = enrich.price_replies(requests, _prices(spark, sf_dir))
+    reply_id = header_get(F.col("reply_headers"), HEADER_CORRELATION_ID)
+    return done.select("event_id", "outcome", "error", "topic", reply_id.alias("reply_id"),
+                       F.col("total").cast("double").alias("total"))
+
+
 # --- correlation ------------------------------------------------------------------
 
 REQUESTS_SQL = """

@@ -2,7 +2,6 @@
 
 from pyspark.sql import types as T
 
-MONEY = T.DecimalType(18, 2)
 RATE = T.DecimalType(18, 6)
 
 
@@ -20,31 +19,9 @@ LOG = _struct(
     topic=_s, partition=_i, offset=_l, timestamp=_ts, key=_s, value=_s, headers=HEADERS
 )
 
-ORDER_PLACED = _struct(order_id=_s, number=_s, total=MONEY)
-RESIZE_JOB = _struct(image_id=_s, target_width=_i)
-ACCOUNT_EVENT = _struct(offset=_l, account_id=_s, type=_s, amount=MONEY, at=_ts)
-RAW_PAYMENT = _struct(payment_id=_s, currency=_s, amount=MONEY)
-ENRICHED_PAYMENT = _struct(payment_id=_s, amount_usd=T.DecimalType(37, 8), risk_level=_s)
-EMAIL_JOB = _struct(key=_s, to=_s, template=_s)
-TELEMETRY = _struct(device_id=_s, region=_s, value=_d)
-PAGE_VIEW = _struct(page=_s, at=_ts)
-WINDOWED_COUNT = _struct(page=_s, window_start=_ts, window_end=_ts, views=_l)
 RIDE_REQUEST = _struct(city=_s, ride_id=_s, fare=_d)
-RIDES_PER_CITY = _struct(city=_s, rides=_l, total_fare=_d)
-USER_EVENT = _struct(offset=_l, user_id=_s, action=_s, payload=_s)
-USER_PROFILE = _struct(user_id=_s, event_count=_l, last_action=_s)
-PRICE_REQUEST = _struct(sku=_s, quantity=_i, correlation_id=_s, reply_to=_s, req_ts=_ts)
-PRICE_RESPONSE = _struct(sku=_s, unit_price=MONEY, total=T.DecimalType(29, 2))
-SAGA_MESSAGE = _struct(order_id=_s, step=_s, status=_s, reason=_s)
-WEBHOOK = _struct(id=_s, url=_s, payload_json=_s)
-CUSTOMER_CHANGED = _struct(op=_s, customer_id=_i, email=_s, version=_l)
-CUSTOMER_EVENT = _struct(
-    event_id=_s, occurred_on=_ts, operation=_s, customer_id=_i, email=_s, version=_l
-)
 OUTBOX = _struct(
     id=_s, sequence=_l, topic=_s, entity_type=_s, entity_id=_s, content=_s,
     occurred_on=_ts, processed_on=_ts, state=_s, retry_count=_i, error=_s,
 )
 LEDGER = _struct(transaction_id=_s, processed_on=_ts, payload=_s)
-READ_MODEL = _struct(customer_id=_i, email=_s, is_deleted=_b)
-DEAD_LETTER = _struct(key=_s, value=_s, attempts=_i, reason=_s)
