@@ -302,8 +302,9 @@ def reconcile(text_length: int, base: list[tuple[int, str, int]],
     return sorted(base + added, key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
 
 
-def find(docs: DataFrame, network: Network) -> DataFrame:
+def find(docs: DataFrame, network: Network, redact: bool = False) -> DataFrame:
     """``docs`` with base and spans: arrays of (kind, start, end) in code points.
+    With ``redact`` the text comes back with its spans replaced.
 
     A null text counts as empty and has none; whole texts are read, of any
     length; columns of these names are replaced; equal rows give equal rows. The
@@ -351,33 +352,24 @@ def find(docs: DataFrame, network: Network) -> DataFrame:
             spans = [reconcile(len(t), b, f) for t, b, f in zip(texts, base, found)]
             shaped = lambda rows: pa.array([[{"kind": k, "start": s, "end": e}
                                              for s, k, e in r] for r in rows], kind)
+            columns = {c: batch.column(c) for c in names}
+            if redact:
+                columns["text"] = pa.array([redacted(t, s) for t, s in zip(
+                    batch.column("text").to_pylist(), spans)], pa.string())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in names] + [shaped(base), shaped(spans)],
-                names=names + ["base", "spans"])
+                [*columns.values(), shaped(base), shaped(spans)], names=names + ["base", "spans"])
 
     return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)
 
 
-def redact(found: DataFrame) -> DataFrame:
+def redacted(text: str | None, spans: list[tuple[int, str, int]]) -> str | None:
     """``text`` with each span replaced by its kind in angle brackets; a span that
     starts inside an earlier one is covered with it."""
-    def run(batches):
-        for batch in batches:
-            out = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-                if text is None or not spans:
-                    out.append(text)
-                    continue
-                parts, at = [], 0
-                for span in spans:
-                    if span["start"] >= at:
-                        parts += [text[at:span["start"]], f"<{span['kind'].upper()}>"]
-                    at = max(at, span["end"])
-                out.append("".join(parts) + text[at:])
-            names = [c for c in batch.schema.names if c not in ("base", "spans")]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in names],
-                names=names)
-
-    schema = T.StructType([f for f in found.schema if f.name not in ("base", "spans")])
-    return found.mapInArrow(run, schema)
+    if not spans:
+        return text
+    parts, at = [], 0
+    for start, kind, end in spans:
+        if start >= at:
+            parts += [text[at:start], f"<{kind.upper()}>"]
+        at = max(at, end)
+    return "".join(parts) + text[at:]

@@ -58,7 +58,7 @@ class ChunkEncoder:
     of each id. The cache holds at most twice ``entries`` chunks.
     """
 
-    def __init__(self, tokenizer, token_bytes: list[bytes], entries: int = 500_000):
+    def __init__(self, tokenizer, token_bytes: list[bytes], entries: int = 150_000):
         self.tokenizer = tokenizer
         # Words are whole matches already, so the model alone may encode them.
         self.words = Tokenizer(tokenizer.model)
@@ -79,17 +79,29 @@ class ChunkEncoder:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; new chunks of all of them are asked for together."""
-        pieces = [[self._chunks(piece) for piece in slices(text, 1 << 20)] for text in texts]
-        known = self.new
+        get = self.new.get
+        found, gaps = [], []
         missing: set[str] = set()
-        for chunks in pieces:
-            for piece in chunks:
-                missing.update(piece)
-        self._learn(missing.difference(known))
-        out = [b"".join([b"".join(map(known.__getitem__, piece)) for piece in chunks])
-               for chunks in pieces]
-        if len(known) > self.entries:
-            self.old, self.new = known, dict(self.seed)
+        for text in texts:
+            own: list = []
+            for piece in slices(text, 1 << 20):
+                chunks = self._chunks(piece)
+                values = list(map(get, chunks))
+                if None in values:
+                    holes = [i for i, value in enumerate(values) if value is None]
+                    words = [chunks[i] for i in holes]
+                    missing.update(words)
+                    gaps.append((values, holes, words))
+                own.append(values)
+            found.append(own)
+        if missing:
+            self._learn(missing)
+            for values, holes, words in gaps:
+                for i, ids in zip(holes, map(get, words)):
+                    values[i] = ids
+        out = [b"".join(own[0]) if len(own) == 1 else b"".join(map(b"".join, own)) for own in found]
+        if len(self.new) > self.entries:
+            self.old, self.new = self.new, dict(self.seed)
         return out
 
     @staticmethod

@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 from streamops.llm.common import fold, stored
 
 PROFILE_SIZE = 400
+# Texts looked at together: the n-grams of so many are in memory at a time.
+TOGETHER = 64
 UNKNOWN = "und"
 SPACE = 32
 
@@ -99,10 +101,12 @@ def _count(batches):
         langs = batch.column("lang").to_pylist()
         texts = batch.column("text").to_pylist()
         for lang in set(langs):
-            keys, _, alphabet = ngrams([t for t, x in zip(texts, langs) if x == lang])
-            part = counted(keys, alphabet)
-            held.setdefault(lang, []).append(part)
-            size += len(part[0])
+            own = [t for t, x in zip(texts, langs) if x == lang]
+            for at in range(0, len(own), TOGETHER):
+                keys, _, alphabet = ngrams(own[at:at + TOGETHER])
+                part = counted(keys, alphabet)
+                held.setdefault(lang, []).append(part)
+                size += len(part[0])
         if size > 1 << 21:
             yield from flush()
             held, size = {}, 0
@@ -181,7 +185,9 @@ def identify(docs: DataFrame, profiles: DataFrame, size: int = PROFILE_SIZE) ->
 
     def run(batches):
         for batch in batches:
-            found = model.predict([t or "" for t in batch.column("text").to_pylist()])
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            found = [p for at in range(0, len(texts), TOGETHER)
+                     for p in model.predict(texts[at:at + TOGETHER])]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in names]
                 + [pa.array([lang for lang, _ in found], pa.string()),

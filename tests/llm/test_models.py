@@ -239,6 +239,6 @@ def test_personal_data_of_documents(corpus):
         assert set(base) <= set(spans)
         added = sorted(set(spans) - set(base))
         assert all(e <= s or end <= start for start, _, end in added for s, _, e in base)
-    redacted = {r.doc_id: r.text for r in char_crf.redact(found).collect()}
+    redacted = {r.doc_id: r.text for r in char_crf.find(docs, network, redact=True).collect()}
     assert redacted[44] == "é <IP> é <EMAIL>" and redacted[40] is None and redacted[41] == ""
     assert char_crf.find(docs.limit(0), char_crf.train(docs.limit(0))).collect() == []
