@@ -38,7 +38,7 @@ def _encoder(digest: str, spec: Broadcast) -> ChunkEncoder:
     bytes_of = [b""] * tokenizer.get_vocab_size()
     for token, i in tokenizer.get_vocab().items():
         bytes_of[i] = bytes(back[c] for c in token)
-    return ChunkEncoder(tokenizer, bytes_of)
+    return ChunkEncoder(tokenizer, bytes_of, entries=500_000)
 
 
 def file_schema(length: int, kind: pa.DataType) -> pa.Schema:
