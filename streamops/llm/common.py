@@ -67,9 +67,3 @@ def fold(doc_id: str | Column, parts: int) -> Column:
 
 def fold_of(doc_id, parts: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % parts
-
-
-def merge_columns(docs: DataFrame, fresh: list[str]) -> DataFrame:
-    """``docs`` without columns whose names the operator is about to use."""
-    taken = {name.lower() for name in fresh}
-    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken])
