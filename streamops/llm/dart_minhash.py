@@ -35,7 +35,7 @@ FIRST_SLAB = 1 / 64
 # Signatures that agree in fewer coordinates belong to no pair of the threshold:
 # at 0.8 that is five standard deviations.
 LEAST_AGREEING = int(0.62 * COORDINATES)
-BLOCK = 256
+BLOCK = 512
 # For the pairs left at last: more coordinates, a byte of each; again over four
 # standard deviations.
 FINE = 512
