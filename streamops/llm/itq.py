@@ -1,7 +1,8 @@
 """Near-duplicate embeddings by iterative quantisation and multi-index hashing.
 
-Rotations of the centred vectors are learned so that their signs lose as little
-as possible (each start gives its own balanced code). The codes are cut into
+Rotations are learned on centred vectors so that signs lose as little as possible
+(each start gives its own code). Codes are signs about the origin, as the cosine
+is: about the mean, a pair at the threshold could stand at any angle. They are cut into
 substrings, one table each; vectors that share a substring and are close in
 Hamming distance over the whole code are candidates, and cosines of the original
 vectors decide.
@@ -25,8 +26,9 @@ SAMPLE, STARTS_ITERATIONS = 8000, 30
 # A pair at the threshold shares no table with at most this probability, if its
 # signs differ as those of a random rotation do.
 MISSED = 1e-4
-# A pair at the threshold differs in more of the code less than once in 10,000.
-SLACK = 4.5
+# Standard deviations by which a pair at the threshold may differ in more of the
+# code than expected. It only spares cosines, which decide: so it is wide.
+SLACK = 7
 BLOCK = 256
 
 
@@ -42,9 +44,9 @@ class Codes:
         self.tables = math.ceil(math.log(MISSED) / math.log(1 - alike))
         total = self.bits * self.tables
         self.most = int(total * differ + SLACK * math.sqrt(total * differ * (1 - differ)))
-        self.mean = sample.mean(axis=0) if len(sample) else np.zeros(self.dim)
+        mean = sample.mean(axis=0) if len(sample) else np.zeros(self.dim)
         rng = np.random.default_rng(seed)
-        turns = [self._rotation(sample - self.mean, rng)
+        turns = [self._rotation(sample - mean, rng)
                  for _ in range(math.ceil(total / self.dim))]
         self.turn = np.concatenate(turns, axis=1)[:, :total]
 
@@ -60,7 +62,7 @@ class Codes:
 
     def encode(self, vectors: np.ndarray) -> np.ndarray:
         """n x tables substrings."""
-        signs = ((vectors - self.mean) @ self.turn > 0).reshape(len(vectors), self.tables, self.bits)
+        signs = (vectors @ self.turn > 0).reshape(len(vectors), self.tables, self.bits)
         return signs @ (1 << np.arange(self.bits, dtype=np.int64))
 
 

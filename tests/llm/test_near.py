@@ -1,6 +1,7 @@
 """Near-duplicate texts and vectors against all pairs."""
 
 import collections
+import math
 import random
 
 import numpy as np
@@ -138,6 +139,22 @@ def test_vectors_equal_all_pairs(spark, corpus, copies):
     assert {i: g[1] for i, g in got.items()} == label
 
 
+@pytest.mark.parametrize("mean", [0.0, 0.7, 0.9, 0.97])
+@pytest.mark.parametrize("n", [6_000, 1_000_000])
+def test_codes_find_pairs_about_any_common_direction(mean, n):
+    rng = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    common = unit(rng.normal(size=64)) * mean / math.sqrt(1 - mean * mean)
+    x = unit(common + unit(rng.normal(size=(2000, 64))))
+    away = rng.normal(size=x.shape)
+    away = unit(away - (away * x).sum(axis=1, keepdims=True) * x)
+    y = 0.955 * x + math.sqrt(1 - 0.955 ** 2) * away
+    codes = itq.Codes(np.concatenate([x, y]), n)
+    differ = codes.encode(x) ^ codes.encode(y)
+    found = (differ == 0).any(axis=1) & (np.bitwise_count(differ).sum(axis=1) <= codes.most)
+    assert found.mean() >= 0.999
+
+
 def test_no_vectors(spark, corpus):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert itq.near_duplicates(empty).collect() == []
