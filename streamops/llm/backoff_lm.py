@@ -10,7 +10,9 @@ the last word, and log-probabilities add up.
 The automaton is never gathered in one place. Blocks of documents send the words
 and bigrams they hold, with their own training counts, to the task in charge of
 the word's hash range; there counts of all blocks are summed, and each block gets
-back just the states and arcs its own texts can reach.
+back just the states and arcs its own texts can reach. Bigrams of a hot first word
+are spread over all ranges by a hash of both words; how many followers such a word
+has is summed over the ranges.
 """
 
 from __future__ import annotations
@@ -92,17 +94,39 @@ class Block:
         self.pairs, self.arc = np.unique(pair, return_inverse=True)
         self.own_pairs = np.bincount(self.arc, weight[self.after], len(self.pairs)).astype(np.int64)
         self.first = self.pairs // max(1, len(self.words))
+        self.second = self.words[self.pairs % max(1, len(self.words))] & FOLLOWER
 
     def ranges(self, n: int) -> np.ndarray:
         """Where each of the n hash ranges starts among the words."""
         part = range_of(self.words, n)
         return np.searchsorted(part, np.arange(n + 1))
 
+    def hot(self, hot: np.ndarray) -> np.ndarray:
+        """The number of each word among the hot ones (ascending), or -1."""
+        at = np.searchsorted(hot, self.words)
+        return np.where(np.isin(self.words, hot), at, -1)
+
+    def deal(self, hot: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The order in which bigrams go to the n ranges (in each, those of hot
+        words last), and where each range's bigrams and its hot ones start."""
+        spread = self.hot(hot)[self.first] >= 0
+        first = self.words[self.first]
+        part = np.where(spread, range_of(mixed(first, self.second), n), range_of(first, n))
+        order = np.lexsort((spread, part))
+        key = (part.astype(np.int64) * 2 + spread)[order]
+        return order, np.searchsorted(key, 2 * np.arange(n + 1)), np.searchsorted(key, 2 * np.arange(n) + 1)
+
 
 def range_of(hashes: np.ndarray, n: int) -> np.ndarray:
     return (hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
 
 
+def mixed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """A hash of a bigram."""
+    h = (first ^ second * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ h >> np.uint64(31)) * np.uint64(0x94D049BB133111EB)
+
+
 def planes(values: np.ndarray, width: int) -> bytes:
     """Integers as byte planes, compressed: high bytes are mostly zero."""
     data = np.ascontiguousarray(
@@ -127,33 +151,58 @@ def steps(values: np.ndarray) -> bytes:
     return planes(np.diff(values, prepend=np.uint64(0)), 8)
 
 
-def _send(n: int):
+def hot_words(cut: DataFrame, n_blocks: int, most: int) -> np.ndarray:
+    """Words with ``most`` or more bigrams, counted in each block that has its share
+    of them; any other word has under twice as many. One per ``most`` tokens at most."""
+    least = max(1, most // max(1, n_blocks))
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                block = Block(row["words"], row["tokens"], row["ends"], row["held"])
+                follow = np.bincount(block.first, minlength=len(block.words))
+                at = np.flatnonzero(follow >= least)
+                yield pa.RecordBatch.from_pydict({
+                    "word": pa.array(block.words[at].view(np.int64)), "n": pa.array(follow[at])})
+
+    rows = cut.select("words", "tokens", "ends", "held").mapInArrow(run, "word long, n long") \
+        .groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= most).collect()
+    return np.sort(np.array([r.word for r in rows], np.int64).view(np.uint64))
+
+
+def _send(n: int, hot: np.ndarray):
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 block = Block(row["words"], row["tokens"], row["ends"], row["held"])
                 cuts = block.ranges(n)
-                pair_cuts = np.searchsorted(block.first, cuts)
+                order, pair_cuts, hot_cuts = block.deal(hot, n)
+                number = block.hot(hot)
                 follow = np.bincount(block.first, minlength=len(block.words))
-                second = block.words[block.pairs % max(1, len(block.words))] & FOLLOWER
+                follow[number >= 0] = 0
+                second, own_pairs = block.second[order], block.own_pairs[order]
+                first = number[block.first][order]
                 for p in range(n):
                     a, b, c, d = cuts[p], cuts[p + 1], pair_cuts[p], pair_cuts[p + 1]
-                    if a == b:
+                    if a == b and c == d:
                         continue
+                    hots, hot_follow = np.unique(first[hot_cuts[p]:d], return_counts=True)
                     yield pa.RecordBatch.from_pydict({
                         "part": pa.array([p], pa.int32()), "block": [row["block"]],
                         "words": pa.array([steps(block.words[a:b])], pa.binary()),
                         "counts": pa.array([planes(block.own[a:b], 4)], pa.binary()),
                         "followers": pa.array([planes(follow[a:b], 4)], pa.binary()),
                         "seconds": pa.array([planes(second[c:d], 6)], pa.binary()),
-                        "pair_counts": pa.array([planes(block.own_pairs[c:d], 4)], pa.binary())})
+                        "pair_counts": pa.array([planes(own_pairs[c:d], 4)], pa.binary()),
+                        "hot": pa.array([steps(hots.astype(np.uint64))], pa.binary()),
+                        "hot_followers": pa.array([planes(hot_follow, 4)], pa.binary())})
     return run
 
 
 SENT = ("part int, block string, words binary, counts binary, followers binary, "
-        "seconds binary, pair_counts binary")
+        "seconds binary, pair_counts binary, hot binary, hot_followers binary")
 BACK = ("block string, part int, counts binary, kinds binary, pair_counts binary, "
-        "n_train long, n_kinds long")
+        "n_train long, n_kinds long, hot array<long>, hot_kinds array<long>")
 
 
 def _sum(group: pa.Table) -> pa.Table:
@@ -165,8 +214,11 @@ def _sum(group: pa.Table) -> pa.Table:
     total = np.bincount(at, np.concatenate(counts), len(known)).astype(np.int64)
     ends = np.cumsum([len(w) for w in words])
     mine = np.split(at, ends[:-1])
-    firsts = np.concatenate([np.repeat(m, from_planes(r["followers"], 4).astype(np.int64))
-                             for m, r in zip(mine, rows)])
+    # Of each row first the range's own words, then hot words, numbered after them.
+    firsts = np.concatenate([np.repeat(
+        np.concatenate([m, ascending(r["hot"]).astype(np.int64) + len(known)]),
+        np.concatenate([from_planes(r[c], 4) for c in ("followers", "hot_followers")]).astype(np.int64))
+        for m, r in zip(mine, rows)])
     seconds = np.concatenate([from_planes(r["seconds"], 6) for r in rows])
     pair_counts = [from_planes(r["pair_counts"], 4).astype(np.int64) for r in rows]
     order = np.lexsort((seconds, firsts))
@@ -178,7 +230,10 @@ def _sum(group: pa.Table) -> pa.Table:
                              int(new.sum())).astype(np.int64) if len(order) else np.zeros(0, np.int64)
     # Distinct followers in training: the Witten-Bell weight of a state.
     state = firsts[order][new]
-    kinds = np.bincount(state[pair_total > 0], minlength=len(known))
+    state, state_kinds = np.unique(state[pair_total > 0], return_counts=True)
+    own = np.searchsorted(state, len(known))
+    kinds = np.zeros(len(known), np.int64)
+    kinds[state[:own]] = state_kinds[:own]
     pair_ends = np.cumsum([len(c) for c in pair_counts])
     pairs = np.split(pair, pair_ends[:-1])
     return pa.Table.from_pydict({
@@ -189,7 +244,11 @@ def _sum(group: pa.Table) -> pa.Table:
                                 pa.binary()),
         # Once per range, on its first row.
         "n_train": [int(total.sum()) if i == 0 else 0 for i in range(len(rows))],
-        "n_kinds": [int((total > 0).sum()) if i == 0 else 0 for i in range(len(rows))]})
+        "n_kinds": [int((total > 0).sum()) if i == 0 else 0 for i in range(len(rows))],
+        "hot": pa.array([(state[own:] - len(known)).tolist() if i == 0 else [] for i in range(len(rows))],
+                        pa.list_(pa.int64())),
+        "hot_kinds": pa.array([state_kinds[own:].tolist() if i == 0 else [] for i in range(len(rows))],
+                              pa.list_(pa.int64()))})
 
 
 def traverse(block: Block, counts: np.ndarray, kinds: np.ndarray, pair_counts: np.ndarray,
@@ -219,15 +278,22 @@ def score(docs: DataFrame, parts: int = 10) -> DataFrame:
     Null texts count as empty: one end token. Texts of any length are one run of
     tokens; equal rows are scored alike, and all count in training; without
     training documents every step is the root's. A task holds one block of
-    documents or one hash range of words, both of bounded size.
+    documents or one hash range of words and of hot words' bigrams, both of
+    bounded size.
     """
     cut = blocks(docs, parts)
-    total = cut.agg(F.sum("n_tokens")).first()[0] or 0
+    total, n_blocks = cut.agg(F.sum("n_tokens"), F.count("*")).first()
+    total = total or 0
     n = int(max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // RANGE_TOKENS)))
-    sent = cut.select("block", "words", "tokens", "ends", "held").mapInArrow(_send(n), SENT)
+    hot = hot_words(cut, n_blocks, max(1, RANGE_TOKENS // 8))
+    sent = cut.select("block", "words", "tokens", "ends", "held").mapInArrow(_send(n, hot), SENT)
     back = stored(sent.groupBy("part").applyInArrow(_sum, BACK), "lm-counts")
     sizes = back.agg(F.sum("n_train"), F.sum("n_kinds")).first()
     n_train, n_kinds = sizes[0] or 0, sizes[1] or 0
+    hot_kinds = np.zeros(len(hot), np.int64)
+    for r in back.select(F.explode(F.arrays_zip("hot", "hot_kinds")).alias("x")) \
+            .groupBy("x.hot").agg(F.sum("x.hot_kinds").alias("kinds")).collect():
+        hot_kinds[r["hot"]] = r["kinds"]
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = (f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, "
               "base_score double, score double")
@@ -238,8 +304,11 @@ def score(docs: DataFrame, parts: int = 10) -> DataFrame:
         replies = sorted(right.to_pylist(), key=lambda r: r["part"])
         joined = lambda c: np.concatenate([from_planes(r[c], 8) for r in replies]).astype(np.int64)
         counts = block.own + joined("counts")
-        root, step = traverse(block, counts, joined("kinds"), block.own_pairs + joined("pair_counts"),
-                              n_train, n_kinds)
+        kinds, number = joined("kinds"), block.hot(hot)
+        kinds[number >= 0] = hot_kinds[number[number >= 0]]
+        pair_counts = block.own_pairs.copy()
+        pair_counts[block.deal(hot, n)[0]] += joined("pair_counts")
+        root, step = traverse(block, counts, kinds, pair_counts, n_train, n_kinds)
         known = (counts[block.tokens] > 0).astype(np.int64)
         add = lambda x: np.add.reduceat(x, block.starts)
         size = block.ends - block.starts

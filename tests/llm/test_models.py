@@ -125,6 +125,22 @@ def test_automaton_equals_a_plain_traversal(corpus, monkeypatch, block):
         assert r.score == pytest.approx(want[5], rel=1e-9, abs=1e-9)
 
 
+def test_a_hot_first_word_spreads_over_the_ranges(corpus, monkeypatch):
+    monkeypatch.setattr(backoff_lm, "BLOCK_TOKENS", 500)
+    monkeypatch.setattr(backoff_lm, "RANGE_TOKENS", 400)
+    kept, store = {}, backoff_lm.stored
+    monkeypatch.setattr(backoff_lm, "stored", lambda df, name: kept.setdefault(name, store(df, name)))
+    docs = [(i, " ".join(f"the w{i * 7 % 90 + j}" for j in range(50))) for i in range(100)]
+    rows = backoff_lm.score(corpus(docs).repartition(20)).collect()
+    expected = plain_scores(docs)
+    for r in rows:
+        assert r.score == pytest.approx(expected[r.doc_id][5], rel=1e-9, abs=1e-9)
+    load = collections.Counter()
+    for r in kept["lm-counts"].collect():
+        load[r["part"]] += len(backoff_lm.from_planes(bytes(r["pair_counts"]), 8))
+    assert max(load.values()) < 400 < sum(load.values())
+
+
 def test_automaton_without_training(corpus):
     assert backoff_lm.score(corpus([])).collect() == []
     held = next(i for i in range(1000) if zlib.crc32(str(i).encode()) % 10 == 0)
