@@ -36,7 +36,7 @@ class Codes:
     """Rotations, and the substrings (``tables`` of ``bits``) cut from their signs."""
 
     def __init__(self, sample: np.ndarray, n: int, threshold: float = THRESHOLD, seed: int = 3):
-        self.dim = sample.shape[1] if sample.size else 1
+        self.dim = sample.shape[1]
         # About eight vectors of unrelated data share a bucket, whatever n is.
         self.bits = int(min(24, max(8, round(math.log2(max(2, n))) - 3)))
         differ = math.acos(threshold) / math.pi
@@ -66,14 +66,17 @@ class Codes:
         return signs @ (1 << np.arange(self.bits, dtype=np.int64))
 
 
-def fit(nodes: DataFrame, sample: int = SAMPLE) -> Codes:
-    n = nodes.count()
-    rows = nodes.select("key", "vector").orderBy(F.xxhash64("key"), "key").limit(sample).collect()
-    vectors = [np.frombuffer(bytes(r.vector)) for r in rows]
-    sizes = [len(v) for v in vectors]
-    dim = max(set(sizes), key=lambda d: (sizes.count(d), d)) if sizes else 1
-    kept = [v for v in vectors if len(v) == dim]
-    return Codes(np.stack(kept) if kept else np.zeros((0, dim)), n)
+def fit(nodes: DataFrame, sample: int = SAMPLE) -> dict[int, Codes]:
+    """Codes for each length of vectors that two or more have: vectors of
+    different lengths never link."""
+    length = F.length("vector")
+    counts = nodes.groupBy(length.alias("bytes")).agg(F.count("*").alias("n")).where("n > 1").collect()
+    out = {}
+    for size, n in sorted((r["bytes"], r["n"]) for r in counts):
+        rows = nodes.where(length == size).select("key", "vector") \
+            .orderBy(F.xxhash64("key"), "key").limit(sample).collect()
+        out[size // 8] = Codes(np.stack([np.frombuffer(bytes(r.vector)) for r in rows]), n)
+    return out
 
 
 def _units(batches):
@@ -95,10 +98,10 @@ def _units(batches):
 
 
 def _padded(data: list[bytes], dim: int) -> np.ndarray:
-    """As rows of ``dim`` numbers: codes only need to be alike for equal vectors."""
+    """As rows of ``dim`` numbers, shorter ones filled up with zeros."""
     out = np.zeros((len(data), dim))
     for i, raw in enumerate(data):
-        v = np.frombuffer(raw)[:dim]
+        v = np.frombuffer(raw)
         out[i, :len(v)] = v
     return out
 
@@ -107,7 +110,7 @@ def _blocks(members: DataFrame) -> DataFrame:
     return members.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
 
 
-def _first_meetings(rows: pa.Table, group: np.ndarray, codes: np.ndarray, most: int):
+def _first_meetings(rows: pa.Table, group: np.ndarray, codes: np.ndarray, most: np.ndarray):
     """Pairs of a block close in Hamming distance, in the first table they share
     only: a pair is counted once however many tables bring it up."""
     side = rows.column("side").to_numpy()
@@ -116,7 +119,7 @@ def _first_meetings(rows: pa.Table, group: np.ndarray, codes: np.ndarray, most:
         differ = codes[left] ^ codes[right]
         first = (differ == 0).argmax(axis=1) == table[left]
         left, right, differ = left[first], right[first], differ[first]
-        near = np.bitwise_count(differ.astype(np.uint32)).sum(axis=1, dtype=np.int64) <= most
+        near = np.bitwise_count(differ.astype(np.uint32)).sum(axis=1, dtype=np.int64) <= most[left]
         yield left[near], right[near]
 
 
@@ -135,29 +138,39 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD) -> Data
                    .withColumn("key", F.unhex(F.md5("vector"))), "unit-vectors")
     nodes = stored(units.where("vector is not null").groupBy("key").agg(
         F.first("vector").alias("vector"), F.count("*").alias("rows")), "vector-nodes")
-    codes = fit(nodes)
-    most, tables, dim = codes.most, codes.tables, codes.dim
+    fitted = fit(nodes)
+    limits = np.array([c.most for c in fitted.values()], np.int64)
 
     def index(batches):
         for batch in batches:
-            found = codes.encode(_padded(batch.column("vector").to_pylist(), dim))
-            n = len(found)
-            buckets = (np.arange(tables) << 32 | found).reshape(-1)
-            raw = [c.tobytes() for c in found.astype(np.uint32)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(buckets), pa.array(np.tile(np.arange(tables, dtype=np.int32), n)),
-                 batch.column("key").take(pa.array(np.repeat(np.arange(n), tables))),
-                 pa.array(raw, pa.binary()).take(pa.array(np.repeat(np.arange(n), tables)))],
-                names=["bucket", "table", "key", "code"])
+            vectors = batch.column("vector").to_pylist()
+            sizes = np.array([len(v) // 8 for v in vectors])
+            for number, (dim, codes) in enumerate(fitted.items()):
+                at = np.flatnonzero(sizes == dim)
+                if not len(at):
+                    continue
+                found, tables = codes.encode(_padded([vectors[i] for i in at], dim)), codes.tables
+                buckets = (number << 48 | np.arange(tables) << 32 | found).reshape(-1)
+                raw = [c.tobytes() for c in found.astype(np.uint32)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(buckets), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(at))),
+                     batch.column("key").take(pa.array(np.repeat(at, tables))),
+                     pa.array(raw, pa.binary()).take(pa.array(np.repeat(np.arange(len(at)), tables)))],
+                    names=["bucket", "table", "key", "code"])
 
     def code_rows(rows):
-        return np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint32).reshape(-1, tables)
+        """Codes (zeros after the tables of shorter ones, in both of a pair), and
+        in how many signs each row's partners may differ."""
+        raw = rows.column("code").to_pylist()
+        wide = max(map(len, raw))
+        codes = np.frombuffer(b"".join(c.ljust(wide, b"\0") for c in raw), np.uint32)
+        return codes.reshape(len(raw), -1), limits[rows.column("bucket").to_numpy() >> 48]
 
     def retrieve(batches):
         """Members of a block that have a close partner in it."""
         for rows, group in whole_groups(batches, ["bucket", "low", "high"]):
             keep = np.zeros(len(group), bool)
-            for left, right in _first_meetings(rows, group, code_rows(rows), most):
+            for left, right in _first_meetings(rows, group, *code_rows(rows)):
                 keep[left] = keep[right] = True
             if keep.any():
                 yield from rows.filter(pa.array(keep)).combine_chunks().to_batches()
@@ -172,7 +185,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD) -> Data
             keys = np.array(rows.column("key").to_pylist(), "V16")
             _, node = np.unique(keys, return_inverse=True)
             links = []
-            for left, right in _first_meetings(rows, group, code_rows(rows), most):
+            for left, right in _first_meetings(rows, group, *code_rows(rows)):
                 cosine = np.einsum("ij,ij->i", vectors[left], vectors[right])
                 ok = (cosine >= threshold) & (sizes[left] == sizes[right])
                 left, right = left[ok], right[ok]

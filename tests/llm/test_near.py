@@ -155,6 +155,19 @@ def test_codes_find_pairs_about_any_common_direction(mean, n):
     assert found.mean() >= 0.999
 
 
+def test_vectors_of_several_lengths_are_indexed_whole(spark, corpus):
+    rng = np.random.default_rng(5)
+    rows = rng.normal(size=(400, 16)).tolist()
+    for base in rng.normal(size=(40, 256)):
+        base[:16] *= 0.2  # what the pair differs in most relative to its size
+        other = base.copy()
+        other[:16] *= -1
+        rows += [base.tolist(), other.tolist()]
+    got = {r.vec_id: r.n_links for r in itq.near_duplicates(spark.createDataFrame(
+        list(enumerate(rows)), "vec_id long, embedding array<double>")).collect()}
+    assert [got[i] for i in range(400, len(rows))] == [1] * 80
+
+
 def test_no_vectors(spark, corpus):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert itq.near_duplicates(empty).collect() == []
