@@ -1,7 +1,7 @@
 """Quality scores from supervised subword embeddings.
 
-Words, pairs of neighbouring words and byte n-grams (three and four) are hashed
-to rows of an embedding table; a document is the mean of its features' vectors, a softmax layer turns it
+Words, pairs of neighbouring words and character n-grams (three and four code
+points, in any script) are hashed to rows of an embedding table; a document is the mean of its features' vectors, a softmax layer turns it
 into class probabilities, and both are learned together by stochastic gradient
 descent in numpy. With a linear layer on top, each feature's contribution to the
 score is one number, so scoring is a gather and a mean.
@@ -23,6 +23,8 @@ BUCKETS, DIM = 1 << 17, 8
 SAMPLE, EPOCHS, RATE = 4000, 5, 0.5
 AS_IS = bytes(32 if b in b" \t\n\v\f\r" else b for b in range(256))
 CUTOFF = 0.3
+BY_THREE, BY_FOURTH, BY_FOUR = map(np.uint64, (
+    0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
 def features(texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -36,13 +38,13 @@ def features(texts: list) -> tuple[np.ndarray, np.ndarray]:
     pairs = ((hashes[1:] ^ hashes[:-1]) % np.uint64(BUCKETS - 1)).astype(np.int32)
     at = 0
     for text, stop in zip(texts, stops.tolist()):
-        data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
+        data = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
         found = [words[at:stop], pairs[at:max(at, stop - 1)]]
         if len(data) >= 3:
-            three = data[:-2] | data[1:-1] << 8 | data[2:] << 16
-            found.append(_bucket(three, 0x9E3779B1))
+            three = (data[:-2] | data[1:-1] << np.uint64(21) | data[2:] << np.uint64(42)) * BY_THREE
+            found.append(_bucket(three))
             if len(data) >= 4:
-                found.append(_bucket(three[:-1] | data[3:] << 24, 0x85EBCA77))
+                found.append(_bucket((three[:-1] ^ data[3:] * BY_FOURTH) * BY_FOUR))
         parts += found
         n += sum(map(len, found))
         ends.append(n)
@@ -50,8 +52,8 @@ def features(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else np.zeros(0, np.int32)), np.array(ends, np.int64)
 
 
-def _bucket(grams: np.ndarray, by: int) -> np.ndarray:
-    return (grams * np.uint32(by) >> np.uint32(15)).astype(np.int32)
+def _bucket(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(47)).astype(np.int32)
 
 
 class Classifier:

@@ -81,6 +81,14 @@ def test_quality_of_unseen_texts(spark, corpus):
     assert {round(r.score, 6) for r in unknown.collect()} == {0.5}
 
 
+@pytest.mark.parametrize("text", ["stream", "привет", "こんにちは世", "a😀b😀c😀"])
+def test_subwords_are_characters_in_any_script(text):
+    buckets, ends = subword_quality.features([text])
+    assert len(buckets) == ends[0] == 1 + (len(text) - 2) + (len(text) - 3)
+    assert len(set(buckets.tolist())) == len(buckets)
+    assert 0 <= buckets.min() and buckets.max() < subword_quality.BUCKETS
+
+
 def plain_scores(docs):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     runs = {i: re.findall("[^\x20\x09-\x0d]+", (t or "").translate(lower)) + [None] for i, t in docs}
