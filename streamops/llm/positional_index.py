@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamops.llm.common import stored
@@ -141,15 +141,13 @@ def intersect(index: DataFrame, planned: DataFrame) -> DataFrame:
 
 def proximity(index: DataFrame, planned: DataFrame, slop: int, least: int) -> DataFrame:
     """(item, key, near, n_terms): where at least ``least`` different anchors of an
-    item stand within ``slop`` words of their places, ``near`` being such a place.
-    Both halves of a bin's border are covered by a second, shifted binning."""
-    shifted = F.explode(F.array(F.lit(0), F.lit(slop // 2))).alias("shift")
-    binned = postings(index, planned).select("*", shifted) \
-        .withColumn("bin", F.floor((F.col("delta") + F.col("shift")) / slop))
-    return binned.groupBy("item", "key", "shift", "bin").agg(
-        F.countDistinct("offset").alias("n_terms"), F.min("delta").alias("near")) \
-        .where(F.col("n_terms") >= least).groupBy("item", "key", "near") \
-        .agg(F.max("n_terms").alias("n_terms"))
+    item have shifts less than ``slop`` apart, ``near`` being the least of these.
+    Every run of shifts is tried, beginning at each one that occurs."""
+    run = Window.partitionBy("item", "key").orderBy("delta").rangeBetween(0, slop - 1)
+    return postings(index, planned).distinct() \
+        .withColumn("n_terms", F.size(F.collect_set("offset").over(run))) \
+        .where(F.col("n_terms") >= least) \
+        .groupBy("item", "key", F.col("delta").alias("near")).agg(F.max("n_terms").alias("n_terms"))
 
 
 def hits_of(words: np.ndarray, terms: np.ndarray, delta: int, width: int) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from test_near import words_of
 
 from streamops.llm import positional_index
@@ -59,3 +60,18 @@ def test_proximity_finds_moved_words(spark, corpus):
     assert positional_index.intersect(index, planned).count() == 0
     near = positional_index.proximity(index, planned, slop=8, least=8).collect()
     assert near and all(r.n_terms >= 8 for r in near)
+
+
+@pytest.mark.parametrize("before", [0, 2, 3, 7])
+def test_proximity_does_not_depend_on_the_place(spark, corpus, before):
+    words = [f"q{i}" for i in range(10)]
+    text = ["first"] * before + words[:5] + ["between"] * 5 + words[5:]
+    docs = corpus([(1, " ".join(text))])
+    items = positional_index.item_terms(
+        spark.createDataFrame([(1, " ".join(words))], "item_id long, text string"))
+    terms = items.selectExpr("explode(terms) as term").distinct()
+    planned = positional_index.plan(items, positional_index.term_counts(docs, terms), anchors=10)
+    index = positional_index.build_index(docs, terms)
+    near = positional_index.proximity(index, planned, slop=8, least=10).collect()
+    assert [(r.near, r.n_terms) for r in near] == [(before, 10)]
+    assert positional_index.proximity(index, planned, slop=5, least=6).count() == 0
