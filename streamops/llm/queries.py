@@ -13,11 +13,13 @@ from streamops.llm import (
     char_crf,
     dart_minhash,
     itq,
+    kronecker_negatives,
     positional_index,
     rank_profiles,
     resharding,
     subword_quality,
     token_files,
+    url_filter,
 )
 from streamops.llm.common import fold, prepare, stored, table
 from streamops.session import new_folder
@@ -179,3 +181,80 @@ def op8_resharding(spark, sf_dir):
     return resharding.with_slots(digest, order=("place", "doc_id", "text_crc32")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op12_kronecker_negatives(spark, sf_dir):
+    """Hard negatives of every hundredth embedding against all of them."""
+    rows = table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10)
+        .otherwise(F.col("label")).alias("label"), "embedding")
+    return kronecker_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op12_kronecker_negatives"] = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [floor(256 * x::DOUBLE) for x in embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND coalesce(list_bool_and([coalesce(isfinite(x), false) for x in embedding]), true)),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS other_id, a.label = c.label AS same,
+    list_inner_product(a.e, c.e)::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id AND len(a.e) = len(c.e)),
+p AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, positive_id,
+  row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id)::INTEGER AS rank,
+  other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same
+  AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5
+"""
+
+# The rules pages are judged by, and words of hosts nobody wants.
+URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"),
+             ("allow", "org/fr/"))
+UNWANTED = "casino|cheap-pills|free-bets|spam-farm|ads-track|adult"
+
+
+@query
+def op13_bloom_urls(spark, sf_dir):
+    """Verdicts on all pages by four rules and the list of canonical URLs that the
+    pages of unwanted hosts have."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    rules = spark.createDataFrame(URL_RULES, "verdict string, rule string")
+    parts = pages.withColumns(url_filter.url_parts("url"))
+    listed = parts.where(F.col("host").rlike(UNWANTED)).select(url_filter.canonical("url").alias("url"))
+    return url_filter.judge(pages, rules, listed).select("page_id", "host", "path", "rule", "verdict")
+
+
+ORACLES["op13_bloom_urls"] = rf"""
+WITH u AS (
+  SELECT page_id, url, CASE WHEN contains(url, '://') THEN url[strpos(url, '://') + 3:] ELSE '' END AS rest
+  FROM pages),
+h AS (
+  SELECT page_id, url, translate(regexp_extract(rest, '^([^/?#]*)', 1),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(regexp_extract(rest, '^([^?#]*)', 1), '(?s)^[^/]*(/.*)', 1), '') AS path,
+    list_sort(list_filter(string_split(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '&'),
+      lambda p: p <> '' AND NOT regexp_matches(p, '{url_filter.VISIT_PARAMETERS}'))) AS params
+  FROM u),
+c AS (
+  SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path,
+    regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '')
+      || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS canonical
+  FROM h),
+listed AS (SELECT DISTINCT canonical FROM c WHERE regexp_matches(host, '{UNWANTED}')),
+rules(verdict, rule) AS (VALUES {', '.join(map(str, URL_RULES))}),
+r AS (SELECT verdict, rule, split_part(rule, '/', 1) AS h, rule[strpos(rule, '/'):] AS p FROM rules),
+fits AS (
+  SELECT page_id, host, path, canonical, arg_max(r.rule, length(r.rule)) AS rule,
+    arg_max(r.verdict, length(r.rule)) AS verdict
+  FROM c LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+  GROUP BY page_id, host, path, canonical)
+SELECT page_id, host, path, rule, coalesce(verdict,
+  CASE WHEN canonical IN (SELECT canonical FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
+FROM fits
+"""
