@@ -14,6 +14,7 @@ from streamops.llm import (
     dart_minhash,
     itq,
     kronecker_negatives,
+    periodic_runs,
     positional_index,
     rank_profiles,
     resharding,
@@ -22,6 +23,7 @@ from streamops.llm import (
     url_filter,
 )
 from streamops.llm.common import fold, prepare, stored, table
+from streamops.plans.batch import crc32_sql
 from streamops.session import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -258,3 +260,57 @@ SELECT page_id, host, path, rule, coalesce(verdict,
   CASE WHEN canonical IN (SELECT canonical FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
 FROM fits
 """
+
+
+@query
+def op11_periodic_runs(spark, sf_dir):
+    """Periodic runs of words in every document, some of them planted."""
+    return periodic_runs.find(table(spark, sf_dir, "documents"), planted=True, texts=False).drop("n_words", "collapsed")
+
+
+ORACLES["op11_periodic_runs"] = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    ({crc32_sql("CAST(doc_id AS VARCHAR)")})::BIGINT AS h FROM documents),
+p AS (
+  SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
+o AS (
+  SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM p),
+m AS (
+  SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE
+    w[:a] || [w[a + 1 + k % p] for k in range(n - a)] END AS w FROM o),
+t AS (SELECT doc_id, n, unnest(range(n)) AS i, unnest(w) AS word FROM m),
+g AS (
+  SELECT doc_id, n, i, concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o,
+    lead(word, 3) OVER o, lead(word, 4) OVER o) AS gram
+  FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+lags AS (
+  SELECT x.doc_id, y.i - x.i AS lag FROM g x JOIN g y ON x.doc_id = y.doc_id AND x.gram = y.gram
+    AND x.i < y.i AND 4 * (y.i - x.i) <= x.n AND y.i + 5 <= x.n
+  GROUP BY 1, 2 HAVING count(*) >= greatest(6, 4 * lag) - lag - 4),
+eq AS (
+  SELECT x.doc_id, lag, x.i, x.i - row_number() OVER (PARTITION BY x.doc_id, lag ORDER BY x.i) AS island
+  FROM lags JOIN t x ON lags.doc_id = x.doc_id JOIN t y ON y.doc_id = x.doc_id AND y.i = x.i + lag
+    AND x.word = y.word),
+stretch AS (
+  SELECT doc_id, lag AS q, min(i) AS s, count(*) + lag AS len FROM eq GROUP BY doc_id, lag, island
+  HAVING count(*) + lag >= greatest(6, 4 * lag)),
+r AS (
+  SELECT * FROM stretch x WHERE NOT EXISTS (
+    SELECT 1 FROM stretch y WHERE y.doc_id = x.doc_id AND y.q < x.q AND y.s <= x.s
+      AND y.s + y.len >= x.s + x.len)),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY len / q DESC, s, q) AS k FROM r),
+listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS runs
+  FROM r GROUP BY doc_id),
+dropped AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM r),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text
+  FROM t ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, s::BIGINT AS start, len::BIGINT AS length,
+  q::BIGINT AS period, (1000 * len // q)::BIGINT AS exponent_milli,
+  sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM d LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)
+LEFT JOIN best ON best.doc_id = d.doc_id AND k = 1
+"""
