@@ -33,6 +33,7 @@ from streamops.plans.registry import query
 from streamops.session import new_folder
 from streamops.sources import log
 from streamops.streaming import sql as stream_sql
+from streamops.streaming.ledger import SeenCache
 from streamops.streaming.relay import Relay
 from streamops.streaming.resilient import ResilientConsumer
 from streamops.streaming.run import drain, fan_out as run_fan_out, file_sink, handler, micro_batch
@@ -64,6 +65,31 @@ def _handled(df, fn, root, mode="append"):
     return max(ids, default=-1) + 1
 
 
+def _arriving(rows, order, root, parts, start, **options):
+    """Let ``rows`` arrive in ``parts`` appends to a log, by equal ranges of ``order``,
+    and after each drain ``start(stream)``, a writer over the log. All but the first
+    drain are restarts from the checkpoint."""
+    spark, path = rows.sparkSession, f"{root}/log"
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    size = 1 if low is None else -(-(high - low + 1) // parts)
+    share = F.coalesce(F.call_function("div", order - F.lit(low), F.lit(size)), F.lit(0))
+    for part in range(parts):
+        log.log_append(rows.filter(share == part), path)
+        drain(start(log.log_scan(spark, path, rows.schema, **options)))
+
+
+def _handled_in_parts(rows, order, root, parts, fn):
+    """``_arriving`` into a micro-batch handler; returns the number of batches."""
+    ids = []
+
+    def counted(batch, batch_id):
+        fn(batch, batch_id)
+        ids.append(batch_id)
+
+    _arriving(rows, order, root, parts, lambda stream: handler(stream, counted, f"{root}/checkpoint"))
+    return max(ids, default=-1) + 1
+
+
 # --- windows --------------------------------------------------------------------
 
 
@@ -343,20 +369,20 @@ SELECT CAST(event_id AS VARCHAR) AS transaction_id, props AS payload
 FROM events WHERE event_type <> 'signup'
 """)
 def dedup_ledger(spark, sf_dir):
-    """Clicks are delivered twice, sign-ups were handled before."""
+    """Clicks are delivered twice, the second time two days later; sign-ups were
+    handled before. The log arrives in five parts."""
     root = new_folder(spark, "ledger")
     copies = F.when(F.col("event_type") == "click", F.array(F.lit(0), F.lit(1))).otherwise(
         F.array(F.lit(0))
     )
-    records = t.source(spark, sf_dir, "events", True, **micro_batch()).withColumn(
-        "copy", F.explode(copies)
-    ).select(F.col("event_id").cast("string").alias("id"), "props",
-             (F.col("event_id") * 2 + F.col("copy")).alias("offset"))
+    records = t.events(spark, sf_dir).withColumn("copy", F.explode(copies)).select(
+        F.col("event_id").cast("string").alias("id"), "props",
+        (F.unix_micros("ts") + F.col("copy") * 2 * 86_400_000_000).alias("offset"))
     seed = t.table(spark, sf_dir, "events").filter("event_type = 'signup'").select(
         F.col("event_id").cast("string").alias("transaction_id")
     )
     sink = LedgerSink(f"{root}/ledger", "id", "offset", "props", seed)
-    _handled(records, sink.commit, root)
+    _handled_in_parts(records, F.col("offset"), root, 5, sink.commit)
     return sink.read(spark).select("transaction_id", "payload")
 
 
@@ -370,15 +396,15 @@ FROM (SELECT *, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events)
 """)
 def resilient_consumer(spark, sf_dir):
     """Clicks come twice, errors are cut short, sign-ups are refused, and every
-    record fails ``k`` modulo three times before it is accepted or refused."""
+    record fails ``k`` modulo three times before it is accepted or refused. The log
+    arrives in five parts, with retries in between."""
     root = new_folder(spark, "resilient")
     kind = F.col("event_type")
     copies = F.when(kind == "click", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     text = log.json_value("event_id", "event_type", "props")
     whole = F.when(kind == "error", F.substring(text, F.lit(1), F.length(text) - 1))
-    records = t.source(spark, sf_dir, "events", True, **micro_batch()).withColumn(
-        "copy", F.explode(copies)
-    ).select(F.col("event_id").cast("string").alias("key"),
+    records = t.table(spark, sf_dir, "events").withColumn("copy", F.explode(copies)).select(
+             F.col("event_id").cast("string").alias("key"),
              (F.col("event_id") * 2 + F.col("copy")).alias("offset"),
              whole.when(kind != "error", text).alias("value"))
     schema = T.StructType([T.StructField("event_id", T.LongType()),
@@ -392,8 +418,10 @@ def resilient_consumer(spark, sf_dir):
             .otherwise(outcome.succeeded())
         )
 
-    consumer = ResilientConsumer(f"{root}/out", schema, "event_id", strategy)
-    consumer.finish(spark, _handled(records, consumer.handle, root))
+    consumer = ResilientConsumer(f"{root}/out", schema, "event_id", strategy,
+                                 cache=SeenCache(f"{root}/cache"))
+    batches = _handled_in_parts(records, F.col("offset"), root, 5, consumer.handle)
+    consumer.finish(spark, batches)
     done = consumer.committed(spark).withColumn("branch", F.lit("committed"))
     parked = consumer.dead_letters(spark).withColumn("branch", F.lit("deadletter"))
     return done.unionByName(parked).select(
@@ -401,6 +429,45 @@ def resilient_consumer(spark, sf_dir):
     )
 
 
+_AGAIN_HOURS = (0, 23, 49)
+
+
+@query(f"""
+WITH a AS (
+  SELECT event_id, t, (t - min(t) OVER ()) // ((max(t) OVER () - min(t) OVER () + 5) // 5) AS part
+  FROM (SELECT event_id, epoch_us(ts) + c_hours * 3600000000 AS t
+        FROM events, (VALUES {', '.join(f'({k}, {h})' for k, h in enumerate(_AGAIN_HOURS))}) v(c, c_hours))),
+b AS (
+  SELECT event_id, part, min(t) AS t, count(*) AS copies FROM a GROUP BY event_id, part),
+marked AS (
+  SELECT *, min(t) OVER w AS first, lag(t) OVER w AS before FROM b
+  WINDOW w AS (PARTITION BY event_id ORDER BY part))
+SELECT CAST(event_id AS VARCHAR) AS id, make_timestamp(t) AS handled_at, copies,
+       CASE WHEN before IS NULL THEN 'committed' ELSE 'skipped' END AS branch,
+       CASE WHEN before IS NULL THEN NULL WHEN t - first < 24 * 3600000000 THEN 'cache' ELSE 'ledger'
+       END AS tier
+FROM marked
+""")
+def anti_cache(spark, sf_dir):
+    """Every event is delivered again 23 and 49 hours later, in five parts: what the
+    part before has handled less than a day ago stops at the cache, the rest at the
+    ledger. Copies within a part are told apart by their number."""
+    root = new_folder(spark, "anti-cache")
+    hours = F.array(*[F.lit(h) for h in _AGAIN_HOURS])
+    records = t.events(spark, sf_dir).withColumn("hours", F.explode(hours)).select(
+        "event_id", (F.unix_micros("ts") + F.col("hours") * 3_600_000_000).alias("at")
+    ).select(F.col("event_id").cast("string").alias("key"), F.col("at").alias("offset"),
+             log.json_value("event_id", "at").alias("value"))
+    schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("at", T.LongType())])
+    consumer = ResilientConsumer(f"{root}/out", schema, "event_id", lambda attempt: outcome.succeeded(),
+                                 cache=SeenCache(f"{root}/cache"), at=F.timestamp_micros("at"))
+    _handled_in_parts(records, F.col("offset"), root, 5, consumer.handle)
+    done = consumer.committed(spark).withColumns({"branch": F.lit("committed"), "tier": F.col("reason")})
+    skipped = consumer.skipped(spark).withColumns({"branch": F.lit("skipped"), "tier": F.col("reason")})
+    return done.unionByName(skipped).select("id", F.col("at").alias("handled_at"), "copies", "branch", "tier").withColumns(
+        naive("handled_at"))
+
+
 @query("""
 SELECT 'cdc.' || event_type AS topic, CAST(user_id AS VARCHAR) AS key, props AS value,
        event_id AS sequence

@@ -10,10 +10,13 @@ from pyspark.sql import types as T
 
 from streamops.constants import DEAD_LETTER_TOPIC, NO_ID, POISON, SUCCESS, TRANSIENT
 from streamops.functions.codec import decode_or_poison
-from streamops.operators.dedupe import anti_ledger, first_per_id
-from streamops.streaming.sinks import Rounds, batch_path, empty, read_batches, read_before
+from streamops.operators.dedupe import first_per_id
+from streamops.streaming.ledger import Ledger, SeenCache, version_of_batch, version_of_round
+from streamops.streaming.sinks import BatchLog, Rounds, batch_path, empty
 
-COMMITTED, WAITING = "committed", "waiting"
+COMMITTED, WAITING, SKIPPED = "committed", "waiting", "skipped"
+# Why a record was skipped: which tier knew its id.
+BY_CACHE, BY_LEDGER = "cache", "ledger"
 
 RECORD = T.StructType([
     T.StructField("key", T.StringType()),
@@ -26,19 +29,26 @@ class ResilientConsumer:
     """Handles every id of a log once, whatever is repeated, malformed or failing.
 
     A malformed record goes to the dead letters. A record whose id an earlier
-    batch has committed is skipped. The first remaining record of every id meets
-    ``strategy(attempt)``: success is committed to the ledger, poison is parked,
-    and a transient record comes back with the next batch. Further records of the
-    id share its fate without being tried: they are skipped, parked, or wait.
+    batch has committed is skipped: the cache knows most of these, the ledger all.
+    The first remaining record of every id meets ``strategy(attempt)``: success is
+    committed to the ledger and then marked in the cache, poison is parked, and a
+    transient record comes back with the next batch. Further records of the id
+    share its fate without being tried: they are skipped, parked, or wait.
+
+    ``cache`` is optional, as results but for the reason of a skip are the same
+    without it; ``at`` is the time a record is handled at, which a cache measures
+    its retention by: an expression over the record's decoded fields, or the clock.
 
     A batch owns one folder with a directory per branch. The first records are
     written before their copies, which read the outcome from there, so that a
-    costly strategy runs once per id. The decoded batch is kept for the time of
-    its handling, on disk where memory is short; lost blocks are decoded again.
+    costly strategy runs once per id. The decoded batch is written once, to a
+    folder that every batch overwrites, and read back by the steps. The manifest
+    then names both of the batch's writes at once.
     """
 
     def __init__(self, path: str, schema: T.StructType, id_field: str,
-                 strategy: Callable[[Column], Column]):
+                 strategy: Callable[[Column], Column], ledger: Ledger | None = None,
+                 cache: SeenCache | None = None, at: Column | None = None):
         self.path, self.schema, self.id_field = path, schema, id_field
         self.strategy = strategy
         self.stored = T.StructType(RECORD.fields + [
@@ -46,16 +56,19 @@ class ResilientConsumer:
             T.StructField("attempts", T.IntegerType()),
             T.StructField("reason", T.StringType()),
             T.StructField("copies", T.LongType()),
+            T.StructField("at", T.TimestampType()),
             T.StructField("branch", T.StringType()),
         ])
-
-        self.rounds = Rounds(path)
+        self.ledger = ledger or Ledger(f"{path}-ids")
+        self.cache = cache
+        self.at = F.current_timestamp() if at is None else at
+        self.rounds, self.out = Rounds(path), BatchLog(path)
 
     def _waiting(self, spark: SparkSession, batch_id: int) -> DataFrame:
         """What the batch before left waiting, unless rounds have settled it."""
-        if batch_id in self.rounds.done(spark):
+        if batch_id == 0 or batch_id in self.rounds.done(spark):
             return self._next(empty(spark, self.stored))
-        return self._next(read_batches(spark, self.path, self.stored, max(batch_id - 1, 0), batch_id))
+        return self._next(self.out.last(spark, self.stored, batch_id))
 
     @staticmethod
     def _next(rows: DataFrame) -> DataFrame:
@@ -63,54 +76,74 @@ class ResilientConsumer:
             *RECORD.fieldNames(), (F.col("attempts") + 1).alias("attempts")
         )
 
-    def _ledger(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        """Ids committed before batch ``batch_id``, in rounds before it too."""
-        rows = read_before(spark, self.path, self.stored, batch_id).drop("batch_id", "part").unionByName(
-            self.rounds.read(spark, self.stored, batch_id))
-        return rows.filter(F.col("branch") == COMMITTED).select(F.col("id").alias("transaction_id"))
-
     def handle(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = batch.select(*RECORD.fieldNames(), F.lit(1).alias("attempts")).unionByName(
             self._waiting(spark, batch_id)
         )
-        self._handle(spark, rows, self._ledger(spark, batch_id), batch_path(self.path, batch_id))
-
-    def _handle(self, spark: SparkSession, rows: DataFrame, ledger: DataFrame, target: str) -> None:
-        decoded = decode_or_poison(rows, self.schema).withColumn(
-            "id", F.col(self.id_field).cast("string")
-        ).persist()
-        try:
-            self._route(spark, decoded, ledger, target)
-        finally:
-            decoded.unpersist()
-
-    def _route(self, spark: SparkSession, decoded: DataFrame, ledger: DataFrame, target: str) -> None:
+        written = self._handle(spark, rows, version_of_batch(batch_id),
+                               batch_path(self.path, batch_id))
+        self.out.commit(spark, batch_id, *written)
+
+    def _handle(self, spark: SparkSession, rows: DataFrame, version: int, target: str) -> list[str]:
+        decoded = decode_or_poison(rows, self.schema).withColumns({
+            "id": F.col(self.id_field).cast("string"), "_at": self.at.cast("timestamp")})
+        staged = f"{self.path}-staged"
+        decoded.write.mode("overwrite").parquet(staged)
+        return self._route(spark, spark.read.schema(decoded.schema).parquet(staged), version, target)
+
+    def _tiers(self, spark: SparkSession, first: DataFrame, version: int) -> DataFrame:
+        """``first`` with ``tier``: who knows the id already, null where nobody does."""
+        asked = first.select("id", F.col("_at").alias("at"))
+        if self.cache is not None:
+            cached = self.cache.known(spark, version, asked).withColumn("_cached", F.lit(True))
+            first = first.join(cached, "id", "left")
+        else:
+            first = first.withColumn("_cached", F.lit(None).cast("boolean"))
+        known = self.ledger.known(spark, version, first.filter(F.col("_cached").isNull()).select("id"))
+        tier = F.when(F.col("_cached"), BY_CACHE).when(F.col("_known"), BY_LEDGER)
+        return first.join(known.withColumn("_known", F.lit(True)), "id", "left").withColumn(
+            "tier", tier).drop("_cached", "_known")
+
+    def _route(self, spark: SparkSession, decoded: DataFrame, version: int, target: str) -> list[str]:
         malformed = decoded.filter((F.col("outcome") == POISON) | F.col("id").isNull())
         good = decoded.filter((F.col("outcome") == SUCCESS) & F.col("id").isNotNull())
         good = good.drop("outcome", "error")
-        first = anti_ledger(first_per_id(good, "id", "offset", "copies"), ledger, "id")
-        tried = first.withColumn("_r", self.strategy(F.col("attempts")))
+        first = self._tiers(spark, first_per_id(good, "id", "offset", "copies"), version)
+        tried = first.filter(F.col("tier").isNull()).withColumn("_r", self.strategy(F.col("attempts")))
         branch = (
             F.when(F.col("_r.outcome") == SUCCESS, COMMITTED)
             .when(F.col("_r.outcome") == TRANSIENT, WAITING).otherwise(DEAD_LETTER_TOPIC)
         )
         kept = (*RECORD.fieldNames(), "id", "attempts")
-        out = tried.select(*kept, F.col("_r.error").alias("reason"), "copies",
+        at = F.col("_at").alias("at")
+        out = tried.select(*kept, F.col("_r.error").alias("reason"), "copies", at,
                            branch.alias("branch"))
+        skipped = first.filter(F.col("tier").isNotNull()).select(
+            *kept, F.col("tier").alias("reason"), "copies", at, F.lit(SKIPPED).alias("branch"))
         parked = malformed.select(*kept, F.coalesce("error", F.lit(NO_ID))
-                                  .alias("reason"), F.lit(1).cast("long").alias("copies"),
+                                  .alias("reason"), F.lit(1).cast("long").alias("copies"), at,
                                   F.lit(DEAD_LETTER_TOPIC).alias("branch"))
-        written = self._write(out.unionByName(parked), target, "first")
-        unsettled = spark.read.schema(self.stored).parquet(written).filter(
-            (F.col("copies") > 1) & (F.col("branch") != COMMITTED)
+        written = self._write(out.unionByName(skipped).unionByName(parked), target, "first")
+        settled = spark.read.schema(self.stored).parquet(written)
+        self._remember(spark, settled, version)
+        unsettled = settled.filter(
+            (F.col("copies") > 1) & F.col("branch").isin(WAITING, DEAD_LETTER_TOPIC)
         ).select("id", "branch", "reason", "copies", F.col("offset").alias("_first"),
                  F.col("attempts").alias("_tries"))
         more = good.join(unsettled, "id").filter(F.col("offset") > F.col("_first"))
         tries = F.when(F.col("branch") == WAITING, F.col("attempts") - 1).otherwise(
             F.col("_tries"))
-        self._write(more.withColumn("attempts", tries).select(*self.stored.fieldNames()),
-                    target, "copies")
+        copies = more.withColumns({"attempts": tries, "at": F.col("_at")})
+        return [written, self._write(copies.select(*self.stored.fieldNames()), target, "copies")]
+
+    def _remember(self, spark: SparkSession, settled: DataFrame, version: int) -> None:
+        """Durable ids first, then the cache; an id the ledger knew is marked anew."""
+        committed = settled.filter(F.col("branch") == COMMITTED)
+        self.ledger.commit(spark, version, committed.select("id"))
+        if self.cache is not None:
+            known = settled.filter((F.col("branch") == SKIPPED) & (F.col("reason") == BY_LEDGER))
+            self.cache.mark(spark, version, committed.unionByName(known).select("id", "at"))
 
     def _write(self, rows: DataFrame, target: str, part: str) -> str:
         path = f"{target}/part={part}"
@@ -123,23 +156,29 @@ class ResilientConsumer:
             return spark.read.schema(self.stored).parquet(self.rounds.folder(next_batch, number))
 
         def attempt(number: int) -> bool:
-            ledger = self._ledger(spark, next_batch)
-            for earlier in range(number):
-                ledger = ledger.unionByName(round_of(earlier).filter(F.col("branch") == COMMITTED)
-                                            .select(F.col("id").alias("transaction_id")))
             rows = self._waiting(spark, next_batch) if number == 0 else self._next(round_of(number - 1))
-            self._handle(spark, rows, ledger, self.rounds.folder(next_batch, number))
-            return not round_of(number).filter(F.col("branch") == WAITING).isEmpty()
+            self._handle(spark, rows, version_of_round(next_batch, number),
+                         self.rounds.folder(next_batch, number))
+            if not round_of(number).filter(F.col("branch") == WAITING).isEmpty():
+                return True
+            for tier in (self.ledger, self.cache):
+                if tier is not None:
+                    tier.settle(spark, next_batch, number + 1)
+            return False
 
         return self.rounds.run(spark, next_batch, attempt, most)
 
     def _branch(self, spark: SparkSession, name: str) -> DataFrame:
-        rows = spark.read.schema(self.stored).parquet(self.path).drop("batch_id", "part").unionByName(
+        rows = self.out.read(spark, self.stored).unionByName(
             self.rounds.read(spark, self.stored))
-        return rows.filter(F.col("branch") == name).drop("branch", "copies")
+        return rows.filter(F.col("branch") == name).drop("branch")
 
     def committed(self, spark: SparkSession) -> DataFrame:
         return self._branch(spark, COMMITTED)
 
     def dead_letters(self, spark: SparkSession) -> DataFrame:
         return self._branch(spark, DEAD_LETTER_TOPIC)
+
+    def skipped(self, spark: SparkSession) -> DataFrame:
+        """Records an earlier batch had handled; ``reason`` says which tier knew."""
+        return self._branch(spark, SKIPPED)

@@ -2,7 +2,8 @@
 
 Each micro-batch owns the folder ``batch_id=N`` and overwrites it, and reads only
 folders of earlier batches. Running batch N again after a crash therefore gives
-the same files as running it once.
+the same files as running it once. What a batch has written counts once its
+manifest names it, all branches at once; see ``manifest``.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from streamops.constants import DEAD_LETTER_TOPIC, NO_ID, SUCCESS, TRANSIENT
-from streamops.operators.dedupe import idempotent_process, without_id
+from streamops.operators.dedupe import anti_ledger, first_per_id, without_id
 from streamops.operators.folds import (
     CHUNK,
     cdc_changes_by_key,
@@ -23,6 +24,8 @@ from streamops.operators.folds import (
     running_profile,
 )
 from streamops.schemas import LEDGER
+from streamops.streaming.ledger import Ledger, version_of_batch
+from streamops.streaming.manifest import Manifest, Part
 
 COMPACT_EVERY = 20
 
@@ -35,21 +38,35 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(batch_path(path, batch_id))
 
 
-def _files(spark: SparkSession, path: str):
-    """The file system of ``path`` and the path itself, as the driver's JVM has them."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+class BatchLog:
+    """Folders of micro-batches that readers see once their manifest names them."""
 
+    def __init__(self, path: str):
+        self.path, self.manifest = path, Manifest(f"{path}-manifest")
+
+    def write(self, rows: DataFrame, batch_id: int, *partition_by: str, part: str | None = None) -> str:
+        """One of a batch's writes, not to be seen before ``commit``."""
+        path = batch_path(self.path, batch_id) + (f"/part={part}" if part else "")
+        writer = rows.write.mode("overwrite")
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+        return path
+
+    def commit(self, spark: SparkSession, batch_id: int, *paths: str) -> None:
+        self.manifest.commit(spark, batch_id, [Part("rows", p) for p in paths])
+
+    def read(self, spark: SparkSession, schema: T.StructType) -> DataFrame:
+        """Rows of all committed batches."""
+        return self._rows(spark, schema, self.manifest.parts(spark))
+
+    def last(self, spark: SparkSession, schema: T.StructType, before: int) -> DataFrame:
+        """Rows of the last batch committed before ``before``."""
+        return self._rows(spark, schema, self.manifest.newest(spark, before))
 
-def complete_batches(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the batches whose write has left its success marker."""
-    files, target = _files(spark, path)
-    if not files.exists(target):
-        return []
-    names = [f.getPath() for f in files.listStatus(target)]
-    marker = spark._jvm.org.apache.hadoop.fs.Path
-    return sorted(int(n.getName().split("=")[1]) for n in names
-                  if n.getName().startswith("batch_id=") and files.exists(marker(n, "_SUCCESS")))
+    def _rows(self, spark: SparkSession, schema: T.StructType, parts: list[Part]) -> DataFrame:
+        if not parts:
+            return empty(spark, schema)
+        return spark.read.schema(schema).option("basePath", self.path).parquet(
+            *[p.path for p in parts]).select(*schema.fieldNames())
 
 
 class Rounds:
@@ -62,26 +79,25 @@ class Rounds:
     """
 
     def __init__(self, path: str):
-        self.root, self.marks = f"{path}-rounds", f"{path}-rounds-done"
+        self.root, self.marks = f"{path}-rounds", Manifest(f"{path}-rounds-done")
 
     def folder(self, after: int, number: int) -> str:
         return f"{self.root}/after={after}/round={number}"
 
     def done(self, spark: SparkSession) -> list[int]:
-        return complete_batches(spark, self.marks)
+        return self.marks.numbers(spark)
 
-    def mark(self, spark: SparkSession, after: int) -> None:
-        spark.range(1).write.mode("overwrite").parquet(batch_path(self.marks, after))
+    def mark(self, spark: SparkSession, after: int, rounds: int) -> None:
+        self.marks.commit(spark, after, [
+            Part("round", self.folder(after, n)) for n in range(rounds)])
 
     def read(self, spark: SparkSession, schema: T.StructType, until: int | None = None) -> DataFrame:
         """Rows of finished rounds, of those before batch ``until`` or all."""
-        finished = [n for n in self.done(spark) if until is None or n <= until]
-        if not finished:
+        paths = [p.path for p in self.marks.parts(spark, None if until is None else until + 1)]
+        if not paths:
             return empty(spark, schema)
-        placed = T.StructType(schema.fields + [T.StructField("after", T.IntegerType()),
-                                               T.StructField("round", T.IntegerType())])
-        rows = spark.read.schema(placed).parquet(self.root)
-        return rows.filter(F.col("after").isin(finished)).drop("after", "round", "part")
+        return spark.read.schema(schema).option("basePath", self.root).parquet(*paths).select(
+            *schema.fieldNames())
 
     def run(self, spark: SparkSession, after: int, attempt: Callable[[int], bool],
             most: int | None = None) -> int:
@@ -95,7 +111,7 @@ class Rounds:
             number += 1
             if most is not None and number >= most:
                 raise RuntimeError(f"rows still wait after {most} rounds")
-        self.mark(spark, after)
+        self.mark(spark, after, number + 1)
         return number + 1
 
 
@@ -136,6 +152,7 @@ class KeyedTable:
                  merge: Callable[[DataFrame], DataFrame], compact_every: int = COMPACT_EVERY):
         self.path, self.schema, self.merge = path, schema, merge
         self.compact_every = compact_every
+        self.manifest = Manifest(f"{path}-manifest")
 
     def _start(self, until: int) -> int:
         return max(until - 1, 0) // self.compact_every * self.compact_every
@@ -147,7 +164,7 @@ class KeyedTable:
 
     def now(self, spark: SparkSession) -> DataFrame:
         """The table after its newest batch that is written whole."""
-        newest = max(complete_batches(spark, self.path))
+        newest = max(self.manifest.numbers(spark))
         if self.schema is None:
             self.schema = T.StructType(
                 spark.read.parquet(batch_path(self.path, newest)).schema.fields)
@@ -158,6 +175,7 @@ class KeyedTable:
             spark = part.sparkSession
             part = self.merge(self.before(spark, batch_id).unionByName(part))
         write_batch(part, self.path, batch_id)
+        self.manifest.commit(part.sparkSession, batch_id)
 
 
 # --- read model -----------------------------------------------------------
@@ -261,17 +279,19 @@ class LedgerSink:
     """
 
     def __init__(self, path: str, key: str, order: str, payload: str,
-                 seed: DataFrame | None = None):
+                 seed: DataFrame | None = None, ledger: Ledger | None = None):
         self.path, self.key, self.order, self.payload = path, key, order, payload
         self.seed = seed
+        self.out = BatchLog(path)
+        self.ledger = ledger or Ledger(f"{path}-ids")
 
     def commit(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        ledger = read_before(spark, self.path, _LEDGER_ROWS, batch_id).filter(
-            F.col("branch") == "committed").select("transaction_id")
+        spark, version = batch.sparkSession, version_of_batch(batch_id)
+        first = first_per_id(batch, self.key, self.order)
+        known = self.ledger.known(spark, version, first.select(F.col(self.key).cast("string").alias("id")))
+        fresh = anti_ledger(first, known, self.key, "id")
         if self.seed is not None:
-            ledger = ledger.unionByName(self.seed.select("transaction_id"))
-        fresh = idempotent_process(batch, ledger, self.key, self.order)
+            fresh = anti_ledger(fresh, self.seed, self.key)
         branches = [
             rows.select(F.col(self.key).alias("transaction_id"),
                         F.current_timestamp().alias("processed_on"),
@@ -279,14 +299,16 @@ class LedgerSink:
             for rows, branch in ((fresh, "committed"),
                                  (without_id(batch, self.key), DEAD_LETTER_TOPIC))
         ]
-        branches[0].unionByName(branches[1]).write.mode("overwrite").partitionBy(
-            "branch").parquet(batch_path(self.path, batch_id))
+        path = self.out.write(branches[0].unionByName(branches[1]), batch_id, "branch")
+        written = spark.read.schema(_LEDGER_ROWS).parquet(path).filter(F.col("branch") == "committed")
+        self.ledger.commit(spark, version, written.select(F.col("transaction_id").alias("id")))
+        self.out.commit(spark, batch_id, path)
 
     def _branch(self, spark: SparkSession, name: str) -> DataFrame:
-        return spark.read.schema(_LEDGER_ROWS).parquet(self.path).filter(F.col("branch") == name)
+        return self.out.read(spark, _LEDGER_ROWS).filter(F.col("branch") == name)
 
     def read(self, spark: SparkSession) -> DataFrame:
-        return self._branch(spark, "committed").drop("branch", "batch_id")
+        return self._branch(spark, "committed").drop("branch")
 
     def parked(self, spark: SparkSession) -> DataFrame:
         """Records without an id: payload and reason."""
@@ -297,6 +319,15 @@ class LedgerSink:
 # --- main output, dead letters and retries --------------------------------
 
 
+_DELIVERED = T.StructType([
+    T.StructField("key", T.StringType()),
+    T.StructField("value", T.StringType()),
+    T.StructField("attempts", T.IntegerType()),
+    T.StructField("reason", T.StringType()),
+    T.StructField("branch", T.StringType()),
+])
+
+
 class DeliverySink:
     """Delivered records and parked ones, written from one pass over the batch.
 
@@ -306,22 +337,21 @@ class DeliverySink:
 
     def __init__(self, path: str, key: str, value: Column):
         self.path, self.key, self.value = path, key, value
+        self.out = BatchLog(path)
 
     def deliver(self, batch: DataFrame, batch_id: int) -> None:
         rows = batch.select(
             F.col(self.key).cast("string").alias("key"),
-            self.value.alias("value"),
-            "attempts",
+            self.value.cast("string").alias("value"),
+            F.col("attempts").cast("int").alias("attempts"),
             F.col("error").alias("reason"),
             F.when(F.col("outcome") == SUCCESS, "delivered")
             .otherwise(DEAD_LETTER_TOPIC).alias("branch"),
         )
-        rows.write.mode("overwrite").partitionBy("branch").parquet(
-            batch_path(self.path, batch_id)
-        )
+        self.out.commit(batch.sparkSession, batch_id, self.out.write(rows, batch_id, "branch"))
 
     def _branch(self, spark: SparkSession, name: str) -> DataFrame:
-        return spark.read.parquet(self.path).filter(F.col("branch") == name)
+        return self.out.read(spark, _DELIVERED).filter(F.col("branch") == name)
 
     def delivered(self, spark: SparkSession) -> DataFrame:
         return self._branch(spark, "delivered").select("key", "value", "attempts")
@@ -347,12 +377,14 @@ class RetrySink:
             T.StructField("branch", T.StringType()),
         ])
 
-        self.rounds = Rounds(path)
+        self.rounds, self.out = Rounds(path), BatchLog(path)
 
     def handle(self, batch: DataFrame, batch_id: int) -> None:
         rows = batch.withColumn("attempt", F.lit(1)).unionByName(
             self._again(batch.sparkSession, batch_id))
-        self._try(rows, batch_path(self.path, batch_id))
+        path = batch_path(self.path, batch_id)
+        self._try(rows, path)
+        self.out.commit(batch.sparkSession, batch_id, path)
 
     def _again(self, spark: SparkSession, batch_id: int) -> DataFrame:
         """What the batch before left waiting, unless rounds have settled it."""
@@ -394,7 +426,7 @@ class RetrySink:
         tried = T.StructType(self.waiting_schema.fields[:-1] + [
             T.StructField("outcome", T.StringType()), T.StructField("error", T.StringType()),
             self.waiting_schema.fields[-1]])
-        rows = spark.read.schema(tried).parquet(self.path).drop("batch_id").unionByName(
+        rows = self.out.read(spark, tried).unionByName(
             self.rounds.read(spark, tried))
         return rows.filter(F.col("branch") == "settled").drop("branch")
 
