@@ -164,9 +164,10 @@ def _sorted(sets: list) -> list[bytes]:
 
 
 def _finer(sets: list) -> list[bytes]:
+    """The finer signature and, after its FINE bytes, the sorted set itself."""
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     found = signatures(np.concatenate(sets) if sets else np.zeros(0, np.uint64), owner, len(sets), FINE)
-    return [row.tobytes() for row in mix(found).astype(np.uint8)]
+    return [row.tobytes() + one for row, one in zip(mix(found).astype(np.uint8), _sorted(sets))]
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -188,34 +189,69 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         .select("a", "b", "x", "y").mapInArrow(compare, "a binary, b binary")
 
 
-def _near(nearest: bool, kind: type, least: int):
-    """Pairs of a block in different components whose signatures agree enough; with
-    ``nearest`` only each member's most similar one, so a row at most per member."""
-    def run(batches):
-        for rows, group in whole_groups(batches, ["bucket", "low", "high"]):
-            side = rows.column("side").to_numpy()
-            signature = np.frombuffer(b"".join(rows.column("signature").to_pylist()), kind) \
-                .reshape(len(side), -1)
-            key = rows.column("key").to_pylist()
-            component = np.unique(np.array(rows.column("component").to_pylist(), "V16"),
-                                  return_inverse=True)[1]
-            best = np.full(len(side), least << 32, np.int64)
-            for left, right in group_pairs(group, side, 1 << 14):
-                apart = component[left] != component[right]
-                left, right = left[apart], right[apart]
-                alike = (signature[left] == signature[right]).sum(axis=1)
-                near = alike >= least
-                left, right, alike = left[near], right[near], alike[near]
-                if nearest:
-                    np.maximum.at(best, left, (alike << 32) + right + 1)
-                    np.maximum.at(best, right, (alike << 32) + left + 1)
-                else:
-                    yield from _pairs(key, left, right)
-            if nearest:
-                other = (best & 0xFFFFFFFF) - 1
-                has = np.flatnonzero(other >= 0)
-                yield from _pairs(key, has, other[has])
-    return run
+def _block(rows: pa.Table) -> tuple[np.ndarray, list, np.ndarray]:
+    """side, key and component (numbered) of the rows of blocks."""
+    component = np.unique(np.array(rows.column("component").to_pylist(), "V16"), return_inverse=True)[1]
+    return rows.column("side").to_numpy(), rows.column("key").to_pylist(), component
+
+
+def _alike(group, side, component, signature, least: int):
+    """(left, right, agreeing) of pairs in different components that agree enough."""
+    for left, right in group_pairs(group, side, 1 << 14):
+        apart = component[left] != component[right]
+        left, right = left[apart], right[apart]
+        alike = (signature[left] == signature[right]).sum(axis=1)
+        near = alike >= least
+        yield left[near], right[near], alike[near]
+
+
+def _nearest(batches):
+    """Each member of a block with its most similar one of another component: a row
+    at most per member."""
+    for rows, group in whole_groups(batches, ["bucket", "low", "high"]):
+        side, key, component = _block(rows)
+        signature = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint32) \
+            .reshape(len(side), -1)
+        best = np.full(len(side), LEAST_AGREEING << 32, np.int64)
+        for left, right, alike in _alike(group, side, component, signature, LEAST_AGREEING):
+            np.maximum.at(best, left, (alike << 32) + right + 1)
+            np.maximum.at(best, right, (alike << 32) + left + 1)
+        other = (best & 0xFFFFFFFF) - 1
+        has = np.flatnonzero(other >= 0)
+        yield from _pairs(key, has, other[has])
+
+
+def _forest(batches):
+    """Links of the threshold in a block, as a forest of its components: the most
+    alike pairs first, none between ends that are joined by then, each checked
+    with the sets themselves. Fewer rows than the block has."""
+    for rows, group in whole_groups(batches, ["bucket", "low", "high"]):
+        side, key, component = _block(rows)
+        packed = rows.column("signature").to_pylist()
+        signature = np.frombuffer(b"".join(p[:FINE] for p in packed), np.uint8).reshape(len(side), FINE)
+        sets = [np.frombuffer(p, np.uint64, offset=FINE) for p in packed]
+        # A component may be in several blocks of these rows: those are joined apart.
+        node = np.unique(np.stack([group, component]), axis=1, return_inverse=True)[1].ravel()
+        root = list(range(int(node.max(initial=-1)) + 1))
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        found = list(_alike(group, side, component, signature, LEAST_FINE))
+        left, right, alike = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64)
+                              for k in range(3))
+        links = []
+        for at in np.argsort(-alike, kind="stable").tolist():
+            i, j = int(left[at]), int(right[at])
+            a, b = top(int(node[i])), top(int(node[j]))
+            if a != b and similarity(sets[i], sets[j]) >= THRESHOLD:
+                root[a] = b
+                links.append((i, j))
+        if links:
+            yield from _pairs(key, *np.array(links).T)
 
 
 def _pairs(key: list, left: np.ndarray, right: np.ndarray):
@@ -256,7 +292,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Candidates share a band. First every text is checked against the smallest of
     each of its bands' buckets, then, in blocks of bounded size, against the member
     of another component whose signature is the most similar: both linear in the
-    bucket. What is then still apart is checked pair by pair.
+    bucket. What is then still apart is checked pair by pair inside the blocks,
+    which hand on a forest of the links they have verified.
     """
     text = keyed(docs.select("doc_id", "text").where("text is not null"))
     signed = stored(text.select("doc_id", "key", "text").mapInArrow(
@@ -271,19 +308,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = stored(members.where("key <> head")
                    .select(F.col("head").alias("a"), F.col("key").alias("b")).distinct(), "dart-stars")
     links = stored(verified(docs, stars), "dart-links")
-    tried = stars
-    for nearest in (True, False):
-        rows = _apart(members, components(links))
-        if nearest:
-            rows = rows.join(nodes.select("key", "signature"), "key")
-            near = _near(True, np.uint32, LEAST_AGREEING)
-        else:
-            rows = stored(rows, "dart-apart")
-            fine = _of_keys(docs, rows.select("key"), "signature", _finer)
-            rows, near = rows.join(fine, "key"), _near(False, np.uint8, LEAST_FINE)
-        more = stored(_candidates(rows, near).join(tried, ["a", "b"], "left_anti"), "dart-more")
-        links = stored(links.union(verified(docs, more)), "dart-links")
-        tried = stored(tried.union(more), "dart-tried")
+    rows = _apart(members, components(links)).join(nodes.select("key", "signature"), "key")
+    more = stored(_candidates(rows, _nearest).join(stars, ["a", "b"], "left_anti"), "dart-more")
+    links = stored(links.union(verified(docs, more)), "dart-links")
+    rows = stored(_apart(members, components(links)), "dart-apart")
+    fine = _of_keys(docs, rows.select("key"), "signature", _finer)
+    links = stored(links.union(_candidates(rows.join(fine, "key"), _forest)), "dart-links")
     final = components(links)
 
     ids = signed.select("doc_id", "key").join(final.withColumnRenamed("node", "key"), "key", "left") \

@@ -59,11 +59,11 @@ def in_blocks(members: DataFrame, bucket: str, key: str, size: int) -> DataFrame
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], columns: list[str],
-                 rows: int = 4096) -> Iterator[tuple[pa.Table, np.ndarray]]:
+                 rows: int = 4096, size: int = 32 << 20) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """From batches sorted by ``columns`` (integers): tables of whole groups with
-    each row's group number."""
+    each row's group number; a table has some ``rows`` or ``size`` bytes, or one group."""
     held: list[pa.RecordBatch] = []
-    n = 0
+    n = held_bytes = 0
 
     def split(table: pa.Table, last: bool):
         keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in columns])
@@ -76,12 +76,13 @@ def whole_groups(batches: Iterator[pa.RecordBatch], columns: list[str],
         if batch.num_rows:
             held.append(batch)
             n += batch.num_rows
-        if n >= rows:
+            held_bytes += batch.nbytes
+        if n >= rows or held_bytes >= size:
             done, group, rest = split(pa.Table.from_batches(held).combine_chunks(), False)
             if len(group):
                 yield done, group
-            held, n = rest.combine_chunks().to_batches(), rest.num_rows
-            rows = max(rows, 2 * n)
+            held, n, held_bytes = rest.combine_chunks().to_batches(), rest.num_rows, rest.nbytes
+            rows, size = max(rows, 2 * n), max(size, 2 * held_bytes)
     if n:
         done, group, _ = split(pa.Table.from_batches(held).combine_chunks(), True)
         yield done, group
