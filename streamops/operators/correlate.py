@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamops.constants import REPLY_TIMEOUT_SECONDS, SUCCESS, TRANSIENT
@@ -95,3 +97,44 @@ def settle_pairs(pairs: DataFrame, timeout_seconds: int = REPLY_TIMEOUT_SECONDS)
     """One row per request from what the streaming join has emitted."""
     request = [c for c in pairs.columns if c not in ("reply_ts", "reply_offset", "total")]
     return with_timeout(first_reply(pairs, *request), timeout_seconds)
+
+
+def _closing_rows(closing: DataFrame, side: str, ts: str) -> DataFrame:
+    """Rows that match nothing and move the watermark. Their ids are neither null
+    nor constant, as the optimizer would drop such rows before the watermark."""
+    return closing.select(F.concat(F.lit(f"closing of the {side} log at "), F.col("ts").cast("string"))
+                          .alias("correlation_id"), F.col("ts").alias(ts))
+
+
+def settled_stream(requests: DataFrame, replies: DataFrame, closing: DataFrame | None = None,
+                   delay: str = "0 seconds",
+                   timeout_seconds: int = REPLY_TIMEOUT_SECONDS) -> DataFrame:
+    """One row per request, once, as soon as the watermark has passed its timeout:
+    with its first reply, or as transient.
+
+    A reply stands in its own time slot and the one before, a request in its own
+    only, so a request is in one place and the outer join gives up on it once. The
+    join is followed by an aggregate over the same watermark, in append mode.
+
+    ``closing`` is a stream with the time (``ts``) before which no request or reply is
+    to come any more, and so closes all that is still pending; see ``close_log``.
+    """
+    asked = requests
+    came = replies.select("correlation_id", "reply_ts", "reply_offset", "total")
+    if closing is not None:
+        asked = asked.unionByName(_closing_rows(closing, "request", "req_ts"), allowMissingColumns=True)
+        came = came.unionByName(_closing_rows(closing, "reply", "reply_ts"), allowMissingColumns=True)
+    slots = F.array(_slot("reply_ts", timeout_seconds), _slot("reply_ts", timeout_seconds, -1))
+    left = asked.withWatermark("req_ts", delay).withColumn("slot", _slot("req_ts", timeout_seconds)).alias("q")
+    right = came.withWatermark("reply_ts", delay).withColumn("slot", F.explode(slots)).alias("r")
+    same = (F.col("q.correlation_id") == F.col("r.correlation_id")) & (
+        F.col("q.slot") == F.col("r.slot"))
+    pairs = left.join(right, same & _within(timeout_seconds), "left_outer").select(
+        *[f"q.{c}" for c in requests.columns], "r.reply_ts", "r.reply_offset", "r.total")
+    return with_timeout(first_reply(pairs, *requests.columns), timeout_seconds)
+
+
+def close_log(spark: SparkSession, path: str, at: datetime | None) -> None:
+    """Close what reads the closing log ``path``, once; without a time, create the log."""
+    rows = [] if at is None else [(at,)]
+    spark.createDataFrame(rows, "ts timestamp").coalesce(1).write.mode("append").parquet(path)

@@ -57,6 +57,36 @@ def saga_step(df: DataFrame, service) -> DataFrame:
     return df.select(nxt.alias("m")).filter("m IS NOT NULL").select("m.*")
 
 
+# The topics that carry each step, and which services read them.
+TOPICS = {
+    STEP_ORDER_CREATED: "orders",
+    STEP_PAYMENT_CAPTURED: "payments",
+    STEP_INVENTORY_FAILED: "inventory",
+    STEP_ORDER_COMPLETED: "results",
+    STEP_ORDER_CANCELLED: "results",
+}
+
+
+def topic_of(step: Column) -> Column:
+    pairs = [F.lit(x) for pair in TOPICS.items() for x in pair]
+    return F.element_at(F.create_map(*pairs), step)
+
+
+def orders_created(orders: DataFrame, order_id: str, item: Column) -> DataFrame:
+    """The first message of every order's saga, with its topic."""
+    created = message(F.col(order_id).cast("string"), STEP_ORDER_CREATED, item)
+    return orders.select(created.alias("m")).select(
+        F.lit(1).alias("seq"), "m.*", F.lit(TOPICS[STEP_ORDER_CREATED]).alias("topic"))
+
+
+def saga_stage(messages: DataFrame, service) -> DataFrame:
+    """What one service emits for the messages of its topics, each with the topic it
+    goes to and, as ``seq``, its number in the order's saga."""
+    nxt = service(F.struct(*[F.col(c) for c in _FIELDS]))
+    return messages.select((F.col("seq") + 1).alias("seq"), nxt.alias("m")).filter("m IS NOT NULL").select(
+        "seq", "m.*", topic_of(F.col("m.step")).alias("topic"))
+
+
 def saga_choreography(orders: DataFrame, order_id: str, item: Column) -> DataFrame:
     """Every message of every order's saga, numbered in the order of emission.
 

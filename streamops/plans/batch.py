@@ -387,7 +387,7 @@ def unknown_replies(spark, sf_dir):
 
 # --- sagas ------------------------------------------------------------------------
 
-_SAGA_SQL = """
+SAGA_SQL = """
 (SELECT CAST(o_orderkey AS VARCHAR) AS order_id, seq, step,
         CASE WHEN seq <= 2 THEN CASE WHEN rare THEN 'rare-item' ELSE 'in-stock-item' END
              WHEN step = 'order.completed' THEN 'ok'
@@ -405,13 +405,13 @@ def _saga(spark, sf_dir):
     return saga.saga_choreography(t.saga_orders(spark, sf_dir), "o_orderkey", F.col("item"))
 
 
-@query(f"SELECT order_id, seq, step, status, reason FROM {_SAGA_SQL}")
+@query(f"SELECT order_id, seq, step, status, reason FROM {SAGA_SQL}")
 def saga_log(spark, sf_dir):
     return _saga(spark, sf_dir).select("order_id", "seq", "step", "status", "reason")
 
 
 _SAGA_FINAL_SQL = f"""
-SELECT order_id, step, status, reason FROM {_SAGA_SQL}
+SELECT order_id, step, status, reason FROM {SAGA_SQL}
 WHERE step IN ('order.completed', 'order.cancelled')
 """
 

@@ -5,24 +5,25 @@ Each run works in a fresh folder below the session's shared checkpoint folder.
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from streamops.functions import partitioning as P
-from streamops.operators import correlate, enrich, outbox, outcome
+from streamops.operators import correlate, enrich, outbox, outcome, saga
 from streamops.operators.folds import agg_count_sum
 from streamops.operators.windows import agg_tumbling_count
 from streamops.plans import tables as t
 from streamops.plans.batch import (
+    CORRELATION_SQL,
     DELIVERIES_SQL,
     RATES_SQL,
     READ_MODEL_SQL,
-    REPLIES_SQL,
-    REQUESTS_SQL,
     RIDES_PUSH_SQL,
     RIDES_TABLE_SQL,
     RUNNING_PROFILE_SQL,
-    WINNERS_SQL,
+    SAGA_SQL,
     as_double,
     correlation_columns,
     decoded,
@@ -45,6 +46,7 @@ from streamops.streaming.sinks import (
     ReadModel,
     RetrySink,
 )
+from streamops.streaming.topology import OUTSIDE, Service, Topology
 
 
 def _drained(df, root, partition_by=None):
@@ -282,20 +284,54 @@ def exactly_once(spark, sf_dir):
 # --- request and reply ------------------------------------------------------------------
 
 
-@query(f"""
-SELECT q.correlation_id, q.sku, CAST(total AS DOUBLE) AS total, reply_ts,
-       CASE WHEN reply_ts IS NULL THEN 'transient' ELSE 'success' END AS outcome,
-       CASE WHEN reply_ts IS NULL THEN 'no reply for ' || sku || ' within 5s' END AS error
-FROM {REQUESTS_SQL} q LEFT JOIN {WINNERS_SQL} w ON q.correlation_id = w.correlation_id
-WHERE reply_ts IS NOT NULL OR req_ts + INTERVAL 5 SECONDS
-      < least((SELECT max(req_ts) FROM {REQUESTS_SQL}), (SELECT max(reply_ts) FROM {REPLIES_SQL}))
-""")
+@query(CORRELATION_SQL)
 def correlation_stream(spark, sf_dir):
-    pairs = correlate.join_correlation_stream(
-        t.requests(spark, sf_dir, True), t.replies(spark, sf_dir, True)
-    )
-    rows = _drained(pairs, new_folder(spark, "correlation"))
-    return correlation_columns(correlate.settle_pairs(rows))
+    """The log arrives in three parts; a closing time then settles what is pending."""
+    root = new_folder(spark, "correlation")
+    events = t.events(spark, sf_dir)
+    correlate.close_log(spark, f"{root}/closing", None)
+
+    def settled(stream):
+        closing = log.log_scan(spark, f"{root}/closing", T.StructType([T.StructField("ts", T.TimestampType())]))
+        rows = correlate.settled_stream(t.requests_of(stream), t.replies_of(stream), closing, "10 seconds")
+        return file_sink(rows, f"{root}/out", f"{root}/checkpoint")
+
+    _arriving(events, F.col("event_id"), root, 3, settled)
+    last = events.agg(F.max("ts")).first()[0]
+    if last is not None:
+        correlate.close_log(spark, f"{root}/closing", last + timedelta(minutes=1))
+        drain(settled(log.log_scan(spark, f"{root}/log", events.schema)))
+    return correlation_columns(log.read_committed(spark, f"{root}/out"))
+
+
+# --- sagas ----------------------------------------------------------------------------
+
+_SAGA_MESSAGE = T.StructType([
+    T.StructField("seq", T.IntegerType()),
+    T.StructField("order_id", T.StringType()),
+    T.StructField("step", T.StringType()),
+    T.StructField("status", T.StringType()),
+    T.StructField("reason", T.StringType()),
+])
+
+
+@query(f"SELECT order_id, seq, step, status, reason FROM {SAGA_SQL}")
+def saga_stream(spark, sf_dir):
+    """A streaming query per service over topic folders; orders come in two parts."""
+    services = [
+        Service("payment-service", ("orders", "inventory"), (OUTSIDE, "inventory-service"),
+                lambda rows: saga.saga_stage(rows, saga.payment_service)),
+        Service("inventory-service", ("payments",), ("payment-service",),
+                lambda rows: saga.saga_stage(rows, saga.inventory_service)),
+    ]
+    orders = t.saga_orders(spark, sf_dir)
+    even = F.col("o_orderkey") % 2 == 0
+    root = new_folder(spark, "saga")
+    for part in (orders.filter(even), orders.filter(~even)):
+        topology = Topology(spark, root, _SAGA_MESSAGE, services)
+        topology.publish(saga.orders_created(part, "o_orderkey", F.col("item")))
+        topology.drain(most=10)
+    return topology.messages().select("order_id", "seq", "step", "status", "reason")
 
 
 # --- delivery -------------------------------------------------------------------------

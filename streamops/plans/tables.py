@@ -138,15 +138,19 @@ def changes(spark, sf_dir, stream=False, **options) -> DataFrame:
     )
 
 
-def requests(spark, sf_dir, stream=False, **options) -> DataFrame:
+def requests_of(rows: DataFrame) -> DataFrame:
     """All events but the errors ask for a price."""
-    return events(spark, sf_dir, stream, **options).filter("event_type <> 'error'").select(
+    return rows.filter("event_type <> 'error'").select(
         F.col("event_id").cast("string").alias("correlation_id"),
         F.col("event_type").alias("sku"), F.col("ts").alias("req_ts"),
     )
 
 
-def replies(spark, sf_dir, stream=False, **options) -> DataFrame:
+def requests(spark, sf_dir, stream=False, **options) -> DataFrame:
+    return requests_of(events(spark, sf_dir, stream, **options))
+
+
+def replies_of(rows: DataFrame) -> DataFrame:
     """All events but sign-ups are answered, after 80 ms times ``k``.
 
     Purchases are answered a second time one second later, and errors although
@@ -155,7 +159,7 @@ def replies(spark, sf_dir, stream=False, **options) -> DataFrame:
     copies = F.when(F.col("event_type") == "purchase", F.array(F.lit(0), F.lit(1))).otherwise(
         F.array(F.lit(0))
     )
-    answers = events(spark, sf_dir, stream, **options).filter("event_type <> 'signup'")
+    answers = rows.filter("event_type <> 'signup'")
     return answers.withColumns({"k": k_of(), "copy": F.explode(copies)}).select(
         F.col("event_id").cast("string").alias("correlation_id"),
         F.expr("timestampadd(MILLISECOND, k * 80 + copy * 1000, ts)").alias("reply_ts"),
@@ -164,6 +168,10 @@ def replies(spark, sf_dir, stream=False, **options) -> DataFrame:
     )
 
 
+def replies(spark, sf_dir, stream=False, **options) -> DataFrame:
+    return replies_of(events(spark, sf_dir, stream, **options))
+
+
 def content() -> Column:
     """Event JSON, cut short for errors so that it cannot be decoded."""
     props = F.col("props")
