@@ -1,10 +1,9 @@
 """Folds by key, final and running.
 
 Final folds are plain aggregates: they combine before the shuffle, so a hot key
-costs one row per task. Running folds need order within a key. They cut every
-key into chunks of consecutive offsets, fold inside the chunks, and add what the
-key's earlier chunks sum up to. Offsets being unique, a chunk holds at most
-``chunk`` rows however hot its key is.
+costs one row per task. Running folds need order within a key. A key with more
+rows than ``chunk`` is cut into chunks of about as many consecutive rows, and what
+its earlier chunks sum up to is added; all other keys are folded as they are.
 """
 
 from __future__ import annotations
@@ -53,6 +52,55 @@ def agg_profile(events: DataFrame) -> DataFrame:
     )
 
 
+# Tables of hot keys and of their slices are broadcast up to so many rows, some MB.
+SMALL_TABLE = 200_000
+SLICES = 8
+
+
+def _hot_keys(df: DataFrame, key: str, order: str, chunk: int) -> DataFrame:
+    """(_key, _low, _width, _slices) of every key with more than ``chunk`` rows: its
+    order values are cut into slices of equal width, some for every chunk."""
+    sizes = df.groupBy(F.col(key).alias("_key")).agg(
+        F.count("*").alias("_n"), F.min(order).alias("_low"), F.max(order).alias("_high"))
+    slices = F.ceil(F.col("_n") / chunk) * SLICES
+    return sizes.filter(F.col("_n") > chunk).select(
+        "_key", "_low", F.ceil((F.col("_high") - F.col("_low") + 1) / slices).alias("_width"),
+        slices.alias("_slices"))
+
+
+def in_chunks(df: DataFrame, key: str, order: str, chunk: int = CHUNK) -> tuple[DataFrame, bool]:
+    """``df`` with ``_chunk`` and ``_inner``, null for keys of at most ``chunk`` rows, and
+    whether there are others.
+
+    From the counts of a hot key's slices, neighbouring ones make up a chunk; a slice
+    that holds more than ``chunk`` rows by itself is cut by its order values, which
+    are unique. Counting the hot keys is a job of its own, as without any nothing
+    further needs to be planned.
+    """
+    hot = _hot_keys(df, key, order, chunk)
+    keys, slices = hot.agg(F.count("*"), F.sum("_slices")).first()
+    if not keys:
+        none = F.lit(None).cast("long")
+        return df.withColumns({"_chunk": none, "_inner": none}), False
+
+    def small(table: DataFrame, rows: int) -> DataFrame:
+        return F.broadcast(table) if rows <= SMALL_TABLE else table
+
+    hot = small(hot.select("_key", "_low", "_width"), keys)
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    at = F.floor((F.col(order) - F.col("_low")) / F.col("_width")).alias("_slice")
+    counts = df.join(hot, same).groupBy("_key", at).agg(F.count("*").alias("_rows"))
+    before = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = counts.select(F.col("_key").alias("_cut_key"), F.col("_slice").alias("_cut_slice"), F.floor(
+        F.coalesce(F.sum("_rows").over(before), F.lit(0)) / chunk).alias("_chunk"),
+        (F.col("_rows") > chunk).alias("_dense"))
+    sliced = df.join(hot, same, "left").withColumn("_slice", at)
+    placed = sliced.join(small(chunks, slices), F.col("_key").eqNullSafe(F.col("_cut_key"))
+                         & (F.col("_slice") == F.col("_cut_slice")), "left")
+    inner = F.when(F.col("_dense"), F.col(order) - F.pmod(F.col(order), F.lit(chunk)))
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns], "_chunk", inner.alias("_inner")), True
+
+
 def running_sum(
     df: DataFrame, key: str, order: str, value: Column, out: str, chunk: int = CHUNK,
     initial: DataFrame | None = None,
@@ -61,36 +109,29 @@ def running_sum(
 
     ``order`` must be an integer column that is unique within the key; rows with a
     null key are one key like any other. ``initial`` holds, per key, an ``out``
-    value to start from.
+    value to start from. Keys that are not hot take one window and nothing else.
     """
-    cut = df.withColumns({
-        "_value": value, "_chunk": F.col(order) - F.pmod(F.col(order), F.lit(chunk)),
-    })
+    placed, hot = in_chunks(df.withColumn("_value", value), key, order, chunk)
     upto = (
-        Window.partitionBy(key, "_chunk").orderBy(order)
+        Window.partitionBy(key, "_chunk", "_inner").orderBy(order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    before = (
-        Window.partitionBy(key).orderBy("_chunk")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    totals = cut.groupBy(key, "_chunk").agg(F.sum("_value").alias("_total"))
-    carry = totals.withColumn("_carry", F.sum("_total").over(before)).drop("_total")
+    rows = placed.withColumn("_inside", F.sum("_value").over(upto))
+    total = F.col("_inside")
+    if hot:
+        before = Window.partitionBy("_key").orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
+        carry = placed.filter("_chunk IS NOT NULL").groupBy(
+            F.col(key).alias("_key"), F.col("_chunk").alias("_at"), F.col("_inner").alias("_in")).agg(
+            F.sum("_value").alias("_total"), F.min(order).alias("_first")) \
+            .select("_key", "_at", "_in", F.sum("_total").over(before).alias("_carry"))
+        rows = rows.join(carry, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_chunk") == F.col("_at"))
+                         & F.col("_inner").eqNullSafe(F.col("_in")), "left").drop("_key")
+        total = total + F.coalesce(F.col("_carry"), F.lit(0))
     if initial is not None:
-        start = initial.select(F.col(key).alias("_key"), F.col(out).alias("_start"))
-        carried = F.coalesce(F.col("_carry") + F.col("_start"), "_carry", "_start")
-        carry = carry.join(start, F.col(key).eqNullSafe(F.col("_key")), "left").withColumn(
-            "_carry", carried).drop("_start", "_key")
-    carry = carry.filter(F.col("_carry").isNotNull()).select(
-        F.col(key).alias("_key"), F.col("_chunk").alias("_at"), "_carry")
-    inside = cut.withColumn("_inside", F.sum("_value").over(upto))
-    total = F.col("_inside") + F.coalesce(F.col("_carry"), F.lit(0))
-    return (
-        inside.join(carry, F.col(key).eqNullSafe(F.col("_key"))
-                    & (F.col("_chunk") == F.col("_at")), "left")
-        .withColumn(out, total)
-        .select(*df.columns, out)
-    )
+        start = initial.select(F.col(key).alias("_start_key"), F.col(out).alias("_start"))
+        rows = rows.join(start, F.col(key).eqNullSafe(F.col("_start_key")), "left")
+        total = total + F.coalesce(F.col("_start"), F.lit(0))
+    return rows.withColumn(out, total).select(*[F.col(f"`{c}`") for c in df.columns], out)
 
 
 def running_profile(events: DataFrame, chunk: int = CHUNK,

@@ -129,7 +129,7 @@ def tumbling_stream_update(spark, sf_dir):
 def profile_stream(spark, sf_dir):
     root = new_folder(spark, "profiles")
     fold = ProfileFold(f"{root}/out", f"{root}/state")
-    _handled(t.user_events(spark, sf_dir, True), fold.derive, root)
+    _handled_in_parts(t.user_events(spark, sf_dir), F.col("offset"), root, 3, fold.derive)
     return spark.read.parquet(fold.out).drop("batch_id")
 
 
@@ -146,7 +146,7 @@ def materialized_stream(spark, sf_dir):
 def cdc_read_model_stream(spark, sf_dir):
     root = new_folder(spark, "read-model")
     model = ReadModel(f"{root}/model")
-    batches = _handled(t.changes(spark, sf_dir, True, **micro_batch()), model.upsert, root)
+    batches = _handled_in_parts(t.changes(spark, sf_dir), F.col("offset"), root, 3, model.upsert)
     return model.read(spark, batches)
 
 

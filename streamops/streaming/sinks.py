@@ -178,6 +178,68 @@ class KeyedTable:
         self.manifest.commit(part.sparkSession, batch_id)
 
 
+class BucketedTable:
+    """A table of one row per key in buckets by the key's hash, copied on write.
+
+    A batch reads and rewrites the buckets its own keys hash to; the manifest keeps
+    naming the old folders of all others, whose files stay as they are. ``merge``
+    folds the rows of a bucket and the batch's into one row per key; deletes are
+    rows as well, with a mark, so a bucket that was written once stays. The number
+    of buckets is that of Spark's shuffle partitions when the table is first
+    written, unless given, and is kept from then on.
+    """
+
+    def __init__(self, path: str, schema: T.StructType, key: str,
+                 merge: Callable[[DataFrame], DataFrame], buckets: int | None = None):
+        self.path, self.schema, self.key, self.merge = path, schema, key, merge
+        self.buckets = buckets
+        self.manifest = Manifest(f"{path}-manifest")
+
+    def _parts(self, spark: SparkSession, batch_id: int) -> tuple[int, dict[int, Part]]:
+        parts = {p.level: p for p in self.manifest.newest(spark, batch_id)}
+        if parts:
+            return next(iter(parts.values())).depth, parts
+        return self.buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), {}
+
+    def _bucket(self, buckets: int) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(buckets)).cast("int").alias("bucket")
+
+    def _touched(self, keys: DataFrame, buckets: int) -> list[int]:
+        """Buckets of the keys: as many small numbers as there are buckets at most."""
+        return sorted(r.bucket for r in keys.select(self._bucket(buckets)).distinct().collect())
+
+    def _read(self, spark: SparkSession, parts: list[Part]) -> DataFrame:
+        if not parts:
+            return empty(spark, self.schema)
+        return spark.read.schema(self.schema).parquet(*[p.path for p in parts])
+
+    def before(self, spark: SparkSession, batch_id: int, keys: DataFrame | None = None) -> DataFrame:
+        """The table as the batches before ``batch_id`` have left it; with ``keys`` only
+        the buckets these are in."""
+        buckets, parts = self._parts(spark, batch_id)
+        if keys is not None and parts:
+            parts = {b: parts[b] for b in self._touched(keys, buckets) if b in parts}
+        return self._read(spark, list(parts.values()))
+
+    def now(self, spark: SparkSession) -> DataFrame:
+        return self.before(spark, max(self.manifest.numbers(spark), default=-1) + 1)
+
+    def put(self, part: DataFrame, batch_id: int) -> list[int]:
+        """Fold a batch's rows in; returns the buckets written."""
+        spark = part.sparkSession
+        buckets, parts = self._parts(spark, batch_id)
+        touched = self._touched(part, buckets)
+        if touched:
+            old = self._read(spark, [parts[b] for b in touched if b in parts])
+            rows = self.merge(old.unionByName(part.select(*self.schema.fieldNames())))
+            folder = batch_path(self.path, batch_id)
+            rows.withColumn("bucket", self._bucket(buckets)).repartition("bucket").write.mode(
+                "overwrite").partitionBy("bucket").parquet(folder)
+            parts |= {b: Part("bucket", f"{folder}/bucket={b}", b, buckets) for b in touched}
+        self.manifest.commit(spark, batch_id, parts.values())
+        return touched
+
+
 # --- read model -----------------------------------------------------------
 
 CDC_PART = T.StructType([
@@ -191,9 +253,9 @@ CDC_PART = T.StructType([
 class ReadModel:
     """Customer index with soft delete, fed by changes in micro-batches."""
 
-    def __init__(self, path: str, order: str = "offset", compact_every: int = COMPACT_EVERY):
+    def __init__(self, path: str, order: str = "offset", buckets: int | None = None):
         self.order = order
-        self.table = KeyedTable(path, CDC_PART, cdc_merge, compact_every)
+        self.table = BucketedTable(path, CDC_PART, "customer_id", cdc_merge, buckets)
 
     def upsert(self, batch: DataFrame, batch_id: int) -> None:
         part = cdc_changes_by_key(batch, self.order)
@@ -222,16 +284,16 @@ class ProfileFold:
     """A derived profile for every event of a stream, under the event's own key.
 
     Inside a batch the running count comes from ``running_profile``, which splits
-    hot users; earlier batches contribute one count per user.
+    hot users; earlier batches contribute one count per user, kept by buckets of
+    which a batch reads and rewrites those of its own users.
     """
 
-    def __init__(self, out: str, state: str, chunk: int = CHUNK,
-                 compact_every: int = COMPACT_EVERY):
+    def __init__(self, out: str, state: str, chunk: int = CHUNK, buckets: int | None = None):
         self.out, self.chunk = out, chunk
-        self.table = KeyedTable(state, PROFILE_PART, _sum_counts, compact_every)
+        self.table = BucketedTable(state, PROFILE_PART, "user_id", _sum_counts, buckets)
 
     def derive(self, batch: DataFrame, batch_id: int) -> None:
-        earlier = self.table.before(batch.sparkSession, batch_id)
+        earlier = self.table.before(batch.sparkSession, batch_id, batch)
         write_batch(running_profile(batch, self.chunk, earlier), self.out, batch_id)
         counts = batch.groupBy("user_id").agg(F.count("*").alias("event_count"))
         self.table.put(counts, batch_id)

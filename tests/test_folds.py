@@ -73,10 +73,6 @@ def test_running_sum_never_puts_more_than_a_chunk_into_one_group(spark):
     out = folds.running_sum(df, "key", "offset", F.lit(1), "n", 100)
     spread = out.groupBy(F.spark_partition_id()).count()
     assert out.agg(F.max("n")).first()[0] == 10_000
-    windows = [line for line in out._jdf.queryExecution().executedPlan().toString().split("\n")
-               if "Window [" in line]
-    assert len(windows) == 2
-    assert all("_chunk" in line.split("windowspecdefinition(")[1] for line in windows)
     with_aqe_off = {"spark.sql.adaptive.enabled": "false"}
     for key, value in with_aqe_off.items():
         spark.conf.set(key, value)
@@ -86,6 +82,21 @@ def test_running_sum_never_puts_more_than_a_chunk_into_one_group(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+@pytest.mark.parametrize("spread", ["even", "crowded"])
+def test_only_hot_keys_are_cut_and_into_chunks_of_their_own_rows(spark, spread):
+    hot = [n * 10 for n in range(3000)] if spread == "even" else [0, *range(500_000, 502_999)]
+    taken = set(hot)
+    cold = [(n, f"k{n % 30}") for n in range(1, 1201) if n not in taken]
+    df = spark.createDataFrame([(n, "hot") for n in hot] + cold, "offset long, key string")
+    placed, found = folds.in_chunks(df, "key", "offset", 100)
+    sizes = {(r.key, r._chunk, r._inner): r.n for r in placed.groupBy("key", "_chunk", "_inner")
+             .agg(F.count("*").alias("n")).collect()}
+    assert found and all((k[1] is None) == (k[0] != "hot") for k in sizes)
+    parts = [n for k, n in sizes.items() if k[0] == "hot"]
+    assert max(parts) < 200 and len(parts) <= 3000 / 100 * 2 + 2 and sum(parts) == 3000
+    assert folds.in_chunks(df, "key", "offset", 3000)[1] is False
+
+
 def test_running_sum_starts_from_initial_values(spark, rows):
     df = spark.createDataFrame([(1, "a"), (5, "a"), (9, "b")], "offset long, key string")
     start = spark.createDataFrame([("a", 10), ("c", 99)], "key string, n long")

@@ -1,5 +1,6 @@
 """The bucketed ledger, the cache in front of it, and commits by manifest."""
 
+import os
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -10,7 +11,7 @@ from streamops.operators import outcome
 from streamops.streaming.ledger import Ledger, SeenCache, version_of_batch, version_of_round
 from streamops.streaming.manifest import Manifest, Part
 from streamops.streaming.resilient import ResilientConsumer
-from streamops.streaming.sinks import BatchLog, DeliverySink
+from streamops.streaming.sinks import BatchLog, BucketedTable, DeliverySink
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
@@ -171,3 +172,33 @@ def test_written_but_uncommitted_folders_are_not_read(spark, folder):
     assert out.read(spark, schema).count() == 3
     sink = DeliverySink(folder("deliveries"), "id", F.col("id"))
     assert sink.delivered(spark).count() == 0
+
+
+def test_only_touched_buckets_are_rewritten(spark, folder, rows):
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("n", T.LongType())])
+
+    def add(parts):
+        return parts.groupBy("k").agg(F.sum("n").alias("n"))
+
+    table = BucketedTable(folder("table"), schema, "k", add, buckets=8)
+    assert table.now(spark).count() == 0
+
+    def put(batch_id, *data):
+        return table.put(spark.createDataFrame(list(data), schema), batch_id)
+
+    def files():
+        return {f: os.path.getmtime(f.removeprefix("file://")) for f in table.now(spark).inputFiles()}
+
+    assert put(0, *[(k, 1) for k in range(100)]) == list(range(8))
+    first = files()
+    assert len(put(1, (5, 10), (5, 1))) == 1
+    second = files()
+    assert len(second) == 8 and len(first.items() & second.items()) == 7
+    for _ in range(2):  # a replay reads what was there before it
+        put(2, (5, 100), (500, 7))
+    got = dict(rows(table.now(spark)))
+    assert got == {**{k: 1 for k in range(100)}, 5: 112, 500: 7}
+    assert dict(rows(table.before(spark, 1)))[5] == 1 and dict(rows(table.before(spark, 2)))[5] == 12
+    some = table.before(spark, 3, spark.createDataFrame([(5,)], "k long"))
+    assert len(some.inputFiles()) == 1 and dict(rows(some))[5] == 112
+    assert put(3) == [] and table.now(spark).count() == 101

@@ -115,11 +115,11 @@ def test_open_windows_survive_a_restart(spark, folder):
 # --- folds ----------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("compact_every", [2, 20])
-def test_profiles_over_batches_and_restarts(spark, folder, rows, compact_every):
+@pytest.mark.parametrize("buckets", [2, 20])
+def test_profiles_over_batches_and_restarts(spark, folder, rows, buckets):
     src, checkpoint = folder("src"), folder("cp")
     events = user_events(60)
-    fold = ProfileFold(folder("out"), folder("state"), chunk=8, compact_every=compact_every)
+    fold = ProfileFold(folder("out"), folder("state"), chunk=8, buckets=buckets)
     for half in (events[:30], events[30:]):
         for i in range(0, 30, 6):
             append(spark, src, USER_EVENTS, *half[i:i + 6])
@@ -154,7 +154,7 @@ def test_read_model_in_batches(spark, folder, rows):
     src = folder("src")
     for i in range(0, 50, 10):
         append(spark, src, CHANGES, *data[i:i + 10])
-    model, batches = ReadModel(folder("model"), compact_every=2), []
+    model, batches = ReadModel(folder("model"), buckets=2), []
 
     def upsert(batch, batch_id):
         model.upsert(batch, batch_id)
