@@ -67,16 +67,18 @@ def _handled(df, fn, root, mode="append"):
     return max(ids, default=-1) + 1
 
 
-def _arriving(rows, order, root, parts, start, **options):
+def _arriving(rows, order, root, parts, start, late=None, **options):
     """Let ``rows`` arrive in ``parts`` appends to a log, by equal ranges of ``order``,
     and after each drain ``start(stream)``, a writer over the log. All but the first
-    drain are restarts from the checkpoint."""
+    drain are restarts from the checkpoint. ``late`` rows come with the last part."""
     spark, path = rows.sparkSession, f"{root}/log"
     low, high = rows.agg(F.min(order), F.max(order)).first()
     size = 1 if low is None else -(-(high - low + 1) // parts)
     share = F.coalesce(F.call_function("div", order - F.lit(low), F.lit(size)), F.lit(0))
     for part in range(parts):
         log.log_append(rows.filter(share == part), path)
+        if late is not None and part == parts - 1:
+            log.log_append(late, path)
         drain(start(log.log_scan(spark, path, rows.schema, **options)))
 
 
@@ -95,31 +97,45 @@ def _handled_in_parts(rows, order, root, parts, fn):
 # --- windows --------------------------------------------------------------------
 
 
-@query("""
-SELECT page, w AS window_start, w + INTERVAL 1 HOUR AS window_end, views
-FROM (SELECT event_type AS page, time_bucket(INTERVAL 1 HOUR, ts) AS w, count(*) AS views
-      FROM events GROUP BY 1, 2)
-WHERE w + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events)
-""")
-def tumbling_stream_append(spark, sf_dir):
-    counts = agg_tumbling_count(t.page_views(spark, sf_dir, True), size="1 hour",
-                                delay="0 seconds")
-    rows = _drained(counts, new_folder(spark, "tumbling-append"))
-    return rows.withColumns(naive("window_start", "window_end"))
-
-
-@query("""
+_WINDOWS_SQL = """
 SELECT event_type AS page, time_bucket(INTERVAL 1 HOUR, ts) AS window_start,
        time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, count(*) AS views
 FROM events GROUP BY 1, 2, 3
-""")
+"""
+
+
+def _hourly_views(spark, sf_dir, root, start):
+    """Page views in three parts by time. With the last come copies of all views of the
+    first week, long after their windows have closed, and a view far ahead, which
+    closes every other window."""
+    views = t.page_views(spark, sf_dir)
+    first, last = views.agg(F.min("at"), F.max("at")).first()
+    late = None if first is None else views.filter(
+        F.col("at") < F.lit(first) + F.expr("INTERVAL 7 DAYS")).unionByName(spark.createDataFrame(
+            [(None, last + timedelta(days=2))], views.schema))
+
+    def counted(stream):
+        return start(agg_tumbling_count(stream, size="1 hour", delay="1 hour"))
+
+    _arriving(views, F.unix_micros("at"), root, 3, counted, late)
+
+
+@query(_WINDOWS_SQL)
+def tumbling_stream_append(spark, sf_dir):
+    root = new_folder(spark, "tumbling-append")
+    _hourly_views(spark, sf_dir, root,
+                  lambda counts: file_sink(counts, f"{root}/out", f"{root}/checkpoint"))
+    return log.read_committed(spark, f"{root}/out").withColumns(naive("window_start", "window_end"))
+
+
+@query(_WINDOWS_SQL)
 def tumbling_stream_update(spark, sf_dir):
     root = new_folder(spark, "tumbling-update")
-    counts = agg_tumbling_count(t.page_views(spark, sf_dir, True), size="1 hour",
-                                delay="0 seconds")
     table = MaterializedTable(f"{root}/table", "page", "window_start", "window_end")
-    _handled(counts, table.put, root, mode="update")
-    return table.pull(spark).withColumns(naive("window_start", "window_end"))
+    _hourly_views(spark, sf_dir, root,
+                  lambda counts: handler(counts, table.put, f"{root}/checkpoint", mode="update"))
+    return table.pull(spark).filter(F.col("page").isNotNull()).withColumns(
+        naive("window_start", "window_end"))
 
 
 # --- folds ------------------------------------------------------------------------

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 
 from streamops.constants import EMIT_INTERVAL, MICRO_BATCH_INTERVAL, MICRO_BATCH_RECORDS
 
@@ -53,6 +54,48 @@ def late_rows(query: StreamingQuery) -> int:
                for batch in query.recentProgress for op in batch["stateOperators"])
 
 
+class LateRows(StreamingQueryListener):
+    """Counts, over all batches of the queries it hears of, the rows that came behind
+    the watermark: ``with LateRows(spark) as late: drain(...)``, then ``late.total``.
+
+    Spark counts them where it drops them, after rows of one group in one task have
+    been combined. ``watermarks`` has the last watermark of every query.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.total, self.watermarks = spark, 0, {}
+        self._open: set[str] = set()
+        self._ended = threading.Condition()
+
+    def onQueryStarted(self, event) -> None:
+        with self._ended:
+            self._open.add(str(event.id))
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        self.total += sum(op.numRowsDroppedByWatermark for op in progress.stateOperators)
+        if "watermark" in progress.eventTime:
+            self.watermarks[str(progress.id)] = progress.eventTime["watermark"]
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        with self._ended:
+            self._open.discard(str(event.id))
+            self._ended.notify_all()
+
+    def __enter__(self) -> LateRows:
+        self.spark.streams.addListener(self)
+        return self
+
+    def __exit__(self, *failure) -> None:
+        # Events come in order and a little later than the query ends.
+        with self._ended:
+            self._ended.wait_for(lambda: not self._open, timeout=30)
+        self.spark.streams.removeListener(self)
+
+
 def file_sink(df: DataFrame, path: str, checkpoint: str, mode: str = "append",
               partition_by: list[str] | None = None) -> DataStreamWriter:
     """Exactly-once file output: files and source position commit together."""

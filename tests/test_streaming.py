@@ -20,6 +20,7 @@ from streamops.streaming.run import (
     fan_out,
     file_sink,
     handler,
+    LateRows,
     late_rows,
     micro_batch,
     micro_batch_records,
@@ -87,6 +88,17 @@ def test_a_row_two_batches_late_is_dropped(spark, folder):
     assert got == [("/home", 0, 2), ("/home", 10, 2)] and late == 1
 
 
+def test_late_rows_are_counted_over_all_batches(spark, folder):
+    src, out, checkpoint = folder("src"), folder("out"), folder("cp")
+    with LateRows(spark) as late:
+        for batches in ([[0, 1], [12], [13], [2]], [[30], [3], [31, 4]]):
+            for seconds in batches:
+                append(spark, src, VIEWS, *[("/home", at(s)) for s in seconds])
+            views = stream(spark, src, VIEWS, **micro_batch(files=1))
+            drain(file_sink(agg_tumbling_count(views, delay="0 seconds"), out, checkpoint), 120)
+    assert late.total == 3 and list(late.watermarks.values()) == ["2024-01-01T12:00:31.000Z"]
+
+
 def test_the_delay_keeps_a_window_open(spark, folder):
     got, late = drain_windows(spark, folder, [[0, 1], [12], [13], [2], [60]], "30 seconds")
     assert late == 0 and got == [("/home", 0, 3), ("/home", 10, 2)]
