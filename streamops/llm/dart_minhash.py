@@ -309,9 +309,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                    .select(F.col("head").alias("a"), F.col("key").alias("b")).distinct(), "dart-stars")
     links = stored(verified(docs, stars), "dart-links")
     rows = _apart(members, components(links)).join(nodes.select("key", "signature"), "key")
-    more = stored(_candidates(rows, _nearest).join(stars, ["a", "b"], "left_anti"), "dart-more")
+    near = stored(_candidates(rows, _nearest), "dart-near")
+    more = near.join(stars, ["a", "b"], "left_anti")
     links = stored(links.union(verified(docs, more)), "dart-links")
-    rows = stored(_apart(members, components(links)), "dart-apart")
+    # Who had no partner in another component has none now: components only grow.
+    paired = near.select(F.col("a").alias("key")).union(near.select("b")).distinct()
+    rows = stored(_apart(members.join(paired, "key", "left_semi"), components(links)), "dart-apart")
     fine = _of_keys(docs, rows.select("key"), "signature", _finer)
     links = stored(links.union(_candidates(rows.join(fine, "key"), _forest)), "dart-links")
     final = components(links)
