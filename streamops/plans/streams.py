@@ -5,6 +5,7 @@ Each run works in a fresh folder below the session's shared checkpoint folder.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import timedelta
 
 from pyspark.sql import functions as F
@@ -31,11 +32,12 @@ from streamops.plans.batch import (
     webhooks,
 )
 from streamops.plans.registry import query
+from streamops.schemas import OUTBOX
 from streamops.session import new_folder
 from streamops.sources import log
 from streamops.streaming import sql as stream_sql
 from streamops.streaming.ledger import SeenCache
-from streamops.streaming.relay import Relay
+from streamops.streaming.relay import MarkedRelay, Relay, cluster_outbox
 from streamops.streaming.resilient import ResilientConsumer
 from streamops.streaming.run import drain, fan_out as run_fan_out, file_sink, handler, micro_batch
 from streamops.streaming.sinks import (
@@ -533,6 +535,102 @@ def relay_published(spark, sf_dir):
     return relay.published(spark, relay.run(spark)).drop("pass_no")
 
 
+_CUSTOMER_EVENT = T.StructType([
+    T.StructField("operation", T.StringType()),
+    T.StructField("customer_id", T.LongType()),
+    T.StructField("email", T.StringType()),
+    T.StructField("version", T.LongType()),
+])
+
+
+def _customer_outbox(spark, sf_dir, path):
+    """Customer changes to relay: views are of a type nobody may read, errors are cut
+    short, a purchase with a small ``k`` deletes its customer. Stored by sequence;
+    returns how many rows a pass takes so that some ten passes relay all of them."""
+    deleted = (F.col("event_type") == "purchase") & (t.k_of() < 30)
+    rows = t.table(spark, sf_dir, "events").withColumn("operation", F.when(deleted, "Delete").when(
+        F.col("event_type") == "signup", "Create").otherwise("Update"))
+    body = F.to_json(F.struct(
+        F.when(F.col("event_type") == "view", "CustomerViewed").otherwise("CustomerCdcEvent").alias("$type"),
+        "operation", F.col("user_id").alias("customer_id"), F.col("props").alias("email"),
+        F.col("event_id").alias("version")))
+    content = F.when(F.col("event_type") == "error", F.substring(body, F.lit(1), F.length(body) - 1)).otherwise(body)
+    count = rows.count()
+    table = t.outbox(spark, sf_dir).drop("content", "topic", "retry_count").join(
+        rows.select(F.col("event_id").alias("sequence"), content.alias("content"),
+                    F.when(F.col("event_type") == "purchase", "vip-customers").otherwise("customers")
+                    .alias("topic"), F.lit(0).alias("retry_count")), "sequence")
+    limit = max(100, -(-count // 8))
+    cluster_outbox(table.select(*OUTBOX.fieldNames()), path, limit)
+    return limit
+
+
+def _refused(table, retries):
+    """Publishing fails for the row in the middle until it has been tried often enough."""
+    middle = table.filter(F.col("topic") == "customers").agg(F.max("sequence")).first()[0]
+    refused = (F.col("sequence") == F.lit((middle or 0) // 2)) & (F.col("retry_count") < retries)
+    return F.when(refused, "broker unavailable")
+
+
+def _customer_relays(spark, sf_dir, retries, *policies):
+    """A marked relay per policy over one outbox, each run until nothing is pending.
+    A policy that keeps no count of retries meets no failure."""
+    root = new_folder(spark, "marked-relay")
+    limit = _customer_outbox(spark, sf_dir, f"{root}/outbox")
+    kind = F.get_json_object("content", "$['$type']")
+    decoded = (kind == "CustomerCdcEvent") & F.from_json("content", _CUSTOMER_EVENT)["operation"].isNotNull()
+    table = spark.read.schema(OUTBOX).parquet(f"{root}/outbox")
+    for policy in policies:
+        error = _refused(table, retries) if policy.keeps_state else F.lit(None).cast("string")
+        relay = MarkedRelay(f"{root}/outbox", f"{root}/{policy.name}", replace(policy, limit=limit), decoded, error, limit)
+        relay.run(spark)
+        yield relay
+
+
+_STOPPED = """event_id = (SELECT max(event_id) // 2 FROM events WHERE event_type <> 'purchase')
+       AND event_type NOT IN ('view', 'error')"""
+
+
+@query(f"""
+SELECT p AS policy, event_id AS sequence,
+       CASE WHEN event_type IN ('view', 'error') THEN 'poison' ELSE 'published' END AS action,
+       CASE WHEN p = 'poll' THEN 'Pending' WHEN event_type IN ('view', 'error') THEN 'Failed'
+            ELSE 'Completed' END AS state,
+       CAST(CASE WHEN p <> 'poll' AND {_STOPPED} THEN 2 ELSE 0 END AS INTEGER) AS retry_count,
+       CASE WHEN event_type IN ('view', 'error') THEN 'Failed to deserialize' END AS error
+FROM events, (VALUES ('poll'), ('batch'), ('state_machine')) v(p)
+""")
+def relay_policies(spark, sf_dir):
+    """The whole outbox through all three policies, oldest rows first; one record is
+    refused twice by the broker."""
+    relays = _customer_relays(spark, sf_dir, 2, outbox.POLL, outbox.BATCH, outbox.STATE_MACHINE)
+    done = [relay.settled(spark).withColumn("policy", F.lit(relay.policy.name)) for relay in relays]
+    return log.union_topics(*done).select("policy", "sequence", "action", "state", "retry_count", "error")
+
+
+@query(f"""
+SELECT user_id AS customer_id, arg_max(props, event_id) FILTER (NOT gone) AS email,
+       arg_max(gone, event_id) AS is_deleted
+FROM (SELECT *, event_type = 'purchase' AND CAST(json_extract(props, '$.k') AS INTEGER) < 30 AS gone
+      FROM events WHERE event_type NOT IN ('view', 'error') AND NOT ({_STOPPED}))
+GROUP BY user_id HAVING count(*) FILTER (NOT gone) > 0
+""")
+def outbox_to_read_model(spark, sf_dir):
+    """Outbox, relay with a retry budget, topics, and the read model that follows them:
+    only records of an allowed type arrive, and not the one the broker refuses for
+    good."""
+    relay = next(_customer_relays(spark, sf_dir, 3, outbox.STATE_MACHINE))
+    root = new_folder(spark, "search-index")
+    model = ReadModel(f"{root}/model")
+
+    def changes(topic):
+        return relay.topic_log(spark, topic).select(
+            "offset", F.from_json("value", _CUSTOMER_EVENT).alias("v")).select("offset", "v.*")
+
+    both = log.union_topics(changes("customers"), changes("vip-customers"))
+    return model.read(spark, _handled(both, model.upsert, root))
+
+
 # --- SQL surface -----------------------------------------------------------------------
 
 _RIDE_JSON = T.StructType([

@@ -1,4 +1,9 @@
-"""Outbox relays as repeated passes over a shared table."""
+"""Outbox relays as repeated passes over a shared table.
+
+``Relay`` lays all earlier changes over the table in every pass; it serves relays
+that take whatever is pending, entity by entity. ``MarkedRelay`` serves those that
+take the oldest rows: it keeps a low-water mark below which everything is settled.
+"""
 
 from __future__ import annotations
 
@@ -8,12 +13,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from streamops.operators.outbox import PUBLISHED, RelayPolicy, UNTOUCHED, apply_pass, relay_pass
+from streamops.operators.outbox import (
+    FAILED,
+    PUBLISHED,
+    UNTOUCHED,
+    RelayPolicy,
+    apply_pass,
+    relay_pass,
+)
 from streamops.schemas import OUTBOX
+from streamops.streaming.manifest import Manifest, Part
 from streamops.streaming.run import paced
-from streamops.streaming.sinks import read_before, write_batch
+from streamops.streaming.sinks import batch_path, empty, read_before, write_batch
 
 _SETTLED = T.StructType(OUTBOX.fields + [T.StructField("action", T.StringType())])
+_NUMBERED = T.StructType(_SETTLED.fields + [T.StructField("batch_id", T.IntegerType())])
+_PLACED = T.StructType(OUTBOX.fields + [T.StructField("block", T.LongType())])
+_TOPIC = T.StructType([
+    T.StructField("key", T.StringType()),
+    T.StructField("value", T.StringType()),
+    T.StructField("sequence", T.LongType()),
+    T.StructField("pass_no", T.IntegerType()),
+    T.StructField("topic", T.StringType()),
+])
 _CHANGED = ("processed_on", "state", "retry_count", "error", "action")
 
 
@@ -83,3 +105,131 @@ class Relay:
             lambda batch, number: self.run_pass(batch.sparkSession, number)
         )
         return paced(writer, self.policy.interval)
+
+
+BLOCK = "block"
+
+
+def cluster_outbox(outbox: DataFrame, path: str, rows_per_block: int, mode: str = "append") -> None:
+    """Store an outbox in folders of ``rows_per_block`` consecutive sequence numbers, so
+    that a relay opens the folders of its own rows only."""
+    block = F.floor(F.col("sequence") / rows_per_block).cast("long")
+    outbox.withColumn(BLOCK, block).hint("rebalance", BLOCK).write.mode(mode).partitionBy(BLOCK).parquet(path)
+
+
+class MarkedRelay:
+    """A relay of the oldest pending rows that reads these rows and no others.
+
+    A pass settles a prefix: all rows below the first one it leaves pending are
+    done for good. That sequence number is the low-water mark, kept in the pass's
+    manifest. The next pass looks from there on, in a range that doubles until it
+    holds enough rows; the table's files outside are skipped by their folders or
+    by the least and greatest numbers in their footers. A row that failed and is
+    to be tried again is what the last pass has written about it, so no changes
+    of older passes are read either.
+
+    Published records stand in ``topics``, by topic, and a log reader may follow
+    them. A pass cut short is repeated and may publish again: at least once.
+    """
+
+    def __init__(self, path: str, root: str, policy: RelayPolicy, decoded: Column,
+                 publish_error: Column, rows_per_block: int | None = None):
+        self.path, self.root, self.policy = path, root, policy
+        self.decoded, self.publish_error = decoded, publish_error
+        self.rows_per_block = rows_per_block
+        self.passes, self.topics = f"{root}/passes", f"{root}/topics"
+        self.manifest = Manifest(f"{root}/manifest")
+
+    def _table(self, spark: SparkSession, low: int, high: int | None = None) -> DataFrame:
+        """The outbox from ``low`` on, and below ``high``."""
+        rows = spark.read.schema(_PLACED if self.rows_per_block else OUTBOX).parquet(self.path)
+        bounds = [(F.col("sequence") >= low, low)]
+        if high is not None:
+            bounds.append((F.col("sequence") < high, high - 1))
+        for k, (bound, number) in enumerate(bounds):
+            rows = rows.filter(bound)
+            if self.rows_per_block:
+                block = number // self.rows_per_block
+                rows = rows.filter(F.col(BLOCK) <= block if k else F.col(BLOCK) >= block)
+        return rows.select(*OUTBOX.fieldNames())
+
+    def _mark(self, spark: SparkSession, number: int) -> tuple[int, str | None]:
+        """The low-water mark before a pass, and the folder of the pass before it."""
+        parts = self.manifest.newest(spark, number)
+        if parts:
+            return parts[0].hour, parts[0].path
+        first = spark.read.schema(OUTBOX).parquet(self.path).agg(F.min("sequence")).first()[0]
+        return 0 if first is None else first, None
+
+    def _range(self, spark: SparkSession, low: int) -> DataFrame:
+        """Rows from the mark on, enough for a pass if there are as many."""
+        pending = self.policy.pending()
+        width = 2 * self.policy.limit
+        while True:
+            rows = self._table(spark, low, low + width).filter(pending)
+            if rows.limit(self.policy.limit).count() >= self.policy.limit \
+                    or self._table(spark, low + width).filter(pending).isEmpty():
+                return rows
+            width *= 2
+
+    def run_pass(self, spark: SparkSession, number: int) -> int:
+        """Settle the next rows; returns how many it has stamped."""
+        low, last = self._mark(spark, number)
+        pending = self._range(spark, low)
+        if last is not None:
+            again = spark.read.schema(_SETTLED).parquet(last).filter(F.col("action") == FAILED)
+            pending = apply_pass(pending, again).filter(self.policy.pending())
+        rows = relay_pass(pending, self.policy, F.current_timestamp(), self.publish_error, self.decoded)
+        folder = batch_path(self.passes, number)
+        rows.filter(F.col("action") != UNTOUCHED).select(*_SETTLED.fieldNames()).write.mode(
+            "overwrite").parquet(folder)
+        settled = spark.read.schema(_SETTLED).parquet(folder)
+        stamped = F.col("processed_on").isNotNull()
+        sent = settled.filter(F.col("action") == PUBLISHED).select(
+            F.col("entity_id").alias("key"), F.col("content").alias("value"), "sequence", "topic")
+        sent.write.mode("overwrite").partitionBy("topic").parquet(f"{self.topics}/pass_no={number}")
+        done, top, stuck = settled.agg(
+            F.count_if(stamped), F.max("sequence"), F.min(F.when(~stamped, F.col("sequence")))).first()
+        mark = low if top is None else top + 1 if stuck is None else stuck
+        self.manifest.commit(spark, number, [Part("pass", folder, hour=mark, rows=done)])
+        return done
+
+    def run(self, spark: SparkSession, first: int = 0) -> int:
+        """Passes until one settles nothing; returns the number of the next pass. A
+        pass that only counts a failure has settled something where the policy
+        limits retries; where it does not, the relay waits at that row."""
+        number = first
+        while True:
+            low = self._mark(spark, number)[0]
+            done = self.run_pass(spark, number)
+            number += 1
+            waiting = self.policy.max_retries is not None and self._failed(spark, number)
+            if not done and not waiting and self._mark(spark, number)[0] == low:
+                return number
+
+    def _failed(self, spark: SparkSession, number: int) -> bool:
+        last = self._mark(spark, number)[1]
+        rows = spark.read.schema(_SETTLED).parquet(last)
+        return not rows.filter((F.col("action") == FAILED) & F.col("processed_on").isNull()).isEmpty()
+
+    def settled(self, spark: SparkSession) -> DataFrame:
+        """The last thing each committed pass says about a row, with its pass number."""
+        paths = [p.path for p in self.manifest.parts(spark)]
+        if not paths:
+            return empty(spark, _NUMBERED)
+        rows = spark.read.schema(_NUMBERED).option("basePath", self.passes).parquet(*paths)
+        newest = F.max_by(F.struct("sequence", "topic", "entity_id", "content", *_CHANGED), F.col("batch_id"))
+        return rows.groupBy("id").agg(newest.alias("_row"), F.max("batch_id").alias("pass_no")).select(
+            "id", "_row.*", "pass_no")
+
+    def published(self, spark: SparkSession) -> DataFrame:
+        """Records sent so far: topic, key, value, sequence and the pass that sent them."""
+        return self.settled(spark).filter(F.col("action") == PUBLISHED).select(
+            "topic", F.col("entity_id").alias("key"), F.col("content").alias("value"), "sequence", "pass_no")
+
+    def topic_log(self, spark: SparkSession, topic: str, streaming: bool = True) -> DataFrame:
+        """One topic as a log to follow: key, value, and the sequence as its offset."""
+        reader = spark.readStream if streaming else spark.read
+        rows = reader.schema(_TOPIC).parquet(self.topics)
+        return rows.filter(F.col("topic") == topic).select(
+            "key", "value", F.col("sequence").alias("offset"))

@@ -1,5 +1,7 @@
 """Relay passes: the prefix rule, poison rows, retry budgets, and repeated passes."""
 
+import random
+from dataclasses import replace
 from datetime import datetime, timezone
 
 import pytest
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 
 from streamops.operators import outbox as ob
 from streamops.operators.folds import agg_cdc_fold
-from streamops.streaming.relay import Relay
+from streamops.streaming.relay import MarkedRelay, Relay, cluster_outbox
 
 NOW = datetime(2024, 1, 1, tzinfo=timezone.utc)
 COLUMNS = ("id string, sequence long, topic string, entity_type string, entity_id string, "
@@ -157,3 +159,64 @@ def test_relay_runs_at_its_pace(spark, folder):
         query.stop()
     assert [p.interval for p in (ob.POLL, ob.BATCH, ob.STATE_MACHINE)] == [
         "500 milliseconds", "5 seconds", "2 seconds"]
+
+
+def marked(spark, folder, policy, *specs, block=4, down=lambda: F.when(F.col("content") == "down", "no broker")):
+    path = folder("outbox")
+    cluster_outbox(table(spark, *specs), path, block)
+    return MarkedRelay(path, folder("relay"), policy, F.col("content") != "poison", down(), block)
+
+
+def test_a_marked_relay_equals_one_that_lays_over_all_changes(spark, folder, rows):
+    rng = random.Random(4)
+    specs = [(n, rng.choice(["ok"] * 5 + ["poison", "down"]), 0) for n in rng.sample(range(1, 200), 60)]
+    policy = replace(ob.STATE_MACHINE, limit=7)
+    relay = marked(spark, folder, policy, *specs)
+    plain = Relay(lambda s: table(spark, *specs), folder("plain"), policy, F.col("content") != "poison",
+                  F.when(F.col("content") == "down", "no broker"))
+    columns = ("sequence", "action", "state", "retry_count", "error")
+    marks = []
+    for number in range(6):
+        for _ in range(2):  # a pass that is repeated
+            relay.run_pass(spark, number)
+        plain.run_pass(spark, number)
+        marks.append(relay._mark(spark, number + 1)[0])
+    assert marks == sorted(marks) and marks[0] < marks[-1]
+    changed = plain._changes(spark, 6).join(plain.outbox(spark).select("id", "sequence"), "id")
+    assert rows(relay.settled(spark), *columns) == rows(changed, *columns)
+    relay.run(spark, 6)
+    done = relay.settled(spark)
+    assert done.count() == 60 and done.filter("processed_on IS NULL").count() == 0
+    sent = sorted(n for n, kind, _ in specs if kind == "ok")
+    assert [r.sequence for r in relay.published(spark).orderBy("sequence").collect()] == sent
+    topic = relay.published(spark).first().topic
+    assert [r.offset for r in relay.topic_log(spark, topic, False).orderBy("offset").collect()] == sent
+
+
+def test_a_pass_opens_the_folders_of_its_rows_only(spark, folder):
+    relay = marked(spark, folder, replace(ob.POLL, limit=4), *[(n, "ok", 0) for n in range(400)])
+    for number in range(3):
+        assert relay.run_pass(spark, number) == 4
+    low = relay._mark(spark, 3)[0]
+    read = relay._range(spark, low)
+    opened = {r[0].split("block=")[1].split("/")[0] for r in read.select(F.input_file_name()).distinct().collect()}
+    assert low == 12 and opened == {"3", "4"}
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "block" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "GreaterThanOrEqual(sequence,12)" in plan and "LessThan(sequence,20)" in plan
+
+
+def test_a_relay_without_a_retry_limit_waits_at_a_row_that_fails(spark, folder):
+    relay = marked(spark, folder, replace(ob.BATCH, limit=3), (1, "ok", 0), (2, "ok", 0), (30, "poison", 0),
+                   (31, "down", 0), (90, "ok", 0))
+    assert relay.run(spark) == 2
+    settled = {r.sequence: (r.action, r.retry_count) for r in relay.settled(spark).collect()}
+    assert settled == {1: ("published", 0), 2: ("published", 0), 30: ("poison", 0), 31: ("failed", 1)}
+    relay.publish_error = F.lit(None).cast("string")
+    relay.run(spark, 2)
+    assert [r.sequence for r in relay.published(spark).orderBy("sequence").collect()] == [1, 2, 31, 90]
+
+
+def test_a_marked_relay_of_an_empty_outbox(spark, folder):
+    relay = marked(spark, folder, ob.POLL)
+    assert relay.run(spark) == 1 and relay.settled(spark).count() == 0 and relay.published(spark).count() == 0
