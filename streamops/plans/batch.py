@@ -14,6 +14,7 @@ from streamops.functions.codec import (
     header_get,
     make_headers,
 )
+from streamops.functions import text
 from streamops.functions.text import log_line, window_label
 from streamops.operators import correlate, enrich, folds, outbox, outcome, saga
 from streamops.operators.windows import agg_tumbling_count
@@ -385,6 +386,41 @@ def unknown_replies(spark, sf_dir):
     return dropped.select("correlation_id", "reply_offset")
 
 
+# --- texts and numbers -------------------------------------------------------------
+
+
+@query("""
+SELECT account_id, 'account ' || account_id || ': ' || CAST(balance AS VARCHAR) AS line
+FROM (SELECT user_id AS account_id, CAST(sum(CASE event_type WHEN 'purchase' THEN v WHEN 'error' THEN -v
+                                             ELSE 0 END) AS DECIMAL(18,2)) AS balance
+      FROM (SELECT *, CAST(value AS DECIMAL(18,2)) AS v FROM events) GROUP BY user_id)
+ORDER BY account_id
+""")
+def balance_lines(spark, sf_dir):
+    """Balances as text in the order of their accounts."""
+    lines = F.concat(F.lit("account "), F.col("account_id").cast("string"), F.lit(": "),
+                     text.money_text(F.col("balance")))
+    return folds.agg_balance(t.account_events(spark, sf_dir)).select(
+        "account_id", lines.alias("line")).orderBy("account_id")
+
+
+@query("""
+SELECT event_id, lpad(CAST(event_id AS VARCHAR), greatest(4, length(CAST(event_id AS VARCHAR)))::INTEGER, '0') AS number,
+       rpad(event_type, greatest(6, length(event_type))::INTEGER, ' ') AS kind,
+       CAST(CASE WHEN c % 10 > 5 OR (c % 10 = 5 AND c // 10 % 2 = 1) THEN c // 10 + 1 ELSE c // 10 END
+            AS DOUBLE) / 10 AS rounded,
+       epoch_us(ts) // 5000000 * 5000 AS window_ms
+FROM (SELECT *, CAST(CAST(value AS DECIMAL(18,2)) * 100 AS BIGINT) AS c FROM events)
+""")
+def number_texts(spark, sf_dir):
+    """Padded texts, a value rounded half to even, and window starts in epoch milliseconds."""
+    return t.events(spark, sf_dir).select(
+        "event_id", text.zero_padded(F.col("event_id"), 4).alias("number"),
+        text.left_aligned(F.col("event_type"), 6).alias("kind"),
+        text.round_half_even(t.money("value"), 1).cast("double").alias("rounded"),
+        text.window_start_ms(F.col("ts"), 5000).alias("window_ms"))
+
+
 # --- sagas ------------------------------------------------------------------------
 
 SAGA_SQL = """

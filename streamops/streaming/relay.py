@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -139,6 +139,7 @@ class MarkedRelay:
         self.rows_per_block = rows_per_block
         self.passes, self.topics = f"{root}/passes", f"{root}/topics"
         self.manifest = Manifest(f"{root}/manifest")
+        self.report: dict[str, int | None] = {}
 
     def _table(self, spark: SparkSession, low: int, high: int | None = None) -> DataFrame:
         """The outbox from ``low`` on, and below ``high``."""
@@ -173,7 +174,8 @@ class MarkedRelay:
             width *= 2
 
     def run_pass(self, spark: SparkSession, number: int) -> int:
-        """Settle the next rows; returns how many it has stamped."""
+        """Settle the next rows; returns how many it has stamped. ``report`` then has the
+        rows ``published`` and the ``total`` taken, among others."""
         low, last = self._mark(spark, number)
         pending = self._range(spark, low)
         if last is not None:
@@ -181,18 +183,24 @@ class MarkedRelay:
             pending = apply_pass(pending, again).filter(self.policy.pending())
         rows = relay_pass(pending, self.policy, F.current_timestamp(), self.publish_error, self.decoded)
         folder = batch_path(self.passes, number)
-        rows.filter(F.col("action") != UNTOUCHED).select(*_SETTLED.fieldNames()).write.mode(
-            "overwrite").parquet(folder)
+        seen = Observation()
+        touched = F.col("action") != UNTOUCHED
+        stamped, sequence = F.col("processed_on").isNotNull(), F.col("sequence")
+        rows.observe(
+            seen, F.count_if(F.col("action") == PUBLISHED).alias("published"), F.count("*").alias("total"),
+            F.count_if(touched & stamped).alias("stamped"), F.max(F.when(touched, sequence)).alias("top"),
+            F.min(F.when(touched & ~stamped, sequence)).alias("stuck"),
+        ).filter(touched).select(*_SETTLED.fieldNames()).write.mode("overwrite").parquet(folder)
+        # What the write has observed: nothing is read again to report or to move the mark.
+        self.report = seen.get
         settled = spark.read.schema(_SETTLED).parquet(folder)
-        stamped = F.col("processed_on").isNotNull()
         sent = settled.filter(F.col("action") == PUBLISHED).select(
             F.col("entity_id").alias("key"), F.col("content").alias("value"), "sequence", "topic")
         sent.write.mode("overwrite").partitionBy("topic").parquet(f"{self.topics}/pass_no={number}")
-        done, top, stuck = settled.agg(
-            F.count_if(stamped), F.max("sequence"), F.min(F.when(~stamped, F.col("sequence")))).first()
+        top, stuck = self.report["top"], self.report["stuck"]
         mark = low if top is None else top + 1 if stuck is None else stuck
-        self.manifest.commit(spark, number, [Part("pass", folder, hour=mark, rows=done)])
-        return done
+        self.manifest.commit(spark, number, [Part("pass", folder, hour=mark, rows=self.report["stamped"])])
+        return self.report["stamped"]
 
     def run(self, spark: SparkSession, first: int = 0) -> int:
         """Passes until one settles nothing; returns the number of the next pass. A

@@ -215,6 +215,17 @@ def test_a_relay_without_a_retry_limit_waits_at_a_row_that_fails(spark, folder):
     relay.publish_error = F.lit(None).cast("string")
     relay.run(spark, 2)
     assert [r.sequence for r in relay.published(spark).orderBy("sequence").collect()] == [1, 2, 31, 90]
+    assert relay.report["total"] == 0 and relay.report["top"] is None
+
+
+def test_a_pass_reports_what_its_own_write_has_seen(spark, folder):
+    relay = marked(spark, folder, replace(ob.BATCH, limit=5), (1, "ok", 0), (2, "poison", 0), (3, "ok", 0),
+                   (4, "down", 0), (5, "ok", 0), (6, "ok", 0))
+    assert relay.run_pass(spark, 0) == 3
+    assert relay.report == {"published": 2, "total": 5, "stamped": 3, "top": 4, "stuck": 4}
+    rows = run(table(spark, (1, "ok", 0), (2, "poison", 0), (3, "ok", 0), (4, "down", 0), (5, "ok", 0)),
+               replace(ob.BATCH, limit=5))
+    assert tuple(ob.agg_relay_report(rows).first()) == (2, 5)
 
 
 def test_a_marked_relay_of_an_empty_outbox(spark, folder):
