@@ -59,19 +59,26 @@ def prefix_until_failure(df: DataFrame, order: str, failed: Column,
                          partition_by: str | None = None) -> DataFrame:
     """Add ``first_failure``: the order value at which processing stops, or null.
 
-    Without ``partition_by`` the rows must be one bounded batch, as returned by
-    ``outbox_scan``. With it any number of rows is allowed: every entity stops on
-    its own, and its first failure comes from an aggregate that is joined back.
+    Any number of rows is allowed: the first failure is an aggregate, of all rows or
+    of every entity by itself, that is handed back to the rows. ``failed`` is
+    computed twice, so it must give the same both times.
     """
-    failing = F.when(failed, F.col(order))
     if partition_by is None:
-        return df.withColumn("first_failure", F.min(failing).over(Window.partitionBy()))
+        first = df.filter(failed).agg(F.min(order)).scalar()
+        return df.withColumn("first_failure", first)
     firsts = (
         df.filter(failed).groupBy(partition_by).agg(F.min(order).alias("first_failure"))
     )
     return df.join(firsts, partition_by, "left")
 
 
+def _first_failure_of_batch(batch: DataFrame, failed: Column) -> DataFrame:
+    """The same for the rows of one pass, ``policy.limit`` at most, which publishes each
+    of them once."""
+    failing = F.when(failed, F.col("sequence"))
+    return batch.withColumn("first_failure", F.min(failing).over(Window.partitionBy()))
+
+
 def retry_budget(retry_count: Column, max_retries: int = MAX_PUBLISH_RETRIES) -> Column:
     """State after one more failed publish."""
     return F.when(retry_count + 1 >= max_retries, OUTBOX_FAILED).otherwise(OUTBOX_PENDING)
@@ -99,7 +106,8 @@ def relay_pass(
         "_decoded": F.coalesce(decoded, F.lit(False)), "_publish_error": publish_error,
     })
     failing = F.col("_publish_error").isNotNull() & F.col("_decoded")
-    batch = prefix_until_failure(batch, "sequence", failing, partition_by)
+    batch = (_first_failure_of_batch(batch, failing) if partition_by is None
+             else prefix_until_failure(batch, "sequence", failing, partition_by))
     stop, seq = F.col("first_failure"), F.col("sequence")
     action = (
         F.when(stop.isNotNull() & (seq > stop), UNTOUCHED)

@@ -27,6 +27,7 @@ from streamops.plans.batch import (
     SAGA_SQL,
     as_double,
     correlation_columns,
+    crc32_sql,
     decoded,
     naive,
     webhooks,
@@ -170,30 +171,32 @@ def cdc_read_model_stream(spark, sf_dir):
 
 # --- logs -------------------------------------------------------------------------
 
-_EVENT_TOTALS_SQL = """
-SELECT event_type, count(*) AS records, CAST(sum(event_id) AS BIGINT) AS id_sum
-FROM events GROUP BY event_type
+_EVENTS_SQL = "SELECT event_id, event_type FROM events"
+_LOG_SQL = f"""
+SELECT event_type AS topic, event_id AS "offset", CAST(user_id AS VARCHAR) AS key,
+       CAST({crc32_sql("CAST(user_id AS VARCHAR)")} % 4 AS INTEGER) AS partition,
+       CAST(json_extract(value, '$.value') AS DOUBLE) AS value
+FROM (SELECT event_type, event_id, user_id, json_object('value', value) AS value FROM events)
 """
 
 
-def _totals(rows, kind="event_type", number="event_id"):
-    return rows.groupBy(F.col(kind).alias("event_type")).agg(
-        F.count("*").alias("records"), F.sum(number).alias("id_sum")
-    )
+def _records(rows):
+    value = F.get_json_object("value", "$.value").cast("double")
+    return rows.select("topic", "offset", "key", "partition", value.alias("value"))
 
 
-@query(_EVENT_TOTALS_SQL)
+@query(_EVENTS_SQL)
 def log_scan(spark, sf_dir):
     rows = t.source(spark, sf_dir, "events", True).select("event_id", "event_type")
-    return _totals(_drained(rows, new_folder(spark, "log-scan")))
+    return _drained(rows, new_folder(spark, "log-scan"))
 
 
-@query(_EVENT_TOTALS_SQL)
+@query(_EVENTS_SQL)
 def bounded_drain(spark, sf_dir):
     rows = t.source(spark, sf_dir, "events", True, **micro_batch()).select(
         "event_id", "event_type"
     )
-    return _totals(_drained(rows, new_folder(spark, "bounded-drain")))
+    return _drained(rows, new_folder(spark, "bounded-drain"))
 
 
 def _event_log(spark, sf_dir):
@@ -203,21 +206,21 @@ def _event_log(spark, sf_dir):
                       partitions=4)
 
 
-@query(_EVENT_TOTALS_SQL)
+@query(_LOG_SQL)
 def log_replay(spark, sf_dir):
     path = new_folder(spark, "log-replay")
     log.log_append(_event_log(spark, sf_dir), path)
-    return _totals(log.log_replay(spark, path), "topic", "offset")
+    return _records(log.log_replay(spark, path))
 
 
-@query(_EVENT_TOTALS_SQL)
+@query(_LOG_SQL)
 def log_append(spark, sf_dir):
     path = new_folder(spark, "log-append")
     records = _event_log(spark, sf_dir)
     early = F.col("topic").isin("click", "view")
     log.log_append(records.filter(early), path)
     log.log_append(records.filter(~early), path)
-    return _totals(log.log_replay(spark, path), "topic", "offset")
+    return _records(log.log_replay(spark, path))
 
 
 @query("""
@@ -236,11 +239,11 @@ def log_scan_multi(spark, sf_dir):
     return rows.groupBy("topic").agg(F.count("*").alias("records"), F.sum("key").alias("key_sum"))
 
 
-@query(_EVENT_TOTALS_SQL)
+@query(_LOG_SQL)
 def route_by_column(spark, sf_dir):
     path = new_folder(spark, "routed")
     log.route_by_column(_event_log(spark, sf_dir), path)
-    return _totals(spark.read.parquet(path), "topic", "offset")
+    return _records(spark.read.parquet(path))
 
 
 @query("""
@@ -259,17 +262,17 @@ def fan_out(spark, sf_dir):
     return log.union_topics(*got)
 
 
-@query("""
-SELECT o_orderkey, CAST(1 AS BIGINT) AS handled, CAST(1 AS BIGINT) AS workers FROM orders
+@query(f"""
+SELECT o_orderkey, CAST({crc32_sql("CAST(o_orderkey AS VARCHAR)")} % 3 AS INTEGER) AS worker FROM orders
 """)
 def split_work(spark, sf_dir):
+    """Three workers, each a query of its own over its share of the log: what they have
+    done, job by job."""
+    root = new_folder(spark, "split-work")
     jobs = t.source(spark, sf_dir, "orders", True, **micro_batch()).select(
-        "o_orderkey", P.partition_by_key(F.col("o_orderkey"), 3).alias("worker")
-    )
-    done = _drained(jobs, new_folder(spark, "split-work"), partition_by=["worker"])
-    return done.groupBy("o_orderkey").agg(
-        F.count("*").alias("handled"), F.count_distinct("worker").alias("workers")
-    )
+        "o_orderkey", P.partition_by_key(F.col("o_orderkey"), 3).alias("worker"))
+    done = [_drained(jobs.filter(F.col("worker") == k), f"{root}/{k}") for k in range(3)]
+    return log.union_topics(*done)
 
 
 # --- transactional enrichment --------------------------------------------------------
@@ -587,6 +590,31 @@ def _customer_relays(spark, sf_dir, retries, *policies):
         yield relay
 
 
+@query("""
+SELECT CASE event_type WHEN 'purchase' THEN 'vip-customers' ELSE 'customers' END AS topic,
+       CAST(user_id AS VARCHAR) AS key, event_id AS "offset"
+FROM events WHERE event_type NOT IN ('view', 'error')
+""")
+def relay_paced(spark, sf_dir):
+    """The relay as a query of its own that makes a pass whenever its interval is over,
+    until nothing is pending; a reader follows its topics."""
+    root = new_folder(spark, "paced-relay")
+    limit = _customer_outbox(spark, sf_dir, f"{root}/outbox")
+    kind = F.get_json_object("content", "$['$type']")
+    decoded = (kind == "CustomerCdcEvent") & F.from_json("content", _CUSTOMER_EVENT)["operation"].isNotNull()
+    relay = MarkedRelay(f"{root}/outbox", f"{root}/relay", replace(outbox.POLL, limit=limit), decoded,
+                        F.lit(None).cast("string"), limit)
+    running = relay.start(spark, f"{root}/checkpoint").start()
+    try:
+        while not relay.is_done(spark):
+            running.awaitTermination(1)
+    finally:
+        relay.stop(running)
+    topics = [relay.topic_log(spark, name, streaming=False).withColumn("topic", F.lit(name))
+              for name in ("customers", "vip-customers")]
+    return log.union_topics(*topics).select("topic", "key", "offset").distinct()
+
+
 _STOPPED = """event_id = (SELECT max(event_id) // 2 FROM events WHERE event_type <> 'purchase')
        AND event_type NOT IN ('view', 'error')"""
 

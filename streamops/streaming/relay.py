@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from streamops.operators.outbox import (
     FAILED,
@@ -100,11 +101,16 @@ class Relay:
 
     def start(self, spark: SparkSession, checkpoint: str):
         """A pass every ``policy.interval``, as a writer to be started."""
-        ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-        writer = ticks.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-            lambda batch, number: self.run_pass(batch.sparkSession, number)
-        )
-        return paced(writer, self.policy.interval)
+        return _paced_passes(spark, self.policy, self.run_pass, checkpoint)
+
+
+def _paced_passes(spark: SparkSession, policy: RelayPolicy, run_pass: Callable[[SparkSession, int], object],
+                  checkpoint: str):
+    """Batches of a clock that carry nothing but the number of a pass."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    writer = ticks.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
+        lambda batch, number: run_pass(batch.sparkSession, number) and None)
+    return paced(writer, policy.interval)
 
 
 BLOCK = "block"
@@ -140,6 +146,7 @@ class MarkedRelay:
         self.passes, self.topics = f"{root}/passes", f"{root}/topics"
         self.manifest = Manifest(f"{root}/manifest")
         self.report: dict[str, int | None] = {}
+        self.paused = False
 
     def _table(self, spark: SparkSession, low: int, high: int | None = None) -> DataFrame:
         """The outbox from ``low`` on, and below ``high``."""
@@ -215,6 +222,23 @@ class MarkedRelay:
             if not done and not waiting and self._mark(spark, number)[0] == low:
                 return number
 
+    def start(self, spark: SparkSession, checkpoint: str):
+        """A pass every ``policy.interval``, as a writer to be started; see ``stop``."""
+        return _paced_passes(spark, self.policy, lambda s, n: self.paused or self.run_pass(s, n), checkpoint)
+
+    def stop(self, running: StreamingQuery) -> None:
+        """Let the pass under way end, make no more, and stop."""
+        self.paused = True
+        while running.isActive and running.status["isTriggerActive"]:
+            running.awaitTermination(1)
+        running.stop()
+
+    def is_done(self, spark: SparkSession) -> bool:
+        """Whether nothing is pending, going by the passes committed so far."""
+        passes = self.manifest.numbers(spark)
+        low = self._mark(spark, max(passes, default=-1) + 1)[0]
+        return bool(passes) and self._table(spark, low).filter(self.policy.pending()).isEmpty()
+
     def _failed(self, spark: SparkSession, number: int) -> bool:
         last = self._mark(spark, number)[1]
         rows = spark.read.schema(_SETTLED).parquet(last)
