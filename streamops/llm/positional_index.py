@@ -195,7 +195,7 @@ def phrase_matches(docs: DataFrame, found: DataFrame, planned: DataFrame,
                         ids.append(row["item_id"] or "")
                         hit.update(at.tolist())
                 n_hit.append(len(hit))
-                items.append(sorted(ids))
+                items.append(sorted(set(ids)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), pa.array(n_hit, pa.int64()),
                  pa.array(items, pa.list_(pa.string()))], names=["key", "n_hit", "items"])
@@ -212,8 +212,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
     """(doc_id, key, n_words, n_hit, items): one row per document.
 
     Null texts have no words and a null key; equal texts share one lookup; items
-    without words, with null texts or repeated as a whole add nothing; a null
-    item_id is listed as empty text. Without items nothing is hit.
+    without words, with null texts or repeated as a whole add nothing; items that
+    share an item_id are one item, as are all without one, which are listed as
+    empty text. Without items nothing is hit.
     """
     items = stored(item_terms(benchmark.where("text is not null")), "items")
     terms = items.select(F.explode("terms").alias("term")).distinct()

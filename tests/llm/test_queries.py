@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 import corpus_pipeline
@@ -48,3 +49,15 @@ def test_pipeline_stages(spark, corpus):
     assert counts[1] == counts[0] - 3 and counts[2] < counts[1]
     assert counts[3] <= counts[2] and counts[4] == counts[5] == counts[3]
     assert docs.where("decoded <> text").count() == 0
+
+
+def test_stages_keep_further_columns_whatever_their_names(spark, corpus):
+    texts = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(60).collect()
+    own = ("key", "score", "spans", "_id", "bands", "found", "Lang_Pred")
+    docs = corpus([(r.doc_id, r.text) for r in texts]).drop("extra").withColumns(
+        {c: F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")) for c in own})
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, docs, SF_DIR)
+        assert after.columns[:len(docs.columns)] == docs.columns
+        rows = after.select("doc_id", *own).collect()
+        assert len(rows) > 20 and all(r[c] == f"{c} of {r.doc_id}" for r in rows for c in own)
