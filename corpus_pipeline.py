@@ -9,11 +9,14 @@ before it kept.
 
 Stages 1 to 4 return the columns of documents. A row with a null text is
 undetermined and goes in stage 1; null ids are kept apart by their texts; equal
-rows (id and text) are one document; further columns stay as they are.
+rows (id and text) are one document; further columns stay as they are, whatever
+their names. Of stage 5, a new column takes the place of one that has its name.
 """
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,12 +25,31 @@ from streamops.llm import byte_bpe, char_crf, dart_minhash, positional_index, ra
 from streamops.llm.common import prepare, stored, table
 
 
+# Columns the stages know; all others are out of their way under other names.
+KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def keeping_columns(stage):
+    """A stage that never meets the further columns of its documents by name."""
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        aside = {c: f"_further_{k}" for k, c in enumerate(docs.columns) if c not in KNOWN}
+        out = stage(spark, docs.withColumnsRenamed(aside), sf_dir)
+        taken = [c.lower() for c in out.columns]
+        back = {moved: c for c, moved in aside.items() if c.lower() not in taken}
+        lost = [moved for c, moved in aside.items() if c.lower() in taken]
+        return out.drop(*lost).withColumnsRenamed(back)
+    return run
+
+
+@keeping_columns
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     found = rank_profiles.identify(docs, rank_profiles.learn_folds(docs))
     return found.where(F.col("lang_pred") != rank_profiles.UNKNOWN).select(*_columns(docs))
 
 
+@keeping_columns
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     groups = stored(dart_minhash.near_duplicates(docs), "near-groups")
@@ -40,6 +62,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return kept.select(*_columns(docs)).unionByName(docs.where("text is null"))
 
 
+@keeping_columns
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     found = positional_index.contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -47,6 +70,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return dart_minhash.keyed(docs).join(bad, "key", "left_anti").select(*_columns(docs))
 
 
+@keeping_columns
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     out = char_crf.find(docs, char_crf.train(docs), redact=True)
@@ -55,6 +79,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return out.select(*_columns(docs))
 
 
+@keeping_columns
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     return byte_bpe.encode_decode(docs, public_tokenizers.path(byte_bpe.RANKS),
