@@ -11,6 +11,7 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from streamops.constants import MICRO_BATCH_RECORDS
 from streamops.functions import partitioning as P
 from streamops.operators import correlate, enrich, outbox, outcome, saga
 from streamops.operators.folds import agg_count_sum
@@ -40,8 +41,16 @@ from streamops.streaming import sql as stream_sql
 from streamops.streaming.ledger import SeenCache
 from streamops.streaming.relay import MarkedRelay, Relay, cluster_outbox
 from streamops.streaming.resilient import ResilientConsumer
-from streamops.streaming.run import drain, fan_out as run_fan_out, file_sink, handler, micro_batch
+from streamops.streaming.run import (
+    drain,
+    fan_out as run_fan_out,
+    file_sink,
+    handler,
+    micro_batch,
+    record_batches,
+)
 from streamops.streaming.sinks import (
+    BatchLog,
     DeliverySink,
     LedgerSink,
     MaterializedTable,
@@ -199,6 +208,27 @@ def bounded_drain(spark, sf_dir):
     return _drained(rows, new_folder(spark, "bounded-drain"))
 
 
+@query("SELECT event_id, event_type, TRUE AS bounded, TRUE AS several FROM events")
+def micro_batches(spark, sf_dir):
+    """Batches of a bounded number of records, some ten of them for the whole log: each
+    row with whether its batch kept the bound and whether it was one of several."""
+    root = new_folder(spark, "micro-batches")
+    events = t.table(spark, sf_dir, "events").select("event_id", "event_type")
+    bound = max(MICRO_BATCH_RECORDS, -(-events.count() // 10))
+    log.log_append(events, f"{root}/log", records_per_file=bound)
+    out = BatchLog(f"{root}/out")
+
+    def keep(batch, batch_id):
+        out.commit(spark, batch_id, out.write(batch.withColumn("batch", F.lit(batch_id)), batch_id))
+
+    stream = log.log_scan(spark, f"{root}/log", events.schema, **record_batches(bound, bound))
+    batches = _handled(stream, keep, root)
+    rows = out.read(spark, T.StructType([*events.schema.fields, T.StructField("batch", T.IntegerType())]))
+    sizes = rows.groupBy("batch").agg(F.count("*").alias("records"))
+    return rows.join(sizes, "batch").select(
+        "event_id", "event_type", (F.col("records") <= bound).alias("bounded"), F.lit(batches > 1).alias("several"))
+
+
 def _event_log(spark, sf_dir):
     events = t.events(spark, sf_dir)
     return log.to_log(events, F.col("event_type"), F.col("user_id"),

@@ -76,9 +76,14 @@ def json_value(*columns: str) -> Column:
     return F.to_json(F.struct(*columns))
 
 
-def log_append(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Append a batch to a log."""
-    df.write.format(fmt).mode("append").save(path)
+def log_append(df: DataFrame, path: str, fmt: str = "parquet",
+               records_per_file: int | None = None) -> None:
+    """Append a batch to a log. ``records_per_file`` bounds its files, and so what
+    ``run.record_batches`` lets into one micro-batch."""
+    writer = df.write.format(fmt).mode("append")
+    if records_per_file is not None:
+        writer = writer.option("maxRecordsPerFile", records_per_file)
+    writer.save(path)
 
 
 def route_by_column(df: DataFrame, path: str, column: str = "topic", mode: str = "append",

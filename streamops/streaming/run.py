@@ -143,6 +143,15 @@ def micro_batch(size: int = MICRO_BATCH_BYTES, files: int | None = None) -> Mapp
     return {"maxBytesPerTrigger": str(size)}
 
 
+def record_batches(records: int = MICRO_BATCH_RECORDS,
+                   records_per_file: int = MICRO_BATCH_RECORDS) -> Mapping[str, str]:
+    """Reader options for batches of at most ``records`` records of a log whose files
+    hold at most ``records_per_file``; see ``log.log_append``."""
+    if records < records_per_file:
+        raise ValueError("a file is read whole: it may hold no more than a batch")
+    return micro_batch(files=records // records_per_file)
+
+
 def micro_batch_records(records: int = MICRO_BATCH_RECORDS) -> Mapping[str, str]:
     """The same bound in records, for the Kafka source."""
     return {"maxOffsetsPerTrigger": str(records)}

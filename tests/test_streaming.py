@@ -25,6 +25,7 @@ from streamops.streaming.run import (
     micro_batch,
     micro_batch_records,
     paced,
+    record_batches,
 )
 from streamops.streaming.resilient import ResilientConsumer
 from streamops.streaming.seen import anti_cache
@@ -275,6 +276,16 @@ def test_micro_batches_are_bounded(spark, folder):
     assert sizes == [1, 2, 3, 6]
 
 
+def test_micro_batches_are_bounded_in_records(spark, folder):
+    src, sizes = folder("src"), []
+    log.log_append(spark.range(1234, numPartitions=3).toDF("n"), src, records_per_file=50)
+    rows_of = stream(spark, src, "n long", **record_batches(records_per_file=50))
+    drain(handler(rows_of, lambda batch, n: sizes.append(batch.count()), folder("cp")), 120)
+    assert sum(sizes) == 1234 and max(sizes) == 100 and len(sizes) >= 13
+    with pytest.raises(ValueError):
+        record_batches(10, 11)
+
+
 def test_pacing_and_waiting(spark, folder):
     src = folder("src")
     append(spark, src, "n long", (1,))
