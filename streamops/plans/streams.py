@@ -106,6 +106,15 @@ def _handled_in_parts(rows, order, root, parts, fn):
     return max(ids, default=-1) + 1
 
 
+def _handled_in_batches(rows, root, batches, fn):
+    """A log of ``rows`` drained in so many batches or a few more, bounded in records;
+    returns their number."""
+    bound = max(1, -(-rows.count() // batches))
+    log.log_append(rows, f"{root}/log", records_per_file=bound)
+    stream = log.log_scan(rows.sparkSession, f"{root}/log", rows.schema, **record_batches(bound, bound))
+    return _handled(stream, fn, root)
+
+
 # --- windows --------------------------------------------------------------------
 
 
@@ -456,20 +465,21 @@ SELECT CAST(event_id AS VARCHAR) AS transaction_id, props AS payload
 FROM events WHERE event_type <> 'signup'
 """)
 def dedup_ledger(spark, sf_dir):
-    """Clicks are delivered twice, the second time two days later; sign-ups were
-    handled before. The log arrives in five parts."""
+    """Clicks are delivered twice, sign-ups were handled before. The log is drained in
+    five batches or more; any may hold a copy first."""
     root = new_folder(spark, "ledger")
     copies = F.when(F.col("event_type") == "click", F.array(F.lit(0), F.lit(1))).otherwise(
         F.array(F.lit(0))
     )
-    records = t.events(spark, sf_dir).withColumn("copy", F.explode(copies)).select(
+    records = t.table(spark, sf_dir, "events").withColumn("copy", F.explode(copies)).select(
         F.col("event_id").cast("string").alias("id"), "props",
-        (F.unix_micros("ts") + F.col("copy") * 2 * 86_400_000_000).alias("offset"))
+        (F.col("event_id") * 2 + F.col("copy")).alias("offset"))
     seed = t.table(spark, sf_dir, "events").filter("event_type = 'signup'").select(
         F.col("event_id").cast("string").alias("transaction_id")
     )
     sink = LedgerSink(f"{root}/ledger", "id", "offset", "props", seed)
-    _handled_in_parts(records, F.col("offset"), root, 5, sink.commit)
+    # By a hash of the offset, so that copies are far apart in the log.
+    _handled_in_batches(records.repartition(F.xxhash64("offset")), root, 5, sink.commit)
     return sink.read(spark).select("transaction_id", "payload")
 
 
@@ -484,7 +494,8 @@ FROM (SELECT *, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events)
 def resilient_consumer(spark, sf_dir):
     """Clicks come twice, errors are cut short, sign-ups are refused, and every
     record fails ``k`` modulo three times before it is accepted or refused. The log
-    arrives in five parts, with retries in between."""
+    is drained in five batches or more, with retries in between; any may hold a copy
+    first."""
     root = new_folder(spark, "resilient")
     kind = F.col("event_type")
     copies = F.when(kind == "click", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
@@ -507,7 +518,7 @@ def resilient_consumer(spark, sf_dir):
 
     consumer = ResilientConsumer(f"{root}/out", schema, "event_id", strategy,
                                  cache=SeenCache(f"{root}/cache"))
-    batches = _handled_in_parts(records, F.col("offset"), root, 5, consumer.handle)
+    batches = _handled_in_batches(records.repartition(F.xxhash64("offset")), root, 5, consumer.handle)
     consumer.finish(spark, batches)
     done = consumer.committed(spark).withColumn("branch", F.lit("committed"))
     parked = consumer.dead_letters(spark).withColumn("branch", F.lit("deadletter"))

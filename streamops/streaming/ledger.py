@@ -102,13 +102,15 @@ class Ledger(_Versions):
             rows = reader.parquet(*[f"{run.path}/bucket={b}" for b in buckets])
         return rows.filter(F.col("id").isNotNull()).select("id")
 
-    def commit(self, spark: SparkSession, version: int, ids: DataFrame) -> list[Part]:
-        """Add ``ids``; returns the runs from now on. Merges what has become many."""
+    def commit(self, spark: SparkSession, version: int, ids: DataFrame,
+               rows: int | None = None) -> list[Part]:
+        """Add ``ids``, of which there are ``rows`` if the caller knows; returns the runs
+        from now on. Merges what has become many."""
         runs = self.runs(spark, version)
         found = ids.select("id").filter(F.col("id").isNotNull())
-        new = self._write(spark, found, f"{self.path}/run={version}-0", 0)
-        if new.rows:
-            runs = [*runs, new]
+        rows = found.count() if rows is None else rows
+        if rows:
+            runs = [*runs, self._write(spark, found, f"{self.path}/run={version}-0", 0, rows)]
         level = 0
         while sum(r.level == level for r in runs) >= self.fan:
             old = [r for r in runs if r.level == level]
@@ -123,16 +125,14 @@ class Ledger(_Versions):
         self.manifest.commit(spark, version, runs)
         return runs
 
-    def _write(self, spark: SparkSession, ids: DataFrame, path: str, level: int,
-               rows: int | None = None) -> Part:
-        rows = ids.count() if rows is None else rows
+    def _write(self, spark: SparkSession, ids: DataFrame, path: str, level: int, rows: int) -> Part:
         depth = min(max((rows - 1) // self.bucket_rows, 0).bit_length(), MAX_DEPTH)
-        # A row without an id gives every bucket its folder.
-        folders = spark.range(1 << depth).select(
-            F.lit(None).cast("string").alias("id"), F.col("id").cast("int").alias("bucket"))
-        placed = ids.select("id", bucket("id", depth).alias("bucket")).unionByName(folders)
+        placed = ids.select("id", bucket("id", depth).alias("bucket"))
         if depth:
-            placed = placed.repartition("bucket")
+            # A row without an id gives every bucket its folder.
+            folders = spark.range(1 << depth).select(
+                F.lit(None).cast("string").alias("id"), F.col("id").cast("int").alias("bucket"))
+            placed = placed.unionByName(folders).repartition("bucket")
         else:
             placed = placed.coalesce(1)
         placed.write.mode("overwrite").partitionBy("bucket").parquet(path)

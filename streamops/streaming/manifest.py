@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Iterable
 from typing import NamedTuple
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,14 +34,11 @@ SCHEMA = "kind string, path string, level int, depth int, hour long, rows long"
 PLACED = f"{SCHEMA}, block long, number long"
 
 
-def is_missing(error: AnalysisException) -> bool:
-    return error.getCondition() == "PATH_NOT_FOUND"
-
-
 class Manifest:
     def __init__(self, path: str, block: int = BLOCK):
         self.path, self.block = path, block
         self._asked: tuple[int, list[Part]] | None = None
+        self._made: set[int] = set()
 
     def _folder(self, number: int) -> str:
         return f"{self.path}/block={number // self.block}/number={number}"
@@ -54,13 +50,17 @@ class Manifest:
         spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("overwrite").parquet(
             self._folder(number))
 
-    def _read(self, spark: SparkSession, path: str) -> DataFrame | None:
-        try:
-            return spark.read.schema(PLACED).option("basePath", self.path).parquet(path)
-        except AnalysisException as error:
-            if is_missing(error):
-                return None
-            raise
+    def _read(self, spark: SparkSession, block: int | None = None) -> DataFrame:
+        """The manifests of one block, or all. A folder that may be missing is made by a
+        manifest without a number of a batch, which is written only where it is not
+        there yet."""
+        at = block or 0
+        if at not in self._made:
+            spark.createDataFrame([Part("none", "")], SCHEMA).coalesce(1).write.mode("ignore").parquet(
+                f"{self.path}/block={at}/number=-1")
+            self._made.add(at)
+        path = self.path if block is None else f"{self.path}/block={block}"
+        return spark.read.schema(PLACED).option("basePath", self.path).parquet(path).filter("number >= 0")
 
     def newest(self, spark: SparkSession, before: int) -> list[Part]:
         """What the last batch before ``before`` has committed; none without one.
@@ -71,8 +71,7 @@ class Manifest:
 
     def _newest(self, spark: SparkSession, before: int) -> list[Part]:
         for block in range((before - 1) // self.block, -1, -1):
-            rows = self._read(spark, f"{self.path}/block={block}")
-            found = [] if rows is None else rows.filter(F.col("number") < before).collect()
+            found = self._read(spark, block).filter(F.col("number") < before).collect()
             if found:
                 last = max(r.number for r in found)
                 return sorted((Part(*r[:len(Part._fields)]) for r in found
@@ -80,16 +79,11 @@ class Manifest:
         return []
 
     def numbers(self, spark: SparkSession) -> list[int]:
-        rows = self._read(spark, self.path)
-        if rows is None:
-            return []
-        return sorted(r.number for r in rows.select("number").distinct().collect())
+        return sorted(r.number for r in self._read(spark).select("number").distinct().collect())
 
     def parts(self, spark: SparkSession, until: int | None = None) -> list[Part]:
         """Everything committed, or by batches before ``until``."""
-        rows = self._read(spark, self.path)
-        if rows is None:
-            return []
+        rows = self._read(spark)
         return _parts(rows if until is None else rows.filter(F.col("number") < until))
 
 

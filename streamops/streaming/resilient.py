@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,9 +41,10 @@ class ResilientConsumer:
 
     A batch owns one folder with a directory per branch. The first records are
     written before their copies, which read the outcome from there, so that a
-    costly strategy runs once per id. The decoded batch is written once, to a
-    folder that every batch overwrites, and read back by the steps. The manifest
-    then names both of the batch's writes at once.
+    costly strategy runs once per id, and never for one that is skipped. The decoded
+    batch and its first records are written once, to folders that every batch
+    overwrites, and read back by the steps. The manifest then names both of the
+    batch's writes at once.
     """
 
     def __init__(self, path: str, schema: T.StructType, id_field: str,
@@ -88,9 +89,13 @@ class ResilientConsumer:
     def _handle(self, spark: SparkSession, rows: DataFrame, version: int, target: str) -> list[str]:
         decoded = decode_or_poison(rows, self.schema).withColumns({
             "id": F.col(self.id_field).cast("string"), "_at": self.at.cast("timestamp")})
-        staged = f"{self.path}-staged"
-        decoded.write.mode("overwrite").parquet(staged)
-        return self._route(spark, spark.read.schema(decoded.schema).parquet(staged), version, target)
+        return self._route(spark, self._staged(decoded, "decoded"), version, target)
+
+    def _staged(self, rows: DataFrame, name: str) -> DataFrame:
+        """The rows written once and read back, in a folder every batch overwrites."""
+        folder = f"{self.path}-staged/{name}"
+        rows.write.mode("overwrite").parquet(folder)
+        return rows.sparkSession.read.schema(rows.schema).parquet(folder)
 
     def _tiers(self, spark: SparkSession, first: DataFrame, version: int) -> DataFrame:
         """``first`` with ``tier``: who knows the id already, null where nobody does."""
@@ -109,7 +114,7 @@ class ResilientConsumer:
         malformed = decoded.filter((F.col("outcome") == POISON) | F.col("id").isNull())
         good = decoded.filter((F.col("outcome") == SUCCESS) & F.col("id").isNotNull())
         good = good.drop("outcome", "error")
-        first = self._tiers(spark, first_per_id(good, "id", "offset", "copies"), version)
+        first = self._staged(self._tiers(spark, first_per_id(good, "id", "offset", "copies"), version), "first")
         tried = first.filter(F.col("tier").isNull()).withColumn("_r", self.strategy(F.col("attempts")))
         branch = (
             F.when(F.col("_r.outcome") == SUCCESS, COMMITTED)
@@ -124,9 +129,12 @@ class ResilientConsumer:
         parked = malformed.select(*kept, F.coalesce("error", F.lit(NO_ID))
                                   .alias("reason"), F.lit(1).cast("long").alias("copies"), at,
                                   F.lit(DEAD_LETTER_TOPIC).alias("branch"))
-        written = self._write(out.unionByName(skipped).unionByName(parked), target, "first")
+        seen = Observation()
+        all_rows = out.unionByName(skipped).unionByName(parked).observe(
+            seen, F.count_if(F.col("branch") == COMMITTED).alias(COMMITTED))
+        written = self._write(all_rows, target, "first")
         settled = spark.read.schema(self.stored).parquet(written)
-        self._remember(spark, settled, version)
+        self._remember(spark, settled, version, seen.get[COMMITTED])
         unsettled = settled.filter(
             (F.col("copies") > 1) & F.col("branch").isin(WAITING, DEAD_LETTER_TOPIC)
         ).select("id", "branch", "reason", "copies", F.col("offset").alias("_first"),
@@ -137,10 +145,10 @@ class ResilientConsumer:
         copies = more.withColumns({"attempts": tries, "at": F.col("_at")})
         return [written, self._write(copies.select(*self.stored.fieldNames()), target, "copies")]
 
-    def _remember(self, spark: SparkSession, settled: DataFrame, version: int) -> None:
+    def _remember(self, spark: SparkSession, settled: DataFrame, version: int, rows: int) -> None:
         """Durable ids first, then the cache; an id the ledger knew is marked anew."""
         committed = settled.filter(F.col("branch") == COMMITTED)
-        self.ledger.commit(spark, version, committed.select("id"))
+        self.ledger.commit(spark, version, committed.select("id"), rows)
         if self.cache is not None:
             known = settled.filter((F.col("branch") == SKIPPED) & (F.col("reason") == BY_LEDGER))
             self.cache.mark(spark, version, committed.unionByName(known).select("id", "at"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -361,9 +361,12 @@ class LedgerSink:
             for rows, branch in ((fresh, "committed"),
                                  (without_id(batch, self.key), DEAD_LETTER_TOPIC))
         ]
-        path = self.out.write(branches[0].unionByName(branches[1]), batch_id, "branch")
+        seen = Observation()
+        rows = branches[0].unionByName(branches[1]).observe(
+            seen, F.count_if(F.col("branch") == "committed").alias("rows"))
+        path = self.out.write(rows, batch_id, "branch")
         written = spark.read.schema(_LEDGER_ROWS).parquet(path).filter(F.col("branch") == "committed")
-        self.ledger.commit(spark, version, written.select(F.col("transaction_id").alias("id")))
+        self.ledger.commit(spark, version, written.select(F.col("transaction_id").alias("id")), seen.get["rows"])
         self.out.commit(spark, batch_id, path)
 
     def _branch(self, spark: SparkSession, name: str) -> DataFrame:
