@@ -106,12 +106,22 @@ def _handled_in_parts(rows, order, root, parts, fn):
     return max(ids, default=-1) + 1
 
 
-def _handled_in_batches(rows, root, batches, fn):
-    """A log of ``rows`` drained in so many batches or a few more, bounded in records;
-    returns their number."""
+_RECORDS_PER_FILE = 250_000
+
+
+def _handled_in_batches(rows, key, root, batches, fn):
+    """A log of ``rows``, spread by a hash of ``key``, drained in so many batches or a few
+    more, bounded in records; returns their number, which does not grow with the log.
+
+    A batch is a number of files, read by as many tasks. The log is written by one task
+    per file and a tenth more, as shares by hash differ in size."""
+    spark = rows.sparkSession
     bound = max(1, -(-rows.count() // batches))
-    log.log_append(rows, f"{root}/log", records_per_file=bound)
-    stream = log.log_scan(rows.sparkSession, f"{root}/log", rows.schema, **record_batches(bound, bound))
+    files = min(bound, max(spark.sparkContext.defaultParallelism, -(-bound // _RECORDS_PER_FILE)))
+    per_file = -(-bound // files)
+    spread = rows.repartition(-(-batches * files * 11 // 10), F.xxhash64(key))
+    log.log_append(spread, f"{root}/log", records_per_file=per_file)
+    stream = log.log_scan(spark, f"{root}/log", rows.schema, **record_batches(files * per_file, per_file))
     return _handled(stream, fn, root)
 
 
@@ -479,7 +489,7 @@ def dedup_ledger(spark, sf_dir):
     )
     sink = LedgerSink(f"{root}/ledger", "id", "offset", "props", seed)
     # By a hash of the offset, so that copies are far apart in the log.
-    _handled_in_batches(records.repartition(F.xxhash64("offset")), root, 5, sink.commit)
+    _handled_in_batches(records, "offset", root, 5, sink.commit)
     return sink.read(spark).select("transaction_id", "payload")
 
 
@@ -518,7 +528,7 @@ def resilient_consumer(spark, sf_dir):
 
     consumer = ResilientConsumer(f"{root}/out", schema, "event_id", strategy,
                                  cache=SeenCache(f"{root}/cache"))
-    batches = _handled_in_batches(records.repartition(F.xxhash64("offset")), root, 5, consumer.handle)
+    batches = _handled_in_batches(records, "offset", root, 5, consumer.handle)
     consumer.finish(spark, batches)
     done = consumer.committed(spark).withColumn("branch", F.lit("committed"))
     parked = consumer.dead_letters(spark).withColumn("branch", F.lit("deadletter"))

@@ -42,9 +42,10 @@ class ResilientConsumer:
     A batch owns one folder with a directory per branch. The first records are
     written before their copies, which read the outcome from there, so that a
     costly strategy runs once per id, and never for one that is skipped. The decoded
-    batch and its first records are written once, to folders that every batch
-    overwrites, and read back by the steps. The manifest then names both of the
-    batch's writes at once.
+    batch, its first records and what the tiers say of them are written once each, to
+    folders that every batch overwrites, and read back by the steps, so that no step
+    computes another one again. The manifest then names both of the batch's writes at
+    once.
     """
 
     def __init__(self, path: str, schema: T.StructType, id_field: str,
@@ -102,7 +103,7 @@ class ResilientConsumer:
         asked = first.select("id", F.col("_at").alias("at"))
         if self.cache is not None:
             cached = self.cache.known(spark, version, asked).withColumn("_cached", F.lit(True))
-            first = first.join(cached, "id", "left")
+            first = self._staged(first.join(cached, "id", "left"), "cached")
         else:
             first = first.withColumn("_cached", F.lit(None).cast("boolean"))
         known = self.ledger.known(spark, version, first.filter(F.col("_cached").isNull()).select("id"))
@@ -114,7 +115,8 @@ class ResilientConsumer:
         malformed = decoded.filter((F.col("outcome") == POISON) | F.col("id").isNull())
         good = decoded.filter((F.col("outcome") == SUCCESS) & F.col("id").isNotNull())
         good = good.drop("outcome", "error")
-        first = self._staged(self._tiers(spark, first_per_id(good, "id", "offset", "copies"), version), "first")
+        first = self._staged(first_per_id(good, "id", "offset", "copies"), "first")
+        first = self._staged(self._tiers(spark, first, version), "tiers")
         tried = first.filter(F.col("tier").isNull()).withColumn("_r", self.strategy(F.col("attempts")))
         branch = (
             F.when(F.col("_r.outcome") == SUCCESS, COMMITTED)
