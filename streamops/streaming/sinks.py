@@ -349,7 +349,12 @@ class LedgerSink:
 
     def commit(self, batch: DataFrame, batch_id: int) -> None:
         spark, version = batch.sparkSession, version_of_batch(batch_id)
-        first = first_per_id(batch, self.key, self.order)
+        # Written once and read back by the steps, in a folder every batch overwrites.
+        first = first_per_id(batch.select(*dict.fromkeys((self.key, self.order, self.payload))),
+                             self.key, self.order)
+        folder = f"{self.path}-staged/first"
+        first.write.mode("overwrite").parquet(folder)
+        first = spark.read.schema(first.schema).parquet(folder)
         known = self.ledger.known(spark, version, first.select(F.col(self.key).cast("string").alias("id")))
         fresh = anti_ledger(first, known, self.key, "id")
         if self.seed is not None:

@@ -11,7 +11,7 @@ from streamops.operators import outcome
 from streamops.streaming.ledger import Ledger, SeenCache, version_of_batch, version_of_round
 from streamops.streaming.manifest import Manifest, Part
 from streamops.streaming.resilient import ResilientConsumer
-from streamops.streaming.sinks import BatchLog, BucketedTable, DeliverySink
+from streamops.streaming.sinks import BatchLog, BucketedTable, DeliverySink, LedgerSink
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
@@ -202,3 +202,46 @@ def test_only_touched_buckets_are_rewritten(spark, folder, rows):
     some = table.before(spark, 3, spark.createDataFrame([(5,)], "k long"))
     assert len(some.inputFiles()) == 1 and dict(rows(some))[5] == 112
     assert put(3) == [] and table.now(spark).count() == 101
+
+
+def test_what_the_tiers_are_asked_about_is_read_and_not_computed_again(spark, folder):
+    plans = []
+
+    class AskedLedger(Ledger):
+        def known(self, spark, version, ids):
+            plans.append(ids._jdf.queryExecution().optimizedPlan().toString())
+            return super().known(spark, version, ids)
+
+    class AskedCache(SeenCache):
+        def known(self, spark, version, rows):
+            plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+            return super().known(spark, version, rows)
+
+    schema = T.StructType([T.StructField("id", T.StringType())])
+    consumer = ResilientConsumer(folder("out"), schema, "id", lambda attempt: outcome.succeeded(),
+                                 AskedLedger(folder("ids")), AskedCache(folder("cache")))
+    sink = LedgerSink(folder("sink"), "key", "offset", "value", ledger=AskedLedger(folder("sink-ids")))
+    for n in range(2):
+        batch = spark.createDataFrame([(f"k{n}", n, f'{{"id": "{n}"}}')], RECORDS)
+        consumer.handle(batch, n)
+        sink.commit(batch, n)
+    assert len(plans) == 6
+    assert not [p for p in plans if "Aggregate" in p or "Join" in p]
+
+
+def test_the_parts_of_a_hot_hour_are_merged_by_several_tasks(spark, folder):
+    cache = SeenCache(folder("cache"), fan=2)
+    settings = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+                "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        for n in range(2):
+            cache.mark(spark, n, spark.range(n * 20_000, n * 20_000 + 20_000).select(
+                F.sha2(F.col("id").cast("string"), 256).alias("id"), F.lit(T0).alias("at")))
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+    [part] = cache.manifest.newest(spark, 2)
+    merged = spark.read.parquet(part.path)
+    assert part.level == 1 and merged.count() == 40_000 and len(merged.inputFiles()) > 1
