@@ -211,6 +211,7 @@ class SeenCache(_Versions):
         if len(parts) < self.fan:
             return parts
         path = f"{self.path}/merged={version}/hour={hour}"
-        spark.read.schema(_MARKS).parquet(*[p.path for p in parts]).coalesce(1).write.mode(
+        # In files of a bounded size, each by a task of its own: an hour may be a hot one.
+        spark.read.schema(_MARKS).parquet(*[p.path for p in parts]).hint("rebalance").write.mode(
             "overwrite").parquet(path)
         return [Part("marks", path, 1, 0, hour)]
