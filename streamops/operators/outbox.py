@@ -102,12 +102,25 @@ def relay_pass(
     """
     batch = (outbox_scan(outbox, policy) if partition_by is None
              else outbox.filter(policy.pending()))
-    batch = batch.withColumns({
+    batch = tried(batch, decoded, publish_error)
+    batch = (_first_failure_of_batch(batch, failing()) if partition_by is None
+             else prefix_until_failure(batch, "sequence", failing(), partition_by))
+    return settled_until(batch, policy, now).select(*outbox.columns, "action")
+
+
+def tried(batch: DataFrame, decoded: Column, publish_error: Column) -> DataFrame:
+    """Rows with what became of reading and publishing them."""
+    return batch.withColumns({
         "_decoded": F.coalesce(decoded, F.lit(False)), "_publish_error": publish_error,
     })
-    failing = F.col("_publish_error").isNotNull() & F.col("_decoded")
-    batch = (_first_failure_of_batch(batch, failing) if partition_by is None
-             else prefix_until_failure(batch, "sequence", failing, partition_by))
+
+
+def failing() -> Column:
+    return F.col("_publish_error").isNotNull() & F.col("_decoded")
+
+
+def settled_until(batch: DataFrame, policy: RelayPolicy, now: Column) -> DataFrame:
+    """Tried rows with ``action`` and new columns, settled up to their ``first_failure``."""
     stop, seq = F.col("first_failure"), F.col("sequence")
     action = (
         F.when(stop.isNotNull() & (seq > stop), UNTOUCHED)
@@ -115,8 +128,7 @@ def relay_pass(
         .when(F.col("_decoded"), PUBLISHED)
         .otherwise(POISON)
     )
-    done = batch.withColumn("action", action)
-    return _settle(done, policy, now).select(*outbox.columns, "action")
+    return _settle(batch.withColumn("action", action), policy, now)
 
 
 def _settle(rows: DataFrame, policy: RelayPolicy, now: Column) -> DataFrame:

@@ -599,8 +599,9 @@ _CUSTOMER_EVENT = T.StructType([
 
 def _customer_outbox(spark, sf_dir, path):
     """Customer changes to relay: views are of a type nobody may read, errors are cut
-    short, a purchase with a small ``k`` deletes its customer. Stored by sequence;
-    returns how many rows a pass takes so that some ten passes relay all of them."""
+    short, a purchase with a small ``k`` deletes its customer. Stored by sequence, in
+    blocks that give every task one of a pass's; returns how many rows a pass takes so
+    that some ten passes relay all of them, and how many a block has."""
     deleted = (F.col("event_type") == "purchase") & (t.k_of() < 30)
     rows = t.table(spark, sf_dir, "events").withColumn("operation", F.when(deleted, "Delete").when(
         F.col("event_type") == "signup", "Create").otherwise("Update"))
@@ -615,8 +616,9 @@ def _customer_outbox(spark, sf_dir, path):
                     F.when(F.col("event_type") == "purchase", "vip-customers").otherwise("customers")
                     .alias("topic"), F.lit(0).alias("retry_count")), "sequence")
     limit = max(100, -(-count // 8))
-    cluster_outbox(table.select(*OUTBOX.fieldNames()), path, limit)
-    return limit
+    block = max(100, min(-(-limit // spark.sparkContext.defaultParallelism), _RECORDS_PER_FILE))
+    cluster_outbox(table.select(*OUTBOX.fieldNames()), path, block)
+    return limit, block
 
 
 def _refused(table, retries):
@@ -630,13 +632,13 @@ def _customer_relays(spark, sf_dir, retries, *policies):
     """A marked relay per policy over one outbox, each run until nothing is pending.
     A policy that keeps no count of retries meets no failure."""
     root = new_folder(spark, "marked-relay")
-    limit = _customer_outbox(spark, sf_dir, f"{root}/outbox")
+    limit, block = _customer_outbox(spark, sf_dir, f"{root}/outbox")
     kind = F.get_json_object("content", "$['$type']")
     decoded = (kind == "CustomerCdcEvent") & F.from_json("content", _CUSTOMER_EVENT)["operation"].isNotNull()
     table = spark.read.schema(OUTBOX).parquet(f"{root}/outbox")
     for policy in policies:
         error = _refused(table, retries) if policy.keeps_state else F.lit(None).cast("string")
-        relay = MarkedRelay(f"{root}/outbox", f"{root}/{policy.name}", replace(policy, limit=limit), decoded, error, limit)
+        relay = MarkedRelay(f"{root}/outbox", f"{root}/{policy.name}", replace(policy, limit=limit), decoded, error, block)
         relay.run(spark)
         yield relay
 
@@ -650,11 +652,11 @@ def relay_paced(spark, sf_dir):
     """The relay as a query of its own that makes a pass whenever its interval is over,
     until nothing is pending; a reader follows its topics."""
     root = new_folder(spark, "paced-relay")
-    limit = _customer_outbox(spark, sf_dir, f"{root}/outbox")
+    limit, block = _customer_outbox(spark, sf_dir, f"{root}/outbox")
     kind = F.get_json_object("content", "$['$type']")
     decoded = (kind == "CustomerCdcEvent") & F.from_json("content", _CUSTOMER_EVENT)["operation"].isNotNull()
     relay = MarkedRelay(f"{root}/outbox", f"{root}/relay", replace(outbox.POLL, limit=limit), decoded,
-                        F.lit(None).cast("string"), limit)
+                        F.lit(None).cast("string"), block)
     running = relay.start(spark, f"{root}/checkpoint").start()
     try:
         while not relay.is_done(spark):

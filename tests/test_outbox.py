@@ -231,3 +231,29 @@ def test_a_pass_reports_what_its_own_write_has_seen(spark, folder):
 def test_a_marked_relay_of_an_empty_outbox(spark, folder):
     relay = marked(spark, folder, ob.POLL)
     assert relay.run(spark) == 1 and relay.settled(spark).count() == 0 and relay.published(spark).count() == 0
+
+
+def test_rows_of_one_sequence_number_go_with_one_pass(spark, folder):
+    relay = marked(spark, folder, replace(ob.POLL, limit=2),
+                   *[(n, "ok", 0) for n in (1, 2, 2, 2, 7, 300, 301)])
+    assert [relay.run_pass(spark, n) for n in range(4)] == [4, 2, 1, 0]
+    assert relay.topic_log(spark, "customers", False).count() == 7
+
+
+def test_a_pass_leaves_its_rows_in_their_tasks_and_publishes_each_once(spark, folder):
+    calls = spark.sparkContext.accumulator(0)
+
+    def publish(content):
+        calls.add(1)
+        return "no broker" if content == "down" else None
+
+    relay = marked(spark, folder, replace(ob.POLL, limit=80),
+                   *[(n, "down" if n == 70 else "ok", 0) for n in range(160)],
+                   down=lambda: F.udf(publish)("content"))
+    files = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(64 << 20))
+    try:
+        assert relay.run_pass(spark, 0) == 70 and calls.value == 80
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", files)
+    assert relay._mark(spark, 1)[0] == 70 and len(spark.read.parquet(f"{relay.passes}/batch_id=0").inputFiles()) > 1
