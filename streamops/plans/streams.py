@@ -356,7 +356,8 @@ def exactly_once(spark, sf_dir):
 
 @query(CORRELATION_SQL)
 def correlation_stream(spark, sf_dir):
-    """The log arrives in three parts; a closing time then settles what is pending."""
+    """The log arrives in three parts by time, as rows behind the watermark are dropped;
+    a closing time then settles what is pending."""
     root = new_folder(spark, "correlation")
     events = t.events(spark, sf_dir)
     correlate.close_log(spark, f"{root}/closing", None)
@@ -366,7 +367,7 @@ def correlation_stream(spark, sf_dir):
         rows = correlate.settled_stream(t.requests_of(stream), t.replies_of(stream), closing, "10 seconds")
         return file_sink(rows, f"{root}/out", f"{root}/checkpoint")
 
-    _arriving(events, F.col("event_id"), root, 3, settled)
+    _arriving(events, F.unix_micros("ts"), root, 3, settled)
     last = events.agg(F.max("ts")).first()[0]
     if last is not None:
         correlate.close_log(spark, f"{root}/closing", last + timedelta(minutes=1))

@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from streamops import schemas
 from streamops.operators import correlate, enrich, folds, outcome, saga
 from streamops.operators.windows import agg_tumbling_count
+from streamops.plans import streams as plans
+from streamops.plans.registry import QUERIES
 from streamops.sources import log
 from streamops.streaming import sql as stream_sql
 from streamops.streaming.run import (
@@ -286,6 +288,30 @@ def test_micro_batches_are_bounded_in_records(spark, folder):
         record_batches(10, 11)
 
 
+def test_the_number_of_batches_follows_neither_rows_nor_partitions(spark, folder):
+    batches = []
+
+    def handle(batch, n):
+        batches.append((batch.count(), len(batch.inputFiles())))
+
+    rows_of = spark.range(20_000, numPartitions=40).toDF("n").repartition(40, "n")
+    count = plans._handled_in_batches(rows_of, "n", folder("root"), 5, handle)
+    assert 5 <= count <= 8 and len(batches) == count
+    assert sum(n for n, _ in batches) == 20_000 and max(n for n, _ in batches) <= 4000
+    assert plans._handled_in_batches(rows_of.filter("n < 0"), "n", folder("root"), 5, handle) <= 1
+
+
+def test_correlation_of_a_log_whose_ids_are_not_in_order_of_time(spark, folder):
+    root = folder("tables")
+    spark.range(60).selectExpr(
+        "id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(id % 20 AS int)) AS ts",
+        "id AS user_id", "element_at(array('view', 'click', 'purchase'), cast(id % 3 AS int) + 1) AS event_type",
+        "1.0D AS value", "concat('{\"k\": ', id, '}') AS props").write.parquet(f"{root}/events.parquet")
+    found = [sorted(map(tuple, QUERIES[name](spark, root).collect()), key=str)
+             for name in ("correlation_stream", "correlation")]
+    assert len(found[0]) == 60 and found[0] == found[1]
+
+
 def test_pacing_and_waiting(spark, folder):
     src = folder("src")
     append(spark, src, "n long", (1,))
